@@ -264,10 +264,11 @@ def hierarchy(
         "tree", "pos", "node", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("kind"),
         empty.alias("seg"), F.lit(0).cast("long").alias("rank"),
     ).unionByName(edges)
-    solved = _solve(cut(rows), width)
+    rows = cut(rows)
+    solved = _solve(rows, width)
     original = elements.schema[tree].dataType
     return (
-        solved.join(nodes, ["tree", "pos"])
+        solved.join(rows.where("parent IS NULL AND kind IS NULL").select("tree", "pos", "node"), ["tree", "pos"])
         .select(
             F.col("tree").cast(original).alias(tree), F.col("node").alias(node), "broken",
             F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("__d"), "path",
