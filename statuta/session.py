@@ -32,6 +32,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once and read it from there afterwards."""
+    """Write ``df`` to the shared checkpoint folder once and read it from there afterwards.
+
+    The columns get fresh identities: a checkpoint carries constraints on attributes of the plan it
+    replaces, at which a union over it would stumble.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True).toDF(*df.columns)
