@@ -275,7 +275,8 @@ def nearest(
     met = asked.unionByName(held).repartition(many, "coll", "q", "b").groupBy("coll", "q", "b")
     far = met.applyInPandas(_search_other(trees, k + 1, factor), _HIT)
     order = Window.partitionBy("coll", "rep").orderBy(F.desc("sim"), "near")
-    hits = own.unionByName(far).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+    # Written once: both the single vectors and the classes of equal ones read it.
+    hits = cut(own.unionByName(far).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r"))
 
     # Classes of equal vectors: hits give way to the class's smallest keys, then every member gets the list.
     several = entries.where("n > 1")
