@@ -15,6 +15,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statuta.session import cut
+
 RUN = 12
 #: Anchor terms a window is looked up by.
 ANCHORS = 3
@@ -73,8 +75,9 @@ def leaked(
     listed = items.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("item"), words(F.col(f"`{text}`")).alias("item_words")).distinct()
     listed = listed.where(F.size("item_words") >= run)
     terms = listed.select(F.explode("item_words").alias("term")).distinct()
-    # Frequencies over all documents, combined in each task before they are shuffled.
-    frequency = _postings(documents, doc, text, _small(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # Frequencies over all documents, combined in each task before they are shuffled; no more rows than
+    # the items have terms, written once for the many small steps that need them.
+    frequency = cut(_postings(documents, doc, text, _small(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     at = listed.select("item", F.posexplode("item_words").alias("off", "term")).join(frequency, "term", "left").fillna(0, ["n"])
     window = listed.select("item", F.explode(F.expr(f"sequence(0, size(item_words) - {run})")).alias("start"))
     near = window.join(at, "item").where((F.col("off") >= F.col("start")) & (F.col("off") < F.col("start") + run))
@@ -133,7 +136,7 @@ def near_items(
     """
     listed = items.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("item"), words(F.col(f"`{text}`")).alias("item_words")).distinct()
     terms = listed.select(F.explode("item_words").alias("term")).distinct()
-    frequency = _postings(documents, doc, text, _small(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    frequency = cut(_postings(documents, doc, text, _small(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     at = listed.select("item", F.posexplode("item_words").alias("off", "term")).join(frequency, "term", "left").fillna(0, ["n"])
     order = Window.partitionBy("item").orderBy("n", "off")
     probes = at.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rare).select("item", "off", "term")
