@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statuta.session import cut
+
 LEAST = 300
 #: Characters of a token: long, so that stock phrases do not become common tokens.
 GRAM = 150
@@ -26,7 +28,6 @@ GRAM = 150
 HASHES = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BATCH_CHARS = 4_000_000
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -54,30 +55,22 @@ def gram_values(codes: np.ndarray, gram: int = GRAM) -> np.ndarray:
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """For every window of ``width`` values the place of its leftmost minimum."""
+    """For every window of ``width`` values the place of its minimum, the leftmost of equals.
+
+    Values are ordered by their upper 32 bits; the lower ones give way to the place, so that a
+    minimum carries its place. Equal texts stay in the same order, whatever surrounds them.
+    """
     n = len(values)
     count = n - width + 1
     if count <= 0:
         return np.zeros(0, np.int64)
-    pad = -n % width
-    top = np.iinfo(np.uint64).max
-    full = np.concatenate([values, np.full(pad, top, np.uint64)])
-    blocks = full.reshape(-1, width)
+    keyed = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    blocks = np.concatenate([keyed, np.full(-n % width, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
+    # The minimum of a window is that of the end of one block and of the beginning of the next.
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
-    # The leftmost place of a value at or after a window's start, found from the right.
-    place = np.arange(n)
-    order = np.lexsort((place, values))
-    ranked_values, ranked_places = values[order], place[order]
-    key_rank = np.searchsorted(ranked_values, least, side="left")
-    first = ranked_places[key_rank]
-    starts = np.arange(count)
-    behind_start = np.nonzero(first < starts)[0]
-    for i in behind_start:  # a value that recurs within reach of an earlier window
-        lo, hi = key_rank[i], np.searchsorted(ranked_values, least[i], side="right")
-        first[i] = ranked_places[lo + np.searchsorted(ranked_places[lo:hi], i)]
-    return first
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,9 +164,10 @@ def representative_runs(
     reps = hashed.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc").alias("doc")).select("doc")
     texts = hashed.join(reps, "doc", "left_semi").dropDuplicates(["doc"])
     windows = texts.mapInPandas(_windows(least, gram, hashes), _WINDOWS)
-    # Values of one document only are gone before the join: they are the bulk.
-    common = windows.groupBy("seed", "value").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    shared = windows.join(common.select("seed", "value"), ["seed", "value"], "left_semi")
+    # Values of one document only are gone before the join: they are the bulk. What is left is written
+    # once, so that the windows are not computed again for each side of the join.
+    same = Window.partitionBy("seed", "value")
+    shared = cut(windows.withColumn("lo", F.min("doc").over(same)).withColumn("hi", F.max("doc").over(same)).where("lo < hi").drop("lo", "hi"))
     a = shared.select("seed", "value", *[F.col(c).alias(f"{c}_a") for c in ("doc", "left", "centre", "right")])
     b = shared.select("seed", "value", *[F.col(c).alias(f"{c}_b") for c in ("doc", "left", "centre", "right")])
     before = F.least(F.col("centre_a") - F.col("left_a"), F.col("centre_b") - F.col("left_b"))
