@@ -38,6 +38,9 @@ def orphan_references(
     if match not in (SIMPLE, PARTIAL, FULL):
         raise ValueError(f"unknown match rule: {match}")
     parts = []
+    stem = "__key"
+    while any(c.startswith(stem) for c in references.columns):
+        stem += "_"
     for mask in product([True, False], repeat=len(columns)):
         used = [pair for pair, there in zip(columns, mask) if there]
         if not used or (match == SIMPLE and not all(mask)):
@@ -49,9 +52,9 @@ def orphan_references(
         if match == FULL and not all(mask):
             parts.append(group)
             continue
-        keys = targets.select(*[F.col(f"`{t}`").alias(f"__key{i}") for i, (_, t) in enumerate(used)])
+        keys = targets.select(*[F.col(f"`{t}`").alias(f"{stem}{i}") for i, (_, t) in enumerate(used)])
         keys = keys.dropna().distinct()
-        on = reduce(lambda a, b: a & b, [F.col(f"`{r}`") == F.col(f"__key{i}") for i, (r, _) in enumerate(used)])
+        on = reduce(lambda a, b: a & b, [F.col(f"`{r}`") == F.col(f"{stem}{i}") for i, (r, _) in enumerate(used)])
         parts.append(group.join(keys, on, "left_anti"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -129,7 +129,7 @@ _ACT = T.ArrayType(T.StructType([
 
 def clean_text(text: Column) -> Column:
     """Without escaped quotes, double spaces halved in one pass, non-breaking spaces deleted."""
-    return F.replace(F.replace(F.replace(text, F.lit('\\"'), F.lit("")), F.lit("  "), F.lit(" ")), F.lit(" "), F.lit(""))
+    return F.replace(F.replace(F.replace(text, F.lit('\\"'), F.lit("")), F.lit("  "), F.lit(" ")), F.lit("\u00a0"), F.lit(""))
 
 
 def parse_acts(acts: DataFrame, compat: bool = False) -> DataFrame:

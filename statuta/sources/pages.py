@@ -44,7 +44,8 @@ def links(pages: DataFrame, css_class: str, without: str) -> DataFrame:
 def search_request(start: Column, size: Column, domains: dict[str, int], query: Column | None = None) -> Column:
     """The body of a search request as JSON text; domains become a list of label and concept."""
     listed = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(v).alias("conceptId")) for k, v in domains.items()])
-    return F.to_json(F.struct(F.coalesce(query, F.lit("")).alias("query"), listed.alias("domains"), start.alias("start"), size.alias("size")))
+    asked = F.lit("") if query is None else F.coalesce(query, F.lit(""))
+    return F.to_json(F.struct(asked.alias("query"), listed.alias("domains"), start.alias("start"), size.alias("size")))
 
 
 class _Pages(DataSourceReader):
