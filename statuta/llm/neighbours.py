@@ -129,11 +129,12 @@ class Shard:
                 mine = rows[own == name]
                 if len(mine):
                     self._visit(c, mine, queries, best, first)
-                    bound[mine, c] = np.inf
+                    bound[mine, c] = np.nan
         # Near cells first, so that the bound on the neighbours' distance shrinks early.
-        for c in np.argsort(bound.mean(axis=0)):
+        for c in np.argsort(np.nan_to_num(bound).mean(axis=0)):
             kth = best.sim[first : first + len(queries), -1]
-            reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * kth)) + 1e-5
+            # A query that has not found k neighbours yet must see everything.
+            reach = np.where(kth > -1.5, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * kth)) + 1e-5, np.inf)
             active = rows[bound[:, c] * factor <= reach]
             if len(active):
                 self._visit(c, active, queries, best, first)
@@ -262,7 +263,7 @@ def nearest(
     own = cut(indexed.repartition(one, "coll", "block").groupBy("coll", "block").applyInPandas(_search_own(trees, k + 1, factor), _HIT))
     # How far the neighbours can be: the similarity of the last one found so far.
     kth = own.groupBy("coll", "rep").agg(F.when(F.count(F.lit(1)) > k, F.min("sim")).otherwise(-2.0).cast("float").alias("kth"))
-    counts = F.create_map(*[F.lit(x) for c, (_, b) in trees.value.items() for x in (c, b)]) if sizes else F.lit(None)
+    counts = F.create_map(*[F.lit(x) for c, (_, b) in trees.value.items() for x in (c, b)] or [F.lit(""), F.lit(1)])
     other = F.filter(F.sequence(F.lit(0), counts[F.col("coll")] - 1), lambda b: b != F.col("block"))
     asked = indexed.join(kth, ["coll", "rep"]).select(
         "coll", F.col("block").alias("q"), F.explode(other).alias("b"), F.lit(True).alias("asks"), "rep", "cell", "kth", "vector"

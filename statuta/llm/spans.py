@@ -77,7 +77,8 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     """(left, centre, right) of the compact windows of at least ``width`` tokens.
 
     They are the nodes of the Cartesian tree (leftmost minimum on top) whose subtree spans ``width`` or
-    more: the minima of sliding windows, each with the ranges it is the minimum of.
+    more: the minima of sliding windows, each with the ranges it is the minimum of. Ranges are clipped to
+    ``width - 1`` on either side of the centre, which holds every window of ``width`` around it.
     """
     centre = leftmost_minima(values, width)
     if not len(centre):
