@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.operators.trees import leaf_roots, preorder
+from statuta.session import cut
 
 LIMIT = 512
 # Fixed value: the mark of a repealed unit.
@@ -37,8 +38,10 @@ def subtrees(nodes: DataFrame) -> DataFrame:
     Each subtree is the root followed by the child's nodes in pre-order; a root without children is a
     subtree by itself. A root all of whose leaves lie below earlier roots is left out.
     """
-    roots = leaf_roots(nodes)
-    walk = preorder(nodes, roots)
+    # Elements, roots and the walk are each read several times below.
+    nodes = cut(nodes.select("nro", "pos", "node_id", "children", "text", "keywords"))
+    roots = cut(leaf_roots(nodes))
+    walk = cut(preorder(nodes, roots).select("nro", "root", "node_id", "branch", "seq"))
     leaves = nodes.where(F.coalesce(F.size("children"), F.lit(0)) <= 0).select("nro", "node_id")
     held = walk.join(leaves, ["nro", "node_id"], "left_semi").select("nro", "node_id", "root").join(roots, ["nro", "root"])
     first = held.groupBy("nro", "node_id").agg(F.min_by("root", "pos").alias("root"))
@@ -76,8 +79,8 @@ def chunk_vectors(nodes: DataFrame, limit: int = LIMIT, tokens: Callable[[Column
     n = tokens(F.col("text"))
     counted = trees.withColumn("n", n.cast("long")).withColumn("large", F.when(lone, F.col("n") >= limit).otherwise(F.col("n") > limit))
     plain = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.col("text").alias("t")))
-    cut = F.transform(pack(F.col("text"), F.col("n"), limit), lambda t, i: F.struct((i + 1).alias("i"), t.alias("t")))
-    pieces = counted.withColumn("pieces", F.when(F.col("large"), cut).otherwise(plain)).withColumn(
+    packed = F.transform(pack(F.col("text"), F.col("n"), limit), lambda t, i: F.struct((i + 1).alias("i"), t.alias("t")))
+    pieces = counted.withColumn("pieces", F.when(F.col("large"), packed).otherwise(plain)).withColumn(
         "total", F.when(F.col("large"), F.size("pieces"))
     )
     rows = pieces.select("*", F.explode("pieces").alias("p")).where(~F.contains(F.col("p.t"), F.lit(REPEALED)))

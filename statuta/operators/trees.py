@@ -25,7 +25,8 @@ def reachable(starts: DataFrame, links: DataFrame, group: list[str], max_rounds:
     loops end. The number of rounds is the depth of the graph.
     """
     keys = [*group, "nro", "node_id"]
-    step = links.select("nro", "node_id", "child")
+    # Read in every round, so written once.
+    step = cut(links.select("nro", "node_id", "child"))
     seen = new = cut(starts.select(*keys).distinct())
     for _ in range(max_rounds):
         found = new.join(step, ["nro", "node_id"]).select(*group, "nro", F.col("child").alias("node_id")).distinct()
@@ -92,7 +93,8 @@ def preorder(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     their order; a node met again on its own path (a loop) is not entered again. The levels are
     built one join at a time over the nodes of the last one.
     """
-    links = edges(nodes).withColumnRenamed("node_id", "up")
+    # Read at every level, so written once.
+    links = cut(edges(nodes).withColumnRenamed("node_id", "up"))
     level = roots.select(
         "nro", "root", F.col("root").alias("node_id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("branch"),
         F.array("root").alias("path"), F.array().cast("array<int>").alias("ords"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statuta.operators.vector import any_keyword, filtered_topk, reciprocal_rank_fusion, topk
 from statuta.plans import retrieval as R
 from statuta.queries import common as C
-from statuta.session import table
+from statuta.session import cut, table
 
 
 def _scores(df: DataFrame) -> DataFrame:
@@ -85,7 +85,8 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
 
 def two_phase_search(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: similar questions, chunks of their acts, and the act parts in document order."""
-    hits = _two_phase(spark, d)
+    # At most a hundred chunks per query, read for the parts and for the order of the acts.
+    hits = cut(_two_phase(spark, d))
     parts = R.reconstruct(hits, _stored(spark, d), C.acts(spark, d))
     order = R.ranked_acts(hits).select("qid", F.col("act").alias("nro"), F.col("act_rank").cast("long").alias("act_rank"))
     return parts.join(order, ["qid", "nro"])
