@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from statuta.session import cut
 
 LEAST = 300
-#: Characters of a token: long, so that stock phrases do not become common tokens.
-GRAM = 150
+#: Characters of a token: nearly a span, so that stock phrases shorter than that join nothing.
+GRAM = 250
 #: Hash functions under which a shared span must show.
 HASHES = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
