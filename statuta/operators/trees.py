@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.functions.ids import range_ends, root_id
+from statuta.functions.ids import range_ends, roman_first_bracket, root_id
 from statuta.session import cut
 
 
@@ -80,10 +80,18 @@ def propagate_keywords(acts: DataFrame, relations: DataFrame, nodes: DataFrame)
 
 
 def leaf_roots(nodes: DataFrame) -> DataFrame:
-    """``nro, root, pos``: roots of leaves, in the order of their first leaf; unknown roots are left out."""
+    """``nro, root, pos``: roots of leaves, in the order of their first leaf.
+
+    A root that is no element is looked for with its first digit as a Roman numeral; if that is none
+    either it is left out.
+    """
     leaves = nodes.where(F.coalesce(F.size("children"), F.lit(0)) <= 0)
     roots = leaves.select("nro", root_id(F.col("node_id")).alias("root"), "pos").groupBy("nro", "root").agg(F.min("pos").alias("pos"))
-    return roots.join(nodes.select("nro", F.col("node_id").alias("root")), ["nro", "root"], "left_semi")
+    keys = nodes.select("nro", F.col("node_id").alias("root"))
+    known = roots.join(keys, ["nro", "root"], "left_semi")
+    lost = roots.join(keys, ["nro", "root"], "left_anti").withColumn("root", roman_first_bracket(F.col("root")))
+    both = known.unionByName(lost.join(keys, ["nro", "root"], "left_semi"))
+    return both.groupBy("nro", "root").agg(F.min("pos").alias("pos"))
 
 
 def preorder(nodes: DataFrame, roots: DataFrame) -> DataFrame:
