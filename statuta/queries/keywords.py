@@ -19,6 +19,13 @@ def restrict_relations(spark: SparkSession, d: str) -> DataFrame:
     return K.restrict_to_acts(relations(spark, d), C.acts(spark, d)).select("conceptId", "instanceOfType", "nro")
 
 
+def keyword_records(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords with the relations to known acts; those without any stay, with an empty list."""
+    kept = K.restrict_to_acts(relations(spark, d), C.acts(spark, d))
+    records = K.keyword_records(C.keywords(spark, d), kept)
+    return records.select("conceptId", "instanceOfType", F.array_join(F.transform("relations", lambda r: r["nro"].cast("string")), ",").alias("acts"))
+
+
 def add_missing_references(spark: SparkSession, d: str) -> DataFrame:
     return K.missing_references(C.acts(spark, d), C.keywords(spark, d), relations(spark, d))
 
@@ -88,6 +95,11 @@ fixed AS (
 
 QUERIES = {
     "restrict_relations": (restrict_relations, f"WITH {REL} SELECT conceptId, instanceOfType, nro FROM relk"),
+    "keyword_records": (
+        keyword_records,
+        f"""WITH {REL} SELECT k.conceptId, k.instanceOfType, coalesce(string_agg(CAST(r.nro AS VARCHAR), ',' ORDER BY r.nro), '') AS acts
+FROM cur_k k LEFT JOIN relk r USING (conceptId, instanceOfType) GROUP BY k.conceptId, k.instanceOfType""",
+    ),
     "add_missing_references": (
         add_missing_references,
         f"""WITH {REL}

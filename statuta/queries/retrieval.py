@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.operators.chunks import word_tokens
 from statuta.operators.vector import any_keyword, filtered_topk, reciprocal_rank_fusion, topk
 from statuta.plans import retrieval as R
 from statuta.queries import common as C
@@ -99,6 +100,18 @@ def reconstruct_in_order(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("qid", "nro").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
 
 
+def points_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Points of the chunks that the first two phases found, fetched by their ids."""
+    wanted = _two_phase(spark, d).select(F.col("id").alias("point_id")).distinct()
+    return table(spark, d, "vector_points").select("point_id", "coll", "act_nro", "reconstruct_id").join(wanted, "point_id", "left_semi")
+
+
+def response_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the parts of each answer: the size of the context it fills."""
+    parts = R.reconstruct(_two_phase(spark, d), _stored(spark, d), C.acts(spark, d))
+    return parts.groupBy("qid").agg(F.sum(word_tokens(F.col("text"))).alias("n_words"), F.count(F.lit(1)).alias("n_parts"))
+
+
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Two rankings of questions, with and without the query's own, fused by reciprocal ranks."""
     q, v = C.query_vectors(spark, d), C.question_vectors(spark, d)
@@ -176,6 +189,15 @@ SELECT p.qid, p.nro, p.title, p.pos, p.cite_id, p.text, o.act_rank FROM part p J
         reconstruct_in_order,
         f"WITH {_TWO} SELECT qid, nro, string_agg(text, chr(10) ORDER BY pos) AS text FROM part WHERE text IS NOT NULL GROUP BY qid, nro",
     ),
+    "points_by_ids": (
+        points_by_ids,
+        f"WITH {_TWO} SELECT DISTINCT p.point_id, p.coll, p.act_nro, p.reconstruct_id FROM vector_points p WHERE p.point_id IN (SELECT id FROM hit2)",
+    ),
+    "response_tokens": (
+        response_tokens,
+        f"""WITH {_TWO} SELECT qid, CAST(sum(len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''))) AS BIGINT) AS n_words, count(*) AS n_parts
+FROM part GROUP BY qid""",
+    ),
     "rrf_fusion": (
         rrf_fusion,
         f"""WITH {C.VEC},{C.first(20)},{C.first(20, True).replace('hit1', 'hit1x')},
