@@ -9,7 +9,8 @@ parents, the exit (the parent in another fragment), or a loop. Exits and nodes w
 parents form the quotient graph, which is far smaller; it is solved by the same routine with wider
 fragments. Solutions are then joined back and local path pieces appended. A loop inside a fragment
 shows as a chain without terminal, a loop across fragments as one in a quotient. No tree is ever
-gathered as a whole in one task unless it fits a fragment.
+gathered as a whole in one task unless it fits a fragment. Where parents lie anywhere, so that fragments
+contract little, exits are followed by doubling instead, and only nodes with several parents are left.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from statuta.session import cut
 ROOT, EXIT, SEVERAL, LOOP = 0, 1, 2, 3
 WIDTH = 512
 WIDEN = 512
+#: A quotient of more nodes than this, and of more than a quarter of all, is shortened by doubling instead.
+DOUBLE_FROM = 1_000_000
 _CHUNK_ROWS = 200_000
 _LABEL = "tree string, pos long, kind int, term long, seg array<string>"
 _SOLVED = "tree string, pos long, broken boolean, path array<string>"
@@ -171,12 +174,44 @@ def _in_fragments(rows: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _double(label: DataFrame, with_seg: bool) -> DataFrame:
+    """Follow exits by doubling until every chain ends; chains that do not end are loops.
+
+    Every round replaces the exit of each chain by the exit of that exit, so a chain over n fragments
+    takes log2(n) rounds, wherever its fragments lie.
+    """
+    rounds = int(label.where(F.col("kind") == EXIT).select("tree", "term").distinct().count()).bit_length() + 1
+    columns = ["tree", "pos", "kind", "term"] + ["seg"] * with_seg
+    label = label.select(*columns)
+    for _ in range(rounds):
+        going = label.where(F.col("kind") == EXIT)
+        if going.isEmpty():
+            break
+        up = label.select("tree", F.col("pos").alias("term"), F.col("kind").alias("k"), F.col("term").alias("t"), *[F.col("seg").alias("s")] * with_seg)
+        moved = going.join(up, ["tree", "term"]).select(
+            "tree", "pos", F.col("k").alias("kind"), F.col("t").alias("term"), *[F.concat("s", "seg").alias("seg")] * with_seg
+        )
+        label = cut(label.where(F.col("kind") != EXIT).unionByName(moved))
+    return label.withColumn("kind", F.when(F.col("kind") == EXIT, F.lit(LOOP)).otherwise(F.col("kind")))
+
+
+def _without_exits(label: DataFrame) -> DataFrame:
+    """Labels without exits. Loops are found on bare numbers first, since their pieces would grow without end."""
+    looped = _double(label, False).where(F.col("kind") == LOOP).select("tree", "pos")
+    sound = _double(label.join(looped, ["tree", "pos"], "left_anti"), True)
+    none = F.array().cast("array<string>")
+    return cut(sound.unionByName(looped.select("tree", "pos", F.lit(LOOP).alias("kind"), F.lit(-1).cast("long").alias("term"), none.alias("seg"))))
+
+
 def _solve(rows: DataFrame, width: int) -> DataFrame:
     """rows: one per node (parent and kind null) and one per edge; result: broken and path per node."""
     top = rows.agg(F.max("pos")).first()[0]
     if top is None or top < width:
         return _in_fragments(rows, width).mapInPandas(_solve_whole, _SOLVED)
     label = cut(_in_fragments(rows, width).mapInPandas(_contract, _LABEL))
+    exits = label.where(F.col("kind") == EXIT).select("tree", "term").distinct().count()
+    if exits > DOUBLE_FROM and 4 * exits > label.count():
+        label = _without_exits(label)
     names = rows.where("parent IS NULL AND kind IS NULL").select("tree", "pos", "node")
     several = label.where(F.col("kind") == SEVERAL).where(F.col("pos") == F.col("term")).select("tree", "pos")
     portals = label.where(F.col("kind") == EXIT).select("tree", F.col("term").alias("pos")).distinct()

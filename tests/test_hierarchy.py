@@ -44,9 +44,10 @@ def graph(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,width,widen", [(1, 30, 512, 512), (2, 60, 4, 4), (3, 200, 8, 2), (4, 120, 1, 3)])
-def test_equals_brute_force(spark, monkeypatch, seed, n, width, widen):
+@pytest.mark.parametrize("seed,n,width,widen,double", [(1, 30, 512, 512, 9999), (2, 60, 4, 4, 9999), (3, 200, 8, 2, 9999), (4, 120, 1, 3, 9999), (5, 150, 4, 512, 0), (6, 80, 1, 2, 0)])
+def test_equals_brute_force(spark, monkeypatch, seed, n, width, widen, double):
     monkeypatch.setattr(H, "WIDEN", widen)
+    monkeypatch.setattr(H, "DOUBLE_FROM", double)
     rows = graph(seed, n)
     found = H.hierarchy(spark.createDataFrame(rows, SCHEMA), width=width).collect()
     path = brute(rows)
