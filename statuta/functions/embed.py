@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statuta.session import ship
+
 # Fixed value: what stands before a query, and not before the texts of the corpus.
 QUERY_PREFIX = "zapytanie: "
 
@@ -62,4 +64,5 @@ def pending(rows: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
 
 def embed_rows(rows: DataFrame, keys: list[str], text: str, embedder: Embedder) -> DataFrame:
     """``keys, embedding`` for rows with a text."""
+    ship(rows.sparkSession)
     return rows.where(F.col(text).isNotNull()).select(*keys, embed(F.col(text), embedder).alias("embedding"))

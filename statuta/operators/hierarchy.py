@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.session import cut
+from statuta.session import cut, ship
 
 ROOT, EXIT, SEVERAL, LOOP = 0, 1, 2, 3
 WIDTH = 512
@@ -275,6 +275,7 @@ def hierarchy(
     Rows with a null tree or node are left out, repeated rows count once, an empty table gives an
     empty result; further columns of the input are ignored.
     """
+    ship(elements.sparkSession)
     src = elements.select(
         F.col(f"`{tree}`").cast("string").alias("tree"), F.col(f"`{node}`").alias("node"),
         F.col(f"`{pos}`").cast("long").alias("pos"),

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statuta.session import ship
+
 #: Queries of one block; a larger query set is searched in several blocks.
 BLOCK = 4096
 
@@ -74,6 +76,7 @@ def topk(
     by BLOCK vectors; a larger query set takes one pass over the corpus per block.
     """
     spark = queries.sparkSession
+    ship(spark)
     good = queries.where(usable(F.col("vector"), dim))
     wanted = ["qid", "vector", "own"] if exclude else ["qid", "vector"]
     found = None

@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for the session's Python workers, wherever they run.
+
+    The package goes to the executors as a zip file, once per context; nothing is done where it was
+    itself loaded from an archive that Spark distributes.
+    """
+    context = spark.sparkContext
+    home = os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_statuta_shipped", False) or not os.path.isdir(home):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="statuta-code-"), "statuta.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in sorted(os.walk(home)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("statuta", os.path.relpath(path, home)))
+    context.addPyFile(archive)
+    context._statuta_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory (a file or a folder of files)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,4 +62,5 @@ def cut(df: DataFrame) -> DataFrame:
     replaces, at which a union over it would stumble.
     """
     checkpoint_dir(df.sparkSession)
+    ship(df.sparkSession)
     return df.checkpoint(eager=True).toDF(*df.columns)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statuta.session import ship
+
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -142,6 +144,7 @@ def parse_acts(acts: DataFrame, compat: bool = False) -> DataFrame:
     def run(html: pd.Series, units: pd.Series) -> pd.Series:
         return pd.Series([act_rows(h, list(u), compat) for h, u in zip(html, units)], dtype=object)
 
+    ship(acts.sparkSession)
     rows = acts.where("units IS NOT NULL").select("nro", F.explode(F.pandas_udf(run, _ACT)("html", "units")).alias("e")).select("nro", "e.*")
     up = rows.select("nro", "pos", F.col("node_id").alias("up"), F.explode("children").alias("node_id")).groupBy("nro", "node_id").agg(
         F.min_by("up", "pos").alias("parent")
@@ -176,6 +179,7 @@ def parse_questions(pages: DataFrame) -> DataFrame:
 
     Pages without question content give no row; empty parts are null.
     """
+    ship(pages.sparkSession)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in PARTS])
 
     def run(html: pd.Series) -> pd.DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from statuta.session import ship
+
 
 def page_plan(hits: DataFrame, size: int) -> DataFrame:
     """``hits(key, n)`` as ``key, page, start, size``: whole pages and a last one of the remainder; none for no hits."""
@@ -75,4 +77,5 @@ class PageSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(PageSource)
