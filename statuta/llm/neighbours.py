@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.session import cut
+from statuta.session import cut, ship
 
 K, FACTOR, DIM = 5, 1.75, 64
 #: Vectors per collection on which a tree is fitted; all vectors are indexed.
@@ -243,6 +243,7 @@ def nearest(
     Equal vectors are searched once; only the k + 1 smallest keys of such a class can be anybody's
     neighbours, so a class of any size stays cheap.
     """
+    ship(points.sparkSession)
     v = F.col(f"`{vector}`")
     sound = (
         (F.size(v) == dim)

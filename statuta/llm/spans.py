@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.session import cut
+from statuta.session import cut, ship
 
 LEAST = 300
 #: Characters of a token: nearly a span, so that stock phrases shorter than that join nothing.
@@ -159,6 +159,7 @@ def representative_runs(
     One document stands for all of equal text; ``doc_a < doc_b``. Runs are of at least ``least``
     characters and lie at every shift at which the two texts share one.
     """
+    ship(documents.sparkSession)
     hashed = documents.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{doc}`").isNotNull() & (F.length(F.col(f"`{text}`")) >= least)).select(
         F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")
     )

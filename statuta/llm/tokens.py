@@ -11,6 +11,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statuta.session import ship
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -36,6 +38,7 @@ def token_counts(spark: SparkSession, text: Column, path: str | None = None, pat
 
     The file has a fixed size of about a megabyte and is broadcast, so workers need no copy of it.
     """
+    ship(spark)
     if pattern is None:
         import public_tokenizers
 
