@@ -99,27 +99,92 @@ def topk(
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _pairs_of(column: pd.Series) -> list[set[tuple[int, int]]]:
+    return [set() if v is None else {(k["conceptId"], k["instanceOfType"]) for k in v if k is not None} for v in column]
+
+
+def _keyword_mask(queries: pd.DataFrame, rows: pd.DataFrame) -> np.ndarray:
+    """Which rows have a keyword whose concept and type the query lists; a query without lists takes all."""
+    held = _pairs_of(rows["keywords"])
+    known = {p: i for i, p in enumerate(sorted(set().union(*held), key=str))}
+    has = np.zeros((len(rows), len(known)), np.float32)
+    for r, own in enumerate(held):
+        has[r, [known[p] for p in own]] = 1
+    asks = np.zeros((len(queries), len(known)), np.float32)
+    free = np.zeros(len(queries), bool)
+    for q, (concepts, types) in enumerate(zip(queries["concepts"], queries["types"])):
+        c, t = set(() if concepts is None else concepts), set(() if types is None else types)
+        free[q] = not c
+        asks[q, [i for (pc, pt), i in known.items() if pc in c and pt in t]] = 1
+    return (asks @ has.T > 0) | free[:, None]
+
+
+def _block_topk(keyword_filter: bool):
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        queries, rows = both[both["asks"]], both[~both["asks"]]
+        if queries.empty or rows.empty:
+            return both.iloc[:0][["qid", "id"]].assign(score=0.0)
+        unit = [np.stack(side["vector"].to_numpy()).astype(np.float64) for side in (queries, rows)]
+        unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in unit]
+        scores = unit[0] @ unit[1].T
+        if keyword_filter:
+            scores[~_keyword_mask(queries, rows)] = -9.0
+        out = []
+        budget = queries["k"].to_numpy()
+        for k in np.unique(budget):
+            mine = np.nonzero(budget == k)[0]
+            take = int(min(k, scores.shape[1]))
+            if take < 1:
+                continue
+            part = scores[mine]
+            border = np.partition(part, part.shape[1] - take, axis=1)[:, part.shape[1] - take]
+            q, i = np.nonzero((part >= border[:, None] - 1e-9) & (part > -2.0))
+            out.append(pd.DataFrame({"qid": queries["qid"].to_numpy()[mine[q]], "id": rows["id"].to_numpy()[i], "score": part[q, i]}))
+        return pd.concat(out, ignore_index=True) if out else both.iloc[:0][["qid", "id"]].assign(score=0.0)
+
+    return run
+
+
 def filtered_topk(
-    queries: DataFrame, allowed: DataFrame, corpus: DataFrame, k: int | str, condition: Column | None = None
+    queries: DataFrame, allowed: DataFrame, corpus: DataFrame, k: int | str, keyword_filter: bool = False, dim: int = 64
 ) -> DataFrame:
     """``qid, id, score, rank``: top k among the rows whose ``act`` the query allows.
 
-    ``queries(qid, vector, ...)``, ``allowed(qid, act)``, ``corpus(id, act, vector, ...)``. The filter is
-    an equi-join before anything is scored; ``condition`` may compare further columns of both sides.
-    ``k`` may name a column of ``queries`` with a budget of its own.
+    ``queries(qid, vector)``, ``allowed(qid, act)``, ``corpus(id, act, vector)``. ``k`` may name a column of
+    ``queries`` with a budget of its own. With ``keyword_filter`` a row must have a keyword whose concept is among
+    the query's ``concepts`` and whose type is among its ``types``; a query without concepts takes all rows.
+
+    The filter comes before anything is scored: queries and rows meet per act, in blocks of at most
+    about BLOCK of each, so that an act with a large part of all rows or queries is spread over many
+    tasks. Each block keeps its own top k, and only those are shuffled.
     """
-    q = queries.withColumnRenamed("vector", "query_vector")
-    # The narrow pairs meet the corpus first; query vectors are added to the rows that remain.
-    rows = corpus.join(allowed.select("qid", "act").distinct(), "act").join(q, "qid")
-    if condition is not None:
-        rows = rows.where(condition)
-    limit = F.col(k) if isinstance(k, str) else F.lit(k)
-    scored = rows.select("qid", "id", limit.alias("__k"), cosine(F.col("query_vector"), F.col("vector")).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return (
-        scored.where("score IS NOT NULL").withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= F.col("__k")).drop("__k")
+    spark = queries.sparkSession
+    ship(spark)
+    extra_q, extra_c = (["concepts", "types"], ["keywords"]) if keyword_filter else ([], [])
+    good = queries.where(usable(F.col("vector"), dim)).withColumn("k", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int"))
+    rows = corpus.where(usable(F.col("vector"), dim)).select("act", "id", "vector", *extra_c)
+    pairs = allowed.where("act IS NOT NULL").select("qid", "act").distinct()
+    # Blocks per act, from two narrow counts.
+    n = rows.groupBy("act").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rbs"))
+    m = pairs.groupBy("act").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qbs"))
+    blocks = n.join(m, "act")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c, of: F.pmod(F.xxhash64(c), F.col(of)).cast("int")
+    nothing = {f.name: f.dataType for f in [*queries.schema.fields, *corpus.schema.fields]}
+    null = lambda c: F.lit(None).cast(nothing[c]).alias(c)
+    asking = pairs.join(blocks, "act").join(good, "qid").select(
+        "act", part("qid", "qbs").alias("qb"), upto("rbs").alias("rb"), F.lit(True).alias("asks"), "qid", null("id"), "k", "vector",
+        *extra_q, *[null(c) for c in extra_c],
     )
+    held = rows.join(blocks, "act").select(
+        "act", upto("qbs").alias("qb"), part("id", "rbs").alias("rb"), F.lit(False).alias("asks"), null("qid"), "id", F.lit(0).alias("k"), "vector",
+        *[null(c) for c in extra_q], *extra_c,
+    )
+    met = asking.unionByName(held).groupBy("act", "qb", "rb")
+    schema = T.StructType([T.StructField("qid", nothing["qid"]), T.StructField("id", nothing["id"]), T.StructField("score", T.DoubleType())])
+    scored = met.applyInPandas(_block_topk(keyword_filter), schema).join(good.select("qid", "k"), "qid")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).drop("k")
 
 
 def any_keyword(keywords: Column, concepts: Column, types: Column, pairs: Column | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.operators.vector import any_keyword, filtered_topk, topk
+from statuta.operators.vector import filtered_topk, topk
 from statuta.plans import evaluate as E
 from statuta.queries import common as C
 
@@ -27,9 +27,9 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 def _gold_recall(spark: SparkSession, d: str) -> DataFrame:
     q = _asked(spark, d)
     allowed = q.select("qid", F.explode("relatedActs.nro").alias("act"))
-    wanted = q.select("qid", "vector", F.col("keywords.conceptId").alias("concepts"), F.col("keywords.instanceOfType").alias("types"))
+    wanted = q.where(F.size("keywords") > 0).select("qid", "vector", F.col("keywords.conceptId").alias("concepts"), F.col("keywords.instanceOfType").alias("types"))
     chunks = C.chunks(spark, d)
-    hits = filtered_topk(wanted, allowed, chunks, 100, any_keyword(F.col("keywords"), F.col("concepts"), F.col("types")))
+    hits = filtered_topk(wanted, allowed, chunks, 100, keyword_filter=True)
     gold = E.gold(C.questions(spark, d)).join(q.select("qid"), "qid")
     found = gold.join(E.chunk_cites(hits, chunks), "qid", "left")
     return found.select("qid", E.recall(F.col("cites"), F.coalesce("h_cites", F.array().cast("array<string>"))).alias("recall"))
@@ -52,8 +52,7 @@ def _two_phase_recall(spark: SparkSession, d: str, keyword_filter: bool = True)
     part = lambda i: F.transform("f_pairs", lambda p: F.element_at(F.split(p, r"\|"), i).cast("long"))
     wanted = asked.select("qid", "vector", part(1).alias("concepts"), part(2).alias("types"))
     chunks = C.chunks(spark, d)
-    condition = (F.size("concepts") == 0) | any_keyword(F.col("keywords"), F.col("concepts"), F.col("types")) if keyword_filter else None
-    hits = filtered_topk(wanted, allowed, chunks, 100, condition)
+    hits = filtered_topk(wanted, allowed, chunks, 100, keyword_filter)
     gold = E.gold(C.questions(spark, d)).join(q.select("qid"), "qid")
     joined = gold.join(sets, "qid", "left").join(E.chunk_cites(hits, chunks), "qid", "left")
     some = lambda c: F.coalesce(c, F.array().cast("array<string>"))

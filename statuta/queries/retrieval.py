@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.operators.chunks import word_tokens
-from statuta.operators.vector import any_keyword, filtered_topk, reciprocal_rank_fusion, topk
+from statuta.operators.vector import filtered_topk, reciprocal_rank_fusion, topk
 from statuta.plans import retrieval as R
 from statuta.queries import common as C
 from statuta.session import cut, table
@@ -46,8 +46,9 @@ def vec_topk_nested_filter(spark: SparkSession, d: str) -> DataFrame:
     q = C.query_vectors(spark, d)
     own = q.select("qid", "vector", F.col("own").alias("nro")).join(C.questions(spark, d).select("nro", "relatedActs", "keywords"), "nro")
     allowed = own.select("qid", F.explode("relatedActs.nro").alias("act"))
-    wanted = own.select("qid", "vector", F.col("keywords.conceptId").alias("concepts"), F.col("keywords.instanceOfType").alias("types"))
-    return _scores(filtered_topk(wanted, allowed, C.chunks(spark, d), 20, any_keyword(F.col("keywords"), F.col("concepts"), F.col("types"))))
+    # A question without keywords of its own finds nothing here.
+    wanted = own.where(F.size("keywords") > 0).select("qid", "vector", F.col("keywords.conceptId").alias("concepts"), F.col("keywords.instanceOfType").alias("types"))
+    return _scores(filtered_topk(wanted, allowed, C.chunks(spark, d), 20, keyword_filter=True))
 
 
 def vec_budgeted_retrieve(spark: SparkSession, d: str) -> DataFrame:

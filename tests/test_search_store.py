@@ -32,6 +32,37 @@ def test_topk(spark, monkeypatch, block):
     assert V.topk(q.limit(0), vectors(spark), 3, dim=2).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_filtered_topk(spark, monkeypatch, block):
+    """Against brute force, with a hot act, keyword lists, budgets and unusable vectors."""
+    import random
+
+    monkeypatch.setattr(V, "BLOCK", block)
+    rng = random.Random(4)
+    vec = lambda: [rng.uniform(-1, 1), rng.uniform(-1, 1)]
+    kw = lambda: [(rng.randrange(3), rng.randrange(3)) for _ in range(rng.randrange(3))]
+    corpus = [(i, rng.choice([7, 7, 8, 9, None]), vec(), rng.choice([None, kw()])) for i in range(60)] + [(60, 7, None, None), (61, 7, [0.0, 0.0], None)]
+    queries = [(q, vec(), rng.choice([[], [0, 1], [2]]), [0, 2], 1 + q % 4) for q in range(12)]
+    allowed = [(q, a) for q in range(12) for a in (7, 8, 9, 77) if rng.random() < 0.6] + [(0, 7), (0, 7), (1, None), (99, 7)]
+    c = spark.createDataFrame(corpus, "id long, act long, vector array<float>, keywords array<struct<conceptId: bigint, instanceOfType: bigint>>")
+    q = spark.createDataFrame(queries, "qid long, vector array<float>, concepts array<bigint>, types array<bigint>, budget int")
+    a = spark.createDataFrame(allowed, "qid long, act long")
+    cos = lambda x, y: sum(i * j for i, j in zip(x, y)) / (sum(i * i for i in x) * sum(j * j for j in y)) ** 0.5
+    for flag in (False, True):
+        expected = {}
+        for n, v, cs, ts, k in queries:
+            fits = [
+                (-round(cos(v, w), 9), i) for i, act, w, ks in corpus
+                if (n, act) in allowed and w and any(w) and (not flag or not cs or any(x in cs and y in ts for x, y in ks or []))
+            ]
+            expected[n] = [i for _, i in sorted(fits)[:k]]
+        got = {n: [] for n in expected}
+        for r in V.filtered_topk(q, a, c, "budget", flag, dim=2).orderBy("qid", "rank").collect():
+            got[r.qid].append(r.id)
+        assert got == expected
+    assert V.filtered_topk(q, a.limit(0), c, 3, dim=2).count() == 0
+
+
 def test_nested_filter(spark):
     df = spark.createDataFrame([([(1, 2), (3, 4)],), ([],), (None,)], "k array<struct<conceptId: bigint, instanceOfType: bigint>>")
     lists = [F.array(*[F.lit(x) for x in v]) for v in ((1, 9), (4, 2))]
