@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from statuta.session import cut
 
 BINS = 4096
+#: Plans of up to this many sources are broadcast; more are shuffled.
+BROADCAST_SOURCES = 100_000
 
 
 def source_key(column):
@@ -52,10 +54,10 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     )
 
 
-def _ranked(docs: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
+def _ranked(docs: DataFrame, plans: DataFrame, seed: int, small) -> DataFrame:
     """Documents with ``x`` in (0, 1), increasing in the Pareto rank; the order is a hash, so it is repeatable."""
     u = (F.pmod(F.xxhash64(F.col("doc"), F.col("source"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    joined = docs.join(F.broadcast(plans), "source")
+    joined = docs.join(small(plans), "source")
     p = F.least(F.greatest(F.col("fraction"), F.lit(1e-12)), F.lit(1 - 1e-12))
     q = (u / (1 - u)) / (p / (1 - p))
     return joined.withColumn("x", q / (1 + q))
@@ -84,9 +86,10 @@ def mixture(
         source_key(F.col(f"`{source}`")).alias("source"), F.col(f"`{doc}`").alias("doc"), F.col(f"`{size}`").cast("long").alias("size")
     ).where("source IS NOT NULL AND doc IS NOT NULL AND size > 0")
     base = cut(base)
-    # As many rows as targets; cutting them off lets the plan be broadcast without being computed again.
+    # As many rows as target sources, which are counted before anything of that size is broadcast.
     plans = cut(plan(base, targets, total))
-    ranked = _ranked(base, plans.select("source", "target", F.col("size").alias("held"), "whole", "fraction"), seed)
+    small = F.broadcast if plans.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else (lambda df: df)
+    ranked = _ranked(base, plans.select("source", "target", F.col("size").alias("held"), "whole", "fraction"), seed, small)
     need = F.col("target") - F.col("whole") * F.col("held")
     ranked = ranked.withColumn("need", need).withColumn("b1", F.floor(F.col("x") * BINS)).withColumn(
         "b2", F.floor(F.col("x") * BINS * BINS) % BINS
@@ -94,17 +97,17 @@ def mixture(
     sampled = ranked.where("fraction > 0 AND need > 0")
     one = _edge(sampled.groupBy("source", F.col("b1").alias("bin")).agg(F.sum("size").alias("size"), F.max("need").alias("need")))
     one = one.select("source", F.col("bin").alias("e1"), F.col("before").alias("before1"))
-    inside = sampled.join(F.broadcast(one), "source").where("b1 = e1").withColumn("need", F.col("need") - F.col("before1"))
+    inside = sampled.join(small(one), "source").where("b1 = e1").withColumn("need", F.col("need") - F.col("before1"))
     two = _edge(inside.groupBy("source", F.col("b2").alias("bin")).agg(F.sum("size").alias("size"), F.max("need").alias("need")))
     two = two.select("source", F.col("bin").alias("e2"), F.col("before").alias("before2"))
-    last = inside.join(F.broadcast(two), "source").where("b2 = e2").withColumn("need", F.col("need") - F.col("before2"))
+    last = inside.join(small(two), "source").where("b2 = e2").withColumn("need", F.col("need") - F.col("before2"))
     # What is left lies in one of sixteen million ranges of a source's ranks.
     order = Window.partitionBy("source").orderBy("x", "doc")
     ended = last.withColumn("before", F.sum("size").over(order) - F.col("size")).where(F.col("before") + F.col("size") / 2 <= F.col("need"))
     edges = one.join(two, "source").join(
         ended.groupBy("source").agg(F.max(F.struct("x", "doc")).alias("stop")), "source", "left"
     )
-    chosen = ranked.join(F.broadcast(edges), "source", "left")
+    chosen = ranked.join(small(edges), "source", "left")
     below = (F.col("b1") < F.col("e1")) | ((F.col("b1") == F.col("e1")) & (F.col("b2") < F.col("e2")))
     at_edge = (F.col("b1") == F.col("e1")) & (F.col("b2") == F.col("e2")) & (F.struct("x", "doc") <= F.col("stop"))
     # No edge although something is needed: rounding, all documents are taken.
