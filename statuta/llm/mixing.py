@@ -54,13 +54,41 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     )
 
 
-def _ranked(docs: DataFrame, plans: DataFrame, seed: int, small) -> DataFrame:
-    """Documents with ``x`` in (0, 1), increasing in the Pareto rank; the order is a hash, so it is repeatable."""
+def _rates(docs: DataFrame, plans: DataFrame, weighted: bool, small) -> DataFrame:
+    """``source, cap, rate``: a document's expected copies are its weight times the rate, at most the cap.
+
+    Documents at the cap leave the rest of the target to the others, whose rate then rises; the rounds end
+    when no further document reaches its cap. Equal weights need no round.
+    """
+    sums = docs.groupBy("source").agg(F.sum(F.col("weight") * F.col("size")).alias("mass"))
+    rates = cut(plans.join(sums, "source").select("source", "cap", "target", (F.col("target") / F.col("mass")).alias("rate"), F.lit(0).cast("long").alias("capped")))
+    while weighted:
+        at = docs.join(small(rates), "source")
+        full = F.col("weight") * F.col("rate") >= F.col("cap")
+        agg = at.groupBy("source").agg(
+            F.sum(F.when(full, F.col("cap") * F.col("size")).otherwise(0)).alias("fixed"),
+            F.sum(F.when(~full, F.col("weight") * F.col("size")).otherwise(0.0)).alias("open"), F.count_if(full).alias("now"),
+        )
+        rate = F.when(F.col("open") > 0, F.greatest((F.col("target") - F.col("fixed")) / F.col("open"), F.lit(0.0))).otherwise(F.col("rate"))
+        grown = cut(rates.join(agg, "source").withColumn("more", F.col("now") > F.col("capped")).select(
+            "source", "cap", "target", F.when(F.col("more"), rate).otherwise(F.col("rate")).alias("rate"), F.col("now").alias("capped"), "more"
+        ))
+        rates = grown.drop("more")
+        if grown.where("more").isEmpty():
+            break
+    return rates.select("source", "cap", "rate")
+
+
+def _ranked(docs: DataFrame, rates: DataFrame, seed: int, small) -> DataFrame:
+    """Documents with their copies and ``x`` in (0, 1), increasing in the Pareto rank; the order is a hash, so it is repeatable."""
     u = (F.pmod(F.xxhash64(F.col("doc"), F.col("source"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    joined = docs.join(small(plans), "source")
+    copies = F.least(F.col("weight") * F.col("rate"), F.col("cap").cast("double"))
+    # A hair below a whole number counts as the whole number.
+    joined = docs.join(small(rates), "source").withColumn("e", copies).withColumn("whole", F.floor(F.col("e") + 1e-9).cast("int"))
+    joined = joined.withColumn("fraction", F.greatest(F.col("e") - F.col("whole"), F.lit(0.0)))
     p = F.least(F.greatest(F.col("fraction"), F.lit(1e-12)), F.lit(1 - 1e-12))
     q = (u / (1 - u)) / (p / (1 - p))
-    return joined.withColumn("x", q / (1 + q))
+    return joined.withColumn("x", q / (1 + q)).drop("e", "rate", "cap")
 
 
 def _edge(bins: DataFrame) -> DataFrame:
@@ -74,24 +102,29 @@ def _edge(bins: DataFrame) -> DataFrame:
 
 def mixture(
     documents: DataFrame, targets: DataFrame, size: str = "tokens", doc: str = "doc_id", source: str = "source",
-    total: float | None = None, seed: int = 17,
+    total: float | None = None, seed: int = 17, weight: str | None = None,
 ) -> DataFrame:
     """``source, doc, size, copies``: the documents of the mixture and how often each is in it.
 
+    ``weight`` names a column of relative weights within a source: a document's expected copies are
+    proportional to it, up to the cap; without it all documents of a source are alike. Null, negative
+    and zero weights leave a document out.
+
     Every source comes as close to its target as whole documents allow, no document more often than its
     source's cap. Documents of sources without a target, with a null source or null key, or of no
     size are not in it (of no size: they are no part of any share). Ties of rank go to the smaller key.
     """
     base = documents.select(
-        source_key(F.col(f"`{source}`")).alias("source"), F.col(f"`{doc}`").alias("doc"), F.col(f"`{size}`").cast("long").alias("size")
-    ).where("source IS NOT NULL AND doc IS NOT NULL AND size > 0")
+        source_key(F.col(f"`{source}`")).alias("source"), F.col(f"`{doc}`").alias("doc"), F.col(f"`{size}`").cast("long").alias("size"),
+        (F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)).alias("weight"),
+    ).where("source IS NOT NULL AND doc IS NOT NULL AND size > 0 AND weight > 0")
     base = cut(base)
     # As many rows as target sources, which are counted before anything of that size is broadcast.
     plans = cut(plan(base, targets, total))
     small = F.broadcast if plans.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else (lambda df: df)
-    ranked = _ranked(base, plans.select("source", "target", F.col("size").alias("held"), "whole", "fraction"), seed, small)
-    need = F.col("target") - F.col("whole") * F.col("held")
-    ranked = ranked.withColumn("need", need).withColumn("b1", F.floor(F.col("x") * BINS)).withColumn(
+    ranked = _ranked(base, _rates(base, plans, weight is not None, small), seed, small)
+    needs = cut(ranked.groupBy("source").agg(F.sum(F.col("fraction") * F.col("size")).alias("need")))
+    ranked = ranked.join(small(needs), "source").withColumn("b1", F.floor(F.col("x") * BINS)).withColumn(
         "b2", F.floor(F.col("x") * BINS * BINS) % BINS
     )
     sampled = ranked.where("fraction > 0 AND need > 0")

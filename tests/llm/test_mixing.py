@@ -59,6 +59,19 @@ def test_every_document_has_its_chance(spark):
     assert len(seen) > 50 and max(seen.values()) <= 12
 
 
+def test_unequal_weights_and_caps(spark):
+    docs = spark.createDataFrame([(i, "s", 10, 8.0 if i < 10 else 1.0) for i in range(200)] + [(900, "s", 10, None), (901, "s", 10, 0.0)] + [(1000, "t", 1000, 1.0)], "doc_id long, source string, tokens long, w double")
+    targets = spark.createDataFrame([("s", 0.5, 2), ("t", 0.5, 2)], TARGET)
+    heavy = light = 0
+    for seed in range(4):
+        mixed = M.mixture(docs, targets, total=2000.0, weight="w", seed=seed).where("source = 's'").collect()
+        assert abs(sum(r.copies * r.size for r in mixed) - 1000) <= 10 and max(r.copies for r in mixed) <= 2
+        heavy += sum(r.copies for r in mixed if r.doc_id < 10)
+        light += sum(r.copies for r in mixed if r.doc_id >= 10)
+    # Ten documents reach their cap of two copies, the others share what is left: 80 of 190.
+    assert heavy == 4 * 20 and abs(light - 4 * 80) <= 4
+
+
 def test_empty(spark):
     docs, _ = corpus(spark)
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGET)
