@@ -256,6 +256,15 @@ def _solve(rows: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _links(src: DataFrame) -> DataFrame:
+    """``tree, p, c, rank``: who is named above whom, by the node itself (rank 0) or by the parent only (1)."""
+    return (
+        src.where("up IS NOT NULL").select("tree", F.col("up").alias("p"), F.col("node").alias("c"), F.lit(0).alias("rank"))
+        .unionByName(src.select("tree", F.col("node").alias("p"), F.explode("down").alias("c"), F.lit(1).alias("rank")))
+        .groupBy("tree", "p", "c").agg(F.min("rank").alias("rank"))
+    )
+
+
 def hierarchy(
     elements: DataFrame,
     tree: str = "nro",
@@ -283,11 +292,7 @@ def hierarchy(
         (F.col(f"`{children}`") if children else F.lit(None).cast("array<string>")).alias("down"),
     ).where("tree IS NOT NULL AND node IS NOT NULL AND pos IS NOT NULL")
     nodes = src.groupBy("tree", "node").agg(F.min("pos").alias("pos"))
-    links = (
-        src.where("up IS NOT NULL").select("tree", F.col("up").alias("p"), F.col("node").alias("c"), F.lit(0).alias("rank"))
-        .unionByName(src.select("tree", F.col("node").alias("p"), F.explode("down").alias("c"), F.lit(1).alias("rank")))
-        .groupBy("tree", "p", "c").agg(F.min("rank").alias("rank"))
-    )
+    links = _links(src)
     p = nodes.select("tree", F.col("node").alias("p"), F.col("pos").alias("parent"))
     c = nodes.select("tree", F.col("node").alias("c"), F.col("pos"))
     empty = F.lit(None).cast("array<string>")
@@ -314,9 +319,10 @@ def hierarchy(
 
 
 def descendants(found: DataFrame, tree: str = "nro", node: str = "node_id") -> DataFrame:
-    """All (ancestor, descendant) pairs of the sound nodes of :func:`hierarchy`, with their distance.
+    """The (ancestor, descendant) pairs along the paths of :func:`hierarchy`, with their distance.
 
-    A pair is a row, so that no node's descendants are gathered in one place.
+    A pair is a row, so that no node's descendants are gathered in one place. Pairs through further
+    parents and pairs with broken nodes are not on these paths: see :func:`all_descendants`.
     """
     return (
         found.where(~F.col("broken"))
@@ -326,9 +332,76 @@ def descendants(found: DataFrame, tree: str = "nro", node: str = "node_id") -> D
     )
 
 
-def with_descendant_counts(found: DataFrame, tree: str = "nro", node: str = "node_id") -> DataFrame:
-    """:func:`hierarchy` with ``n_descendants``; the counts are combined before the shuffle."""
-    counts = descendants(found, tree, node).groupBy(tree, F.col("ancestor").alias(node)).agg(
+def all_descendants(
+    elements: DataFrame,
+    found: DataFrame,
+    tree: str = "nro",
+    node: str = "node_id",
+    parent: str = "parent",
+    children: str | None = "children",
+) -> DataFrame:
+    """All (ancestor, descendant) pairs by any chain of links, of every sound ancestor: ``tree, ancestor, descendant``.
+
+    ``found`` is :func:`hierarchy` of ``elements``. Descendants are sound or broken; broken nodes have
+    none of their own, since a loop makes that impossible.
+
+    Links beside the paths (further parents, and all links to broken nodes) lead from a sound node to
+    where they land. Landings that reach another such link are followed round by round until nothing
+    new is reached; the paths above the first link and below the landing then give the pairs. Rounds are
+    as many as such links follow each other, so a deep tree takes none, and a deep broken part as many as it is deep.
+    """
+    known = cut(found.select(F.col(f"`{tree}`").alias("tree"), F.col(f"`{node}`").alias("node"), "broken", "path"))
+    src = elements.select(
+        F.col(f"`{tree}`").alias("tree"), F.col(f"`{node}`").alias("node"),
+        (F.col(f"`{parent}`") if parent else F.lit(None).cast("string")).alias("up"),
+        (F.col(f"`{children}`") if children else F.lit(None).cast("array<string>")).alias("down"),
+    ).where("tree IS NOT NULL AND node IS NOT NULL")
+    above = known.select("tree", F.col("node").alias("p"), F.col("broken").alias("p_broken"), F.col("path").alias("p_path"))
+    below = known.select("tree", F.col("node").alias("c"), F.col("broken").alias("c_broken"), F.try_element_at("path", F.lit(-2)).alias("first"))
+    beside = cut(
+        _links(src).join(above, ["tree", "p"]).join(below, ["tree", "c"])
+        .where(F.col("c_broken") | ~F.col("first").eqNullSafe(F.col("p")))
+        .select("tree", "p", "c", "p_broken", "c_broken", "p_path")
+    )
+    landings = beside.where("NOT c_broken").select("tree", F.col("c").alias("x")).distinct()
+    # From a landing to the next: on the path to the next link's upper end, or a broken upper end itself.
+    hops = cut(
+        beside.where("NOT p_broken").select("tree", F.explode("p_path").alias("x"), F.col("c").alias("next"))
+        .join(landings, ["tree", "x"], "left_semi")
+        .unionByName(beside.where("p_broken").select("tree", F.col("p").alias("x"), F.col("c").alias("next"))).distinct()
+    )
+    new = cut(beside.where("NOT p_broken").select("tree", F.col("p").alias("s"), F.col("c").alias("x")).distinct())
+    reached, rounds = new, 0
+    while not new.isEmpty():
+        new = cut(
+            new.join(hops, ["tree", "x"]).select("tree", "s", F.col("next").alias("x")).distinct()
+            .join(reached, ["tree", "s", "x"], "left_anti")
+        )
+        reached, rounds = reached.unionByName(new), rounds + 1
+        if rounds % 16 == 0:
+            reached = cut(reached)
+    sound = known.where("NOT broken")
+    under = (
+        sound.select("tree", F.col("node").alias("descendant"), F.explode("path").alias("x"))
+        .join(landings, ["tree", "x"], "left_semi")
+        .unionByName(known.where("broken").select("tree", F.col("node").alias("descendant"), F.col("node").alias("x")))
+    )
+    over = sound.select("tree", F.col("node").alias("s"), F.explode("path").alias("ancestor"))
+    # Sources below the same ancestor often share a landing: ancestors are merged before the landings unfold.
+    tops = reached.join(over, ["tree", "s"]).select("tree", "ancestor", "x").distinct()
+    further = tops.join(under, ["tree", "x"]).select("tree", "ancestor", "descendant")
+    along = sound.select("tree", F.explode(F.expr("slice(path, 1, size(path) - 1)")).alias("ancestor"), F.col("node").alias("descendant"))
+    pairs = along.unionByName(further).distinct()
+    return pairs.select(F.col("tree").alias(tree), "ancestor", "descendant")
+
+
+def with_descendant_counts(found: DataFrame, tree: str = "nro", node: str = "node_id", pairs: DataFrame | None = None) -> DataFrame:
+    """:func:`hierarchy` with ``n_descendants``; the counts are combined before the shuffle.
+
+    Counted are ``pairs``, which :func:`all_descendants` gives, else those along the paths only.
+    """
+    pairs = descendants(found, tree, node) if pairs is None else pairs
+    counts = pairs.groupBy(tree, F.col("ancestor").alias(node)).agg(
         F.count(F.lit(1)).alias("n_descendants")
     )
     return found.join(counts, [tree, node], "left").withColumn(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.operators.entities import act_nodes, current_acts
-from statuta.operators.hierarchy import descendants, hierarchy, with_descendant_counts
+from statuta.operators.hierarchy import all_descendants, descendants, hierarchy, with_descendant_counts
 from statuta.operators.orphans import citation_orphans, orphan_report
 from statuta.session import table
 
@@ -31,6 +31,22 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(_hierarchy(spark, d)).withColumn("distance", F.col("distance").cast("long"))
 
 
+def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The hierarchy and all pairs by any chain of links, further parents and broken descendants included."""
+    nodes = act_nodes(current_acts(table(spark, d, "tree_acts")))
+    found = hierarchy(nodes)
+    return found, all_descendants(nodes, found)
+
+
+def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return _whole(spark, d)[1]
+
+
+def p1_all_counts(spark: SparkSession, d: str) -> DataFrame:
+    found, pairs = _whole(spark, d)
+    return with_descendant_counts(found, pairs=pairs).select("nro", "node_id", "broken", "n_descendants")
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return citation_orphans(table(spark, d, "raw_questions"), table(spark, d, "keywords"), table(spark, d, "tree_acts"))
 
@@ -160,6 +176,20 @@ UNION ALL SELECT nro, node_id, true, NULL, NULL, NULL, NULL FROM broken""",
         p1_descendants,
         f"WITH RECURSIVE {TREE_SQL} SELECT nro, ancestor, descendant, CAST(distance AS BIGINT) AS distance FROM pairs",
     ),
+    "p1_all_descendants": (
+        p1_all_descendants,
+        f"""WITH RECURSIVE {EDGE_SQL}
+SELECT nro, p AS ancestor, c AS descendant FROM above a
+WHERE NOT EXISTS (SELECT 1 FROM broken b WHERE b.nro = a.nro AND b.node_id = a.p)""",
+    ),
+    "p1_all_counts": (
+        p1_all_counts,
+        f"""WITH RECURSIVE {EDGE_SQL}
+SELECT n.nro, n.node_id, b.node_id IS NOT NULL AS broken,
+       CASE WHEN b.node_id IS NULL THEN CAST(count(a.c) AS BIGINT) END AS n_descendants
+FROM act_nodes n LEFT JOIN above a ON a.nro = n.nro AND a.p = n.node_id
+LEFT JOIN broken b ON b.nro = n.nro AND b.node_id = n.node_id GROUP BY n.nro, n.node_id, b.node_id""",
+    ),
     "p5_found": (p5_found, f"WITH {CITATION_SQL} SELECT DISTINCT field, owner, act_nro, ref_id, reason FROM orphans"),
     "p5_report": (
         p5_report,

@@ -85,3 +85,47 @@ def test_descendants_are_pairs(spark):
     rows = [(1, "r", 0, None, ["a", "b"]), (1, "a", 1, "r", ["c"]), (1, "b", 2, "r", None), (1, "c", 3, "a", None)]
     pairs = H.descendants(H.hierarchy(spark.createDataFrame(rows, SCHEMA))).collect()
     assert {(p.ancestor, p.descendant, p.distance) for p in pairs} == {("r", "a", 1), ("r", "b", 1), ("r", "c", 2), ("a", "c", 1)}
+
+
+def closure(rows):
+    """Pairs by any chain of links, from sound ancestors."""
+    ids = {(r[0], r[1]) for r in rows}
+    down = {k: set() for k in ids}
+    for nro, node, _, parent, children in rows:
+        if (nro, parent) in ids:
+            down[nro, parent].add(node)
+        down[nro, node] |= {c for c in children or [] if (nro, c) in ids}
+    pairs = set()
+    for nro, top in brute(rows):
+        seen, todo = set(), [top]
+        while todo:
+            new = down[nro, todo.pop()] - seen
+            seen |= new
+            todo += new
+        pairs |= {(nro, top, x) for x in seen}
+    return pairs
+
+
+def test_all_descendants_of_second_parents_and_above_loops(spark):
+    rows = [
+        (1, "r", 0, None, ["a", "b"]), (1, "a", 1, "r", None), (1, "b", 2, "r", ["c"]), (1, "c", 3, "a", None), (1, "d", 4, "c", ["e"]),
+        (1, "x", 5, "c", ["y"]), (1, "y", 6, "x", ["x"]), (1, "z", 7, "y", None),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = H.hierarchy(df)
+    pairs = H.all_descendants(df, found)
+    got = {(p.nro, p.ancestor, p.descendant) for p in pairs.collect()}
+    assert got == closure(rows) and pairs.count() == len(got)
+    assert {(1, "b", "c"), (1, "b", "d"), (1, "r", "z"), (1, "b", "y")} <= got
+    along = {(p.nro, p.ancestor, p.descendant) for p in H.descendants(found).collect()}
+    assert along < got
+    counts = {r.node_id: r.n_descendants for r in H.with_descendant_counts(found, pairs=pairs).collect()}
+    assert counts == {"r": 7, "a": 5, "b": 5, "c": 4, "d": 0, "x": None, "y": None, "z": None}
+    assert H.all_descendants(df.limit(0), H.hierarchy(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("seed,n", [(1, 30), (4, 120)])
+def test_all_descendants_by_brute_force(spark, seed, n):
+    df = spark.createDataFrame(graph(seed, n), SCHEMA)
+    got = [(p.nro, p.ancestor, p.descendant) for p in H.all_descendants(df, H.hierarchy(df)).collect()]
+    assert set(got) == closure(graph(seed, n)) and len(got) == len(set(got))
