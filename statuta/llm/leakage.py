@@ -11,11 +11,14 @@ nothing rarer.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from statuta.session import cut
+from statuta.session import cut, ship
 
 RUN = 12
 #: Anchor terms a window is looked up by.
@@ -124,32 +127,76 @@ def leaked(
     )
 
 
+@F.pandas_udf(T.StructType([T.StructField("terms", T.LongType()), T.StructField("span", T.LongType())]))
+def _in_place(item_words: pd.Series, there: pd.Series, shifts: pd.Series) -> pd.DataFrame:
+    """How many words of an item stand in a stretch within so many shifts of their places, and minus their spread."""
+    out = []
+    for item, stretch, width in zip(item_words, there, shifts):
+        at: dict[str, list[int]] = {}
+        for i, word in enumerate(stretch):
+            if word is not None:
+                at.setdefault(word, []).append(i)
+        held = [own for off, word in enumerate(item) if (own := [i - off for i in at.get(word, ()) if 0 <= i - off < width])]
+        if not held:
+            out.append((0, 0))
+            continue
+        count = Counter(x for own in held for x in own)
+        usual = min(count, key=lambda x: (-count[x], x))
+        nearest = [min(own, key=lambda x: (abs(x - usual), x)) for own in held]
+        out.append((len(held), min(nearest) - max(nearest)))
+    return pd.DataFrame(out, columns=["terms", "span"])
+
+
 def near_items(
     documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text",
-    share: float = 0.8, slop: int = 12, rare: int = 12,
+    share: float = 0.8, slop: int = 12, hits: int = 3,
 ) -> DataFrame:
     """``doc, item, terms, span``: proximity matches, which find items that were edited.
 
-    Of each item the ``rare`` rarest terms are looked up; a document matches where at least ``share``
-    of them stand close to their places in the item, shifted against each other by less than
-    ``slop`` words. ``span`` is the shift between the extremes. Nulls and empty texts match nothing.
+    A document matches where at least ``share`` of all the item's words, and four at least, stand close
+    to their places in the item: shifted against each other by less than ``slop`` words, or by up to
+    twice as many where they fall into the same two cells. ``terms`` is the number of words in place
+    where most are, ``span`` the shift between the extremes there, of each word the shift nearest to
+    the commonest. Words that the corpus lacks count as not in place. Nulls and empty texts match nothing.
+
+    The rarest words only say where to look. A match lacks at most ``size - need`` words, so at least
+    ``hits`` of the ``size - need + hits`` rarest are in place: no match is missed. There all words are counted.
     """
+    ship(documents.sparkSession)
     listed = items.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("item"), words(F.col(f"`{text}`")).alias("item_words")).distinct()
+    need = F.greatest(F.lit(4), F.ceil(F.round(F.size("item_words") * F.lit(share), 9))).cast("int")
+    listed = listed.withColumn("need", need).where(F.size("item_words") >= F.col("need"))
+    # A number for each text, fixed by the cut, so that several texts under one key are looked for one by one.
+    listed = cut(listed.withColumn("it", F.monotonically_increasing_id()))
     terms = listed.select(F.explode("item_words").alias("term")).distinct()
     frequency = cut(_postings(documents, doc, text, _small(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    at = listed.select("item", F.posexplode("item_words").alias("off", "term")).join(frequency, "term", "left").fillna(0, ["n"])
-    order = Window.partitionBy("item").orderBy("n", "off")
-    probes = at.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rare).select("item", "off", "term")
-    sizes = probes.groupBy("item").agg(F.count(F.lit(1)).alias("size"))
-    probes = _small(probes)
+    at = listed.select("it", "need", F.size("item_words").alias("size"), F.posexplode("item_words").alias("off", "term")).join(frequency, "term", "left").fillna(0, ["n"])
+    order = Window.partitionBy("it").orderBy("n", "off")
+    least = F.least(F.lit(hits), F.col("need"))
+    looked = F.col("size") - F.col("need") + least
+    probes = at.withColumn("r", F.row_number().over(order)).where(F.col("r") <= looked).where("n > 0")
+    probes = _small(probes.select("it", "off", "term", least.alias("least")))
     postings = _postings(documents, doc, text, _small(probes.select("term").distinct()))
     place = F.col("pos") - F.col("off")
     cell = F.floor(place / slop)
     # Cells of width slop, each place in its own and the next: places less than slop apart share one.
-    spread = postings.join(probes, "term").select("doc", "item", "off", place.alias("place"), F.explode(F.array(cell, cell + 1)).alias("cell"))
-    groups = spread.groupBy("doc", "item", "cell").agg(
-        F.count_distinct("off").alias("terms"), (F.max("place") - F.min("place")).alias("span")
-    )
-    kept = groups.join(_small(sizes), "item").where(F.col("terms") >= F.ceil(F.col("size") * share)).where(F.col("terms") >= 4)
-    best = kept.groupBy("doc", "item").agg(F.max(F.struct("terms", (-F.col("span")).alias("span"))).alias("b"))
+    spread = postings.join(probes, "term").select("doc", "it", "least", "off", F.explode(F.array(cell, cell + 1)).alias("cell"))
+    groups = spread.groupBy("doc", "it", "cell").agg(F.count_distinct("off").alias("found"), F.first("least").alias("least"))
+    candidates = cut(groups.where(F.col("found") >= F.col("least")).select("doc", "it", "cell"))
+    held = candidates.select("doc").distinct()
+    texts = documents.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("doc_text")).where("doc_text IS NOT NULL").distinct()
+    texts = texts.join(_small(held), "doc", "left_semi").select("doc", words(F.col("doc_text")).alias("doc_words"))
+    # The stretch holds the places of the cell before and of this one; what lies before the document is null.
+    begin, length = (F.col("cell") - 1) * slop, F.size("item_words") + 2 * slop
+    before = F.least(F.greatest(-begin, F.lit(0)), length).cast("int")
+    stretch = candidates.join(texts, "doc").join(_small(listed), "it").select(
+        "doc", "item", "item_words", "need",
+        F.concat(
+            F.array_repeat(F.lit(None).cast("string"), before),
+            F.slice("doc_words", F.greatest(begin, F.lit(0)).cast("int") + 1, length - before),
+        ).alias("there"),
+    )
+    counted = stretch.select("doc", "item", "need", _in_place("item_words", "there", F.lit(2 * slop)).alias("b"))
+    kept = counted.where(F.col("b.terms") >= F.col("need"))
+    best = kept.groupBy("doc", "item").agg(F.max("b").alias("b"))
     return best.select(F.col("doc").alias(doc), F.col("item").alias(item), "b.terms", (-F.col("b.span")).alias("span"))
