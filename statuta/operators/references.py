@@ -25,7 +25,7 @@ def keyword_records(keywords: DataFrame, relations: DataFrame) -> DataFrame:
     """``conceptId, instanceOfType, relations``: keywords with their relations by act, an empty list for none left."""
     keys = ["conceptId", "instanceOfType"]
     one = relations.select(*keys, F.struct("nro", "title", "lawType", "validity", "units").alias("r"))
-    lists = one.groupBy(*keys).agg(F.array_sort(F.collect_list("r"), lambda a, b: (a["nro"] - b["nro"]).cast("int")).alias("l"))
+    lists = one.groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("l"))
     none = F.array().cast(lists.schema["l"].dataType)
     return keywords.select(*keys).distinct().join(lists, keys, "left").select(*keys, F.coalesce("l", none).alias("relations"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.session import ship
+from statuta.session import cut, ship, small
 
-#: Queries of one block; a larger query set is searched in several blocks.
-BLOCK = 4096
+#: Rows and queries scored at a time, the most rows or queries of a block, and the blocks beyond which they grow.
+PART, BLOCK, MANY = 4096, 65_536, 64
+#: Places to which scores are rounded before they are ranked.
+DIGITS = 9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,38 +33,21 @@ def usable(vector: Column, dim: int) -> Column:
     return F.coalesce((F.size(vector) == dim) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _local_topk(queries, k: int, exclude: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, matrix, excluded = queries.value
-        kept: list[pd.DataFrame] = []
-        rows = 0
-
-        def shrink() -> pd.DataFrame:
-            found = pd.concat(kept, ignore_index=True).sort_values(["qid", "score", "id"], ascending=[True, False, True], kind="stable")
-            return found.groupby("qid", sort=False).head(k)
-
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["id"].to_numpy()
-            vectors = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-            scores = matrix @ vectors.T
-            if exclude:
-                scores[excluded[:, None] == ids[None, :]] = -9.0
-            take = min(k, len(ids))
-            # Everything as good as the k-th is kept, so that ties can go to the smaller id.
-            border = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take]
-            q, i = np.nonzero((scores >= border[:, None] - 1e-9) & (scores > -2.0))
-            kept.append(pd.DataFrame({"qid": qids[q], "id": ids[i], "score": scores[q, i]}))
-            rows += len(q)
-            if rows > 20 * k * len(qids):
-                kept = [shrink()]
-                rows = len(kept[0])
-        if kept:
-            yield shrink()
+def ranked(score: str = "score") -> Column:
+    """What scores are ranked by: rounded, so that the noise of sums in another order decides nothing."""
+    return F.desc(F.round(score, DIGITS))
 
-    return run
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the ``k`` best rows of each query by rounded score, then id; scores below -2 are none."""
+    take = min(k, scores.shape[1])
+    border = np.partition(scores, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
+    q, i = np.nonzero((scores >= border[:, None] - 2 * 10.0**-DIGITS) & (scores > -2.0))
+    order = np.lexsort((ids[i], -np.round(scores[q, i], DIGITS), q))
+    q, i = q[order], i[order]
+    first = np.searchsorted(q, q)
+    kept = np.arange(len(q)) - first < k
+    return q[kept], i[kept]
 
 
 def topk(
@@ -70,33 +55,12 @@ def topk(
 ) -> DataFrame:
     """``qid, id, score, rank``: the ``k`` most similar rows of ``corpus(id, vector)`` for every query.
 
-    ``queries(qid, vector)``, with ``exclude`` also ``own``: an id that must not be found. Ties go to
-    the smaller id. Unusable vectors on either side are left out. Each task of the corpus keeps its
-    own top k per query, and only those are shuffled. Query blocks are broadcast, which are bounded
-    by BLOCK vectors; a larger query set takes one pass over the corpus per block.
+    ``queries(qid, vector)``, with ``exclude`` also ``own``: an id that must not be found. Ranks go by the
+    score rounded to DIGITS places, ties to the smaller id. Unusable vectors on either side are left out.
+    Queries and rows meet in blocks, as in :func:`filtered_topk`, and each block keeps its own top k.
     """
-    spark = queries.sparkSession
-    ship(spark)
-    good = queries.where(usable(F.col("vector"), dim))
-    wanted = ["qid", "vector", "own"] if exclude else ["qid", "vector"]
-    found = None
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    kinds = {f.name: f.dataType for f in queries.schema.fields} | {f.name: f.dataType for f in corpus.schema.fields}
-    schema = T.StructType([T.StructField("qid", kinds["qid"]), T.StructField("id", kinds["id"]), T.StructField("score", T.DoubleType())])
-    n = good.count()
-    blocks = max(1, -(-n // BLOCK))
-    source = corpus.where(usable(F.col("vector"), dim)).select("id", "vector")
-    for b in range(blocks):
-        part = good.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select(*wanted).toPandas()
-        if part.empty and b:
-            continue
-        matrix = np.stack(part["vector"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, dim))
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if len(part) else matrix
-        own = part["own"].to_numpy() if exclude else np.zeros(0)
-        block = spark.sparkContext.broadcast((part["qid"].to_numpy(), matrix, own))
-        hits = source.mapInPandas(_local_topk(block, k, exclude), schema)
-        found = hits if found is None else found.unionByName(hits)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    one = F.lit(0).alias("act")
+    return filtered_topk(queries, queries.select("qid", one), corpus.select("id", one, "vector"), k, dim=dim, exclude=exclude)
 
 
 def _pairs_of(column: pd.Series) -> list[set[tuple[int, int]]]:
@@ -119,55 +83,74 @@ def _keyword_mask(queries: pd.DataFrame, rows: pd.DataFrame) -> np.ndarray:
     return (asks @ has.T > 0) | free[:, None]
 
 
-def _block_topk(keyword_filter: bool):
+def _block_topk(keyword_filter: bool, exclude: bool, step: int):
     def run(both: pd.DataFrame) -> pd.DataFrame:
         queries, rows = both[both["asks"]], both[~both["asks"]]
-        if queries.empty or rows.empty:
-            return both.iloc[:0][["qid", "id"]].assign(score=0.0)
-        unit = [np.stack(side["vector"].to_numpy()).astype(np.float64) for side in (queries, rows)]
-        unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in unit]
-        scores = unit[0] @ unit[1].T
-        if keyword_filter:
-            scores[~_keyword_mask(queries, rows)] = -9.0
-        out = []
-        budget = queries["k"].to_numpy()
-        for k in np.unique(budget):
-            mine = np.nonzero(budget == k)[0]
-            take = int(min(k, scores.shape[1]))
-            if take < 1:
-                continue
-            part = scores[mine]
-            border = np.partition(part, part.shape[1] - take, axis=1)[:, part.shape[1] - take]
-            q, i = np.nonzero((part >= border[:, None] - 1e-9) & (part > -2.0))
-            out.append(pd.DataFrame({"qid": queries["qid"].to_numpy()[mine[q]], "id": rows["id"].to_numpy()[i], "score": part[q, i]}))
-        return pd.concat(out, ignore_index=True) if out else both.iloc[:0][["qid", "id"]].assign(score=0.0)
+        out = [both.iloc[:0][["qid", "id"]].assign(score=0.0)]
+        # Scores of a part of the queries and a part of the rows at a time, so that memory is bounded.
+        for at in range(0, len(queries), step):
+            some = queries.iloc[at : at + step]
+            left = _unit(some["vector"])
+            budget = some["k"].to_numpy()
+            parts = []
+            for upto in range(0, len(rows), step):
+                part = rows.iloc[upto : upto + step]
+                ids = part["id"].to_numpy()
+                scores = left @ _unit(part["vector"]).T
+                if exclude:
+                    scores[some["own"].to_numpy()[:, None] == ids[None, :]] = -9.0
+                if keyword_filter:
+                    scores[~_keyword_mask(some, part)] = -9.0
+                for k in np.unique(budget[budget > 0]):
+                    mine = np.nonzero(budget == k)[0]
+                    q, i = _best(scores[mine], ids, int(k))
+                    parts.append(pd.DataFrame({"qid": some["qid"].to_numpy()[mine[q]], "id": ids[i], "score": scores[mine][q, i], "k": k}))
+            if parts:
+                found = pd.concat(parts, ignore_index=True)
+                found["r"] = -found["score"].round(DIGITS)
+                found = found.sort_values(["qid", "r", "id"], kind="stable")
+                out.append(found[found.groupby("qid", sort=False).cumcount() < found["k"]][["qid", "id", "score"]])
+        return pd.concat(out[1:], ignore_index=True) if len(out) > 1 else out[0]
 
     return run
 
 
+def _unit(column: pd.Series) -> np.ndarray:
+    matrix = np.stack(column.to_numpy()).astype(np.float64)
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+def _row_blocks(n: Column) -> Column:
+    """Blocks of PART rows; beyond MANY of them larger ones, up to BLOCK rows, so that queries are copied less often."""
+    return F.least(F.ceil(n / PART), F.greatest(F.lit(MANY), F.ceil(n / BLOCK))).cast("int")
+
+
 def filtered_topk(
-    queries: DataFrame, allowed: DataFrame, corpus: DataFrame, k: int | str, keyword_filter: bool = False, dim: int = 64
+    queries: DataFrame, allowed: DataFrame, corpus: DataFrame, k: int | str, keyword_filter: bool = False, dim: int = 64, exclude: bool = False
 ) -> DataFrame:
     """``qid, id, score, rank``: top k among the rows whose ``act`` the query allows.
 
     ``queries(qid, vector)``, ``allowed(qid, act)``, ``corpus(id, act, vector)``. ``k`` may name a column of
     ``queries`` with a budget of its own. With ``keyword_filter`` a row must have a keyword whose concept is among
-    the query's ``concepts`` and whose type is among its ``types``; a query without concepts takes all rows.
+    the query's ``concepts`` and whose type is among its ``types``; a query without concepts takes all rows. With
+    ``exclude`` the row whose id is the query's ``own`` is not found. Ranks as in :func:`topk`. Null ids and
+    acts find nothing.
 
     The filter comes before anything is scored: queries and rows meet per act, in blocks of at most
-    about BLOCK of each, so that an act with a large part of all rows or queries is spread over many
+    about BLOCK rows, so that an act with a large part of all rows or queries is spread over many
     tasks. Each block keeps its own top k, and only those are shuffled.
     """
     spark = queries.sparkSession
     ship(spark)
     extra_q, extra_c = (["concepts", "types"], ["keywords"]) if keyword_filter else ([], [])
-    good = queries.where(usable(F.col("vector"), dim)).withColumn("k", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int"))
-    rows = corpus.where(usable(F.col("vector"), dim)).select("act", "id", "vector", *extra_c)
+    extra_q = extra_q + ["own"] * exclude
+    good = queries.where(usable(F.col("vector"), dim) & F.col("qid").isNotNull()).withColumn("k", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int"))
+    rows = corpus.where(usable(F.col("vector"), dim) & F.col("id").isNotNull()).select("act", "id", "vector", *extra_c)
     pairs = allowed.where("act IS NOT NULL").select("qid", "act").distinct()
-    # Blocks per act, from two narrow counts.
-    n = rows.groupBy("act").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rbs"))
+    # Blocks per act, from two narrow counts; four numbers an act, broadcast if they were measured to be small.
+    n = rows.groupBy("act").agg(_row_blocks(F.count(F.lit(1))).alias("rbs"))
     m = pairs.groupBy("act").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qbs"))
-    blocks = n.join(m, "act")
+    blocks = small(cut(n.join(m, "act")))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     part = lambda c, of: F.pmod(F.xxhash64(c), F.col(of)).cast("int")
     nothing = {f.name: f.dataType for f in [*queries.schema.fields, *corpus.schema.fields]}
@@ -182,8 +165,8 @@ def filtered_topk(
     )
     met = asking.unionByName(held).groupBy("act", "qb", "rb")
     schema = T.StructType([T.StructField("qid", nothing["qid"]), T.StructField("id", nothing["id"]), T.StructField("score", T.DoubleType())])
-    scored = met.applyInPandas(_block_topk(keyword_filter), schema).join(good.select("qid", "k"), "qid")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    scored = met.applyInPandas(_block_topk(keyword_filter, exclude, PART), schema).join(good.select("qid", "k"), "qid")
+    order = Window.partitionBy("qid").orderBy(ranked(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).drop("k")
 
 

@@ -16,9 +16,24 @@ def sample(questions: DataFrame, key: str = "nro", part: int = 20) -> DataFrame:
     """One row in ``part``, at least one if there is any, by the order of the key's md5.
 
     The size of the sample is the number of rows divided by ``part``; the sample is the feature here.
+    Two histograms of 4096 bins find where the order is cut, so that only one range in sixteen million
+    is sorted. Ties of the hash go to the smaller key; a null key comes last.
     """
-    n = questions.count()
-    return questions.orderBy(F.md5(F.col(key).cast("string")), key).limit(max(1, n // part) if n else 0)
+    hashed = questions.withColumn("__h", F.coalesce(F.md5(F.col(f"`{key}`").cast("string")), F.lit("g" * 32)))
+    need, edge, n = 0, "", None
+    for level in (0, 1):
+        bins = hashed.where(F.startswith("__h", F.lit(edge))).groupBy(F.substring("__h", 1, 3 * level + 3).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        counted = sorted((r["b"], r["n"]) for r in bins.collect())  # at most 4097 rows
+        if n is None:
+            n = sum(c for _, c in counted)
+            need = max(1, n // part) if n else 0
+        for edge, c in counted:  # noqa: B007
+            if c >= need:
+                break
+            need -= c
+    prefix = F.substring("__h", 1, 6)
+    last = hashed.where(prefix == edge).orderBy("__h", key).limit(need)
+    return hashed.where(prefix < edge).unionByName(last).drop("__h")
 
 
 def gold(questions: DataFrame) -> DataFrame:

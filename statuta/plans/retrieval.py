@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.operators.vector import filtered_topk, topk
+from statuta.operators.vector import filtered_topk, ranked, topk
 
 QUESTIONS, FIRST_QUESTIONS, PARTS = 40, 60, 100
 
@@ -65,4 +65,4 @@ def two_phase(
 def ranked_acts(hits: DataFrame) -> DataFrame:
     """``qid, act, act_rank``: found acts by the score of their best chunk, then number."""
     best = hits.groupBy("qid", "act").agg(F.max("score").alias("best"))
-    return best.withColumn("act_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "act")))
+    return best.withColumn("act_rank", F.row_number().over(Window.partitionBy("qid").orderBy(ranked("best"), "act")))

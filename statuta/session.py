@@ -6,7 +6,9 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,3 +66,27 @@ def cut(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     ship(df.sparkSession)
     return df.checkpoint(eager=True).toDF(*df.columns)
+
+
+#: Bytes, as measured, up to which a side of a join is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes, roughly; nested values by their text."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+        return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(24), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.greatest(F.size(column), F.lit(0)) * 8 + 24
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.length(F.to_json(F.struct(column))), F.lit(0)) + 24
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows were measured to take at most ``most`` bytes, else as it is."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8))
+    taken = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if taken <= most else df

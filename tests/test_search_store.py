@@ -23,7 +23,8 @@ def vectors(spark):
 
 @pytest.mark.parametrize("block", [4096, 1])
 def test_topk(spark, monkeypatch, block):
-    monkeypatch.setattr(V, "BLOCK", block)
+    for name, value in (("BLOCK", block), ("PART", block), ("MANY", 1)):
+        monkeypatch.setattr(V, name, value)
     q = spark.createDataFrame([(10, [1.0, 0.0], 1), (11, [1.0, 0.0], 99), (12, None, 1)], "qid long, vector array<float>, own long")
     got = V.topk(q, vectors(spark), 3, dim=2).orderBy("qid", "rank").collect()
     assert [(r.qid, r.id, round(r.score, 6)) for r in got] == [(q, i, s) for q in (10, 11) for i, s in ((1, 1.0), (4, 1.0), (2, 0.6))]
@@ -37,7 +38,8 @@ def test_filtered_topk(spark, monkeypatch, block):
     """Against brute force, with a hot act, keyword lists, budgets and unusable vectors."""
     import random
 
-    monkeypatch.setattr(V, "BLOCK", block)
+    for name, value in (("BLOCK", block), ("PART", block), ("MANY", 1)):
+        monkeypatch.setattr(V, name, value)
     rng = random.Random(4)
     vec = lambda: [rng.uniform(-1, 1), rng.uniform(-1, 1)]
     kw = lambda: [(rng.randrange(3), rng.randrange(3)) for _ in range(rng.randrange(3))]
@@ -63,6 +65,42 @@ def test_filtered_topk(spark, monkeypatch, block):
     assert V.filtered_topk(q, a.limit(0), c, 3, dim=2).count() == 0
 
 
+@pytest.mark.parametrize("part,parts", [(4096, 1), (2, 7), (5, 3)])
+def test_near_ties_do_not_depend_on_blocks(spark, monkeypatch, part, parts):
+    """Scores that differ by less than the rounding are ties, which go to the smaller id."""
+    monkeypatch.setattr(V, "PART", part)
+    rows = [(i, [1.0, 1e-6 * (9 - i), 1.0]) for i in range(10)] + [(i, [3.0 * i, 0.0, 3.0 * i]) for i in range(10, 20)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>").repartition(parts)
+    q = spark.createDataFrame([(1, [1.0, 0.0, 1.0])], "qid long, vector array<double>")
+    assert [r.id for r in V.topk(q, corpus, 12, dim=3).orderBy("rank").collect()] == list(range(12))
+
+
+def test_records_of_large_numbers(spark):
+    relations = spark.createDataFrame([(1, 2, n, "t", "l", "v", None) for n in (7, 5_000_000_000, 5, -5_000_000_000)], "conceptId long, instanceOfType long, nro long, title string, lawType string, validity string, units array<string>")
+    got = K.keyword_records(spark.createDataFrame([(1, 2), (3, 4)], "conceptId long, instanceOfType long"), relations).orderBy("conceptId").collect()
+    assert [[r.nro for r in row.relations] for row in got] == [[-5_000_000_000, 5, 7, 5_000_000_000], []]
+
+
+def test_sample_by_brute_force(spark):
+    import hashlib
+
+    keys = [*range(900), 5, 5, None]
+    df = spark.createDataFrame([(k, "x") for k in keys], "nro long, y string").repartition(3)
+    order = sorted(keys, key=lambda k: (k is None, hashlib.md5(str(k).encode()).hexdigest()))
+    for part in (1, 20, 400, 2000):
+        assert sorted(map(str, (r.nro for r in E.sample(df, part=part).collect()))) == sorted(map(str, order[: max(1, len(keys) // part)]))
+    assert E.sample(df.limit(0)).count() == 0
+
+
+def test_small_sides_are_measured(spark):
+    from statuta.session import small
+
+    df = spark.createDataFrame([(1, "x" * 1000, ["y" * 500]), (2, None, None)], "a long, b string, c array<string>")
+    plan = lambda d: spark.range(3).join(d, F.col("id") == F.col("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(small(df)) and "broadcast" not in plan(small(df, 1500))
+    assert small(df.limit(0)).count() == 0
+
+
 def test_nested_filter(spark):
     df = spark.createDataFrame([([(1, 2), (3, 4)],), ([],), (None,)], "k array<struct<conceptId: bigint, instanceOfType: bigint>>")
     lists = [F.array(*[F.lit(x) for x in v]) for v in ((1, 9), (4, 2))]
