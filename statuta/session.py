@@ -85,8 +85,25 @@ def _width(column: Column, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if its rows were measured to take at most ``most`` bytes, else as it is."""
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df`` take at most ``most`` bytes, measured on all of them."""
     width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8))
-    taken = df.agg(F.sum(width.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if taken <= most else df
+    return (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it was measured to be small, else as it is."""
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "left", salts: int = 16) -> DataFrame:
+    """``left`` joined to the unique keys of ``right``, where one key may hold a large part of ``left``.
+
+    ``right`` is broadcast if it was measured to be small. Else rows of ``left`` get a salt by a hash of the columns
+    ``spread``, and ``right`` is repeated for every salt, so that a popular key is met in as many tasks.
+    """
+    if is_small(right):
+        return left.join(F.broadcast(right), on, how)
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    each = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(each, [*on, "__salt"], how).drop("__salt")

@@ -31,6 +31,41 @@ def test_match_rules(spark, match, expected):
     assert sorted(rows, key=key) == sorted([e for e in expected if not (e[0] is None and e[1] in partial_targets)], key=key)
 
 
+@pytest.mark.parametrize("match", [SIMPLE, PARTIAL, FULL])
+def test_three_columns_and_salt_by_brute_force(spark, match):
+    import random
+
+    rng = random.Random(3)
+    value = lambda: rng.choice([None, 1, 2, 3])
+    refs = [(value(), value(), value(), i) for i in range(300)] + [(1, 1, 1, 300 + i) for i in range(200)]
+    targets = [(value(), value(), value()) for _ in range(12)]
+
+    def orphan(r):
+        asked = [i for i in range(3) if r[i] is not None]
+        if not asked or match == SIMPLE and len(asked) < 3:
+            return False
+        if match == FULL and len(asked) < 3:
+            return True
+        return not any(all(t[i] == r[i] for i in asked) for t in targets)
+
+    columns = [("a", "a"), ("b", "b"), ("c", "c")]
+    r, t = spark.createDataFrame(refs, "a int, b int, c int, n int"), spark.createDataFrame(targets, "a int, b int, c int")
+    for salt in ((), ("n",)):
+        assert sorted(x.n for x in orphan_references(r, t, columns, match, salt).collect()) == [x[3] for x in refs if orphan(x)]
+
+
+def test_hot_join_both_ways(spark, monkeypatch):
+    from statuta import session
+
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 7), (None, 8)], "k int, n int")
+    right = spark.createDataFrame([(1, "x"), (3, "y")], "k int, v string")
+    for most in (True, False):
+        monkeypatch.setattr(session, "is_small", lambda df, most=most: most)
+        got = sorted((r.n, r.v) for r in session.hot_join(left, right, ["k"], ["n"]).where("v IS NOT NULL").collect())
+        assert got == [(i, "x") for i in range(50)]
+        assert session.hot_join(left, right, ["k"], ["n"]).count() == 52
+
+
 def test_unknown_rule(spark):
     df = spark.createDataFrame(REFS, "k1 int, k2 string")
     with pytest.raises(ValueError):
