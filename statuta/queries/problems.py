@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.operators.entities import act_nodes, current_acts
-from statuta.operators.hierarchy import all_descendants, descendants, hierarchy, with_descendant_counts
+from statuta.operators.hierarchy import all_descendants, broken_nodes, descendants, hierarchy, with_descendant_counts
 from statuta.operators.orphans import citation_orphans, orphan_report
 from statuta.session import table
 
@@ -16,13 +16,13 @@ def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _hierarchy(spark, d).where("broken").select("nro", "node_id")
+    return broken_nodes(act_nodes(current_acts(table(spark, d, "tree_acts"))))
 
 
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     found = with_descendant_counts(_hierarchy(spark, d))
     return found.select(
-        "nro", "node_id", "broken", "root", F.col("depth").cast("long").alias("depth"),
+        "nro", "node_id", "broken", "root", "depth",
         F.array_join("path", "/").alias("path"), "n_descendants",
     )
 

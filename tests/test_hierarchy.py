@@ -44,10 +44,11 @@ def graph(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,width,widen,double", [(1, 30, 512, 512, 9999), (2, 60, 4, 4, 9999), (3, 200, 8, 2, 9999), (4, 120, 1, 3, 9999), (5, 150, 4, 512, 0), (6, 80, 1, 2, 0)])
-def test_equals_brute_force(spark, monkeypatch, seed, n, width, widen, double):
-    monkeypatch.setattr(H, "WIDEN", widen)
-    monkeypatch.setattr(H, "DOUBLE_FROM", double)
+@pytest.mark.parametrize("seed,n,width,fit,star", [(1, 30, 512, 99, 99), (2, 60, 4, 99, 99), (3, 200, 8, 5, 99), (4, 120, 1, 3, 2), (5, 150, 4, 0, 1)])
+def test_equals_brute_force(spark, monkeypatch, seed, n, width, fit, star):
+    """Few and many levels, wide and narrow fragments, and nodes with several parents that fit nowhere."""
+    monkeypatch.setattr(H, "FIT", fit)
+    monkeypatch.setattr(H, "STAR", star)
     rows = graph(seed, n)
     found = H.hierarchy(spark.createDataFrame(rows, SCHEMA), width=width).collect()
     path = brute(rows)
@@ -59,7 +60,31 @@ def test_equals_brute_force(spark, monkeypatch, seed, n, width, widen, double):
         assert (r.root, r.depth) == ((expected[0], len(expected) - 1) if expected else (None, None))
 
 
-def test_long_chain_across_fragments(spark):
+def test_without_paths_and_broken_alone(spark, monkeypatch):
+    monkeypatch.setattr(H, "FIT", 20)
+    df = spark.createDataFrame(graph(7, 150), SCHEMA)
+    full = {(r.nro, r.node_id): (r.broken, r.root, r.depth) for r in H.hierarchy(df, width=4).collect()}
+    short = H.hierarchy(df, width=4, paths=False)
+    assert short.columns == ["nro", "node_id", "broken", "root", "depth"]
+    assert {(r.nro, r.node_id): (r.broken, r.root, r.depth) for r in short.collect()} == full
+    assert {(r.nro, r.node_id) for r in H.broken_nodes(df, width=4).collect()} == {k for k, v in full.items() if v[0]}
+
+
+def test_groups_are_kept_whole(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(H, "_CHUNK_ROWS", 7)
+    rows = pd.DataFrame({"tree": ["a"] * 30 + ["b"] * 20, "frag": [0] * 2 + [1] * 25 + [2] * 3 + [0] * 1 + [1] * 19, "n": range(50)})
+    for size in (1, 3, 8, 50):
+        out = list(H._whole_groups(rows.iloc[i : i + size] for i in range(0, 50, size)))
+        assert pd.concat(out)["n"].tolist() == list(range(50))
+        ends = [set(zip(o["tree"], o["frag"])) for o in out]
+        assert sum(map(len, ends)) == len(set().union(*ends))
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_long_chain_across_fragments(spark, monkeypatch, spread):
+    monkeypatch.setattr(H, "FIT", 8 if spread else H.FIT)
     n = 700
     rows = [(1, f"c{i}", i, f"c{i - 1}" if i else None, None) for i in range(n)] + [(1, "x", n, "y", None), (1, "y", n + 1, "x", None), (1, "z", n + 2, "y", None)]
     found = H.with_descendant_counts(H.hierarchy(spark.createDataFrame(rows, SCHEMA), width=50)).collect()
