@@ -1,10 +1,11 @@
 """Defective prompt-response pairs: empty, truncated, refused, copied or in another language.
 
-Method. All distinct responses are sorted by text over the whole cluster, so that a response that is
-the beginning of another one stands right before one it begins: comparing each with its successor
-finds the shortened versions. Lengths at which unfinished responses pile up against their
-neighbours' lengths betray a length limit. Rules for emptiness, refusals, copies, languages and
-endings then give each response at most one defect.
+Method. The sentences of all responses are sorted by text over the whole cluster. What a response ends in
+(its last sentence, unless that is known to end there) is compared with all sentences it begins, which
+follow it in this order: one that goes on in mid-word or mid-clause shows that the response is a shortened
+version. Lengths at which unfinished responses pile up against their neighbours' lengths betray a length
+limit. Then come the rules for copies, refusals and languages. What no prefix and no limit tells is left
+to the signs at the end of the text.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.session import cut, ship
+from statuta.llm.languages import Model, fit
+from statuta.session import cut, hot_join, ship
 
 # What stands in for an empty response, after lower-casing and dropping accents.
 STAND_INS = {
@@ -27,16 +28,26 @@ STAND_INS = {
     "odpowiedz", "answer", "todo", "tbd", "undefined", "pusto", "empty", "no answer", "uzasadnienie", "brak uzasadnienia",
     "xxx", "do uzupelnienia", "w przygotowaniu", "tresc", "tekst", "lorem ipsum", "nil", "void", "placeholder",
 }
-# Phrases that decline to answer, lower-case and without accents; \W and .{0,n} bridge other words.
+# Who declines to answer when a third person does, lower-case and without accents.
+_ANSWERER = r"(?:ekspert\w*|redakcja|konsultant\w*|doradca|asystent\w*|autor\w*|zespol|serwis|our experts?|the (?:expert|assistant|editors?|team|author)s?)"
+# Phrases that decline to answer, lower-case and without accents; .{0,n} bridges other words.
 REFUSALS = re.compile(
-    r"pytanie nie (zostanie|bedzie|moze zostac) rozpatrzone|zamknieto bez odpowiedzi|bez udzielenia odpowiedzi|"
-    r"\bnie (doradzamy|doradzam|udzielamy (porad|odpowiedzi|informacji)|udzielam|udziela (odpowiedzi|porad)|udzielimy|odpowiemy|odpowiadamy|odpowiem|komentujemy|pomozemy|opiniujemy|rozpatrujemy)\b|"
+    r"pytanie nie (zostanie|bedzie|moze zostac) rozpatrzone|zamknieto bez odpowiedzi|bez udzielenia odpowiedzi|(pozostawiamy|pozostawiono) bez (rozpoznania|odpowiedzi|rozpatrzenia)|"
+    r"\bnie (doradzamy|doradzam|udzielamy (porad|odpowiedzi|informacji)|udzielam|udzielimy|odpowiemy|odpowiadamy|odpowiem|komentujemy|pomozemy|opiniujemy|rozpatrujemy)\b|"
     r"\bnie (chcielibysmy|chcemy|bedziemy|zamierzamy|mozemy|moge|jestesmy w stanie|jestem w stanie|podejmiemy sie|podejmujemy sie|podejme sie|potrafimy|potrafie|wolno nam)\b.{0,40}?(wypowiad|wypowied|odpowiedz|odpowiadac na|doradz|porad|pomoc|stanowisk|ocen|koment|opini|interpret|wyjasni|ustosunk)|"
-    r"\b(odmowil|odmawia|odmawiamy|odmowila|odmowilismy)\b.{0,25}(odpowiedzi|porady|komentarza|stanowiska|opinii|pomocy)|"
+    rf"\b{_ANSWERER}\b.{{0,25}}\b(odmow|odmawia|nie udziel|nie odpowi|nie doradza|nie komentuje|unable|cannot|can not|can't|declin|refus|does not|do not|will not)|"
+    r"\b(odmawiamy|odmowilismy|odmawiam)\b.{0,25}(odpowiedzi|porady|komentarza|stanowiska|opinii|pomocy)|"
     r"wstrzymujemy sie od|wstrzymuje sie od (komentowania|odpowiedzi|oceny|wypowiedzi)|brak mozliwosci (udzielenia|odpowiedzi|pomocy)|"
-    r"wykracza poza (nasze|moje|zakres)|poza naszymi kompetencjami|nie lezy w naszych kompetencjach|"
-    r"\b(unable|not able|cannot|can't|can not|won't|will not|refuse|decline|regret)\b.{0,30}\b(answer|advise|help|comment|assist|respond|opinion|reply)|"
-    r"\b(konnen|kann|mochten)\b.{0,60}\bnicht\b.{0,20}(beantworten|antworten|helfen|beraten)|nemuzeme.{0,40}(odpovedet|poradit)|не можемо.{0,40}(відповісти|допомогти)"
+    r"wykracza poza (nasze|moje)|poza naszymi kompetencjami|nie lezy w naszych kompetencjach|"
+    r"\b(i|we|i am|we are|i'm|we're|sorry|unfortunately)\b.{0,20}\b(unable|not able|cannot|can't|can not|won't|will not|refuse|decline|regret)\b.{0,30}\b(answer|advise|help|comment|assist|respond|opinion|reply)|"
+    r"\b(ich|wir)\b.{0,20}\b(konnen|kann|mochten)\b.{0,60}\bnicht\b.{0,20}(beantworten|antworten|helfen|beraten)|\b(konnen|kann)\b.{0,20}\b(ich|wir)\b.{0,60}\bnicht\b.{0,20}(beantworten|antworten|helfen|beraten)|"
+    r"nemuzeme.{0,40}(odpovedet|poradit)|не можемо.{0,40}(відповісти|допомогти)"
+)
+# How sentences begin that only surround a refusal, lower-case and without accents.
+COURTESIES = re.compile(
+    r"(dzien dobry|witam|szanown|uprzejmie informuj|informujemy, ze (pytanie|zapytanie|wiadomosc)|przepraszamy|przepraszam|przykro|niestety|dziekuj|prosimy|prosze|zachecamy|zapraszamy|polecamy|sprawe zamknieto|pytanie zamknieto|"
+    r"z powazaniem|pozdraw|hello|dear|sorry|unfortunately|please|thank|we recommend|kind regards|guten tag|leider|bitte|danke|vielen dank|dobry den|bohuzel|prosim|dekuj|"
+    r"добрий день|на жаль|будь ласка|дякуємо)"
 )
 # Abbreviations after which a sentence cannot end.
 OPEN_ABBREVIATIONS = {"art", "ust", "pkt", "lit", "nr", "zw", "tzw", "np", "tj", "tzn", "por", "zob", "poz", "par", "rozdz", "zal", "wg", "ww", "ds", "abs", "nr", "vgl", "bzw", "cf", "e.g", "i.e", "č", "čl", "odst", "ст", "п"}
@@ -45,23 +56,11 @@ OPEN_WORDS = set(
     "i oraz a albo lub ale lecz ze ktory ktora ktore ktorego ktorych gdy jesli jezeli poniewaz gdyz bo do od z w na o po przy dla przez za nad pod wobec zas czyli takze "
     "the of to and or a an in on at for by with if that which und oder der die das in mit von zu".split()
 )
-# Frequent words that tell the languages apart, without accents.
-LANGUAGE_WORDS = {
-    "pl": "i w z nie sie jest od oraz ze czy dla przez ktory ktora ktorego ktorej ktorych ktorym jezeli jesli dni dniu dnia przez jako tej tego ten nalezy trzeba moze moga ma lecz ponadto zgodnie takze albo lub wartosc termin kwoty powinien wynosi dotyczy zastosowanie wystarczy obowiazek spoczywa stronie przypadku opisanym sytuacji organ tak po przepis skoro zatem uwagi potwierdza wyjatek".split(),
-    "en": "the of to and is in for not by has have this that no under only be are was when if who which what does with after before any and it on must may shall should keep from or".split(),
-    "de": "der die das und ist nicht ein eine einen dem den des muss wenn nach darf nur fur uber vor und zwar im am bei mit auf fall diesem gemeinsam haften erforderlich von zu oder wird werden sind".split(),
-    "cs": "je se ze musi neni podle lhute dobu tomto pripade povinen nebo jen pouze jednou pred koncem ve kopii uchovat ledaze castka aby pokud byl muze to proto korun podat opravit stanovene zakonem".split(),
-}
-_LANG_OF: dict[str, str] = {}
-for _lang, _words in LANGUAGE_WORDS.items():
-    for _w in _words:
-        _LANG_OF[_w] = "" if _w in _LANG_OF and _LANG_OF[_w] != _lang else _lang
-# Letters that one of the languages has and the others lack.
-_LETTERS = {"pl": set("ąęłśćńźż"), "cs": set("ěřůčšžýďť"), "de": set("äöüß")}
-
 _INVISIBLE = re.compile(r"[­​-‏⁠﻿]")
 _TAGS = re.compile(r"<[^<>]{0,200}>|&nbsp;")
 _WORDS = re.compile(r"[^\W_]+")
+#: Short quoted stretches, which may be foreign terms.
+_QUOTED = re.compile(r"[„“\"«][^„”“\"»]{1,40}[”“\"»]")
 _CLOSERS = "\"'”’»)]}* "
 _RESTATED = {"pytanie", "question", "frage", "otazka", "питання"}
 #: A response without a closing sign is complete up to this many words and characters.
@@ -69,36 +68,37 @@ SHORT_WORDS, SHORT_CHARS = 4, 24
 COPIED_SHARE = 0.6
 
 
+class _Folding(dict):
+    """Small letters without accents, worked out when first met; ``ł`` is ``l``."""
+
+    def __missing__(self, code: int) -> str:
+        plain = unicodedata.normalize("NFD", chr(code).lower()).replace("ł", "l")
+        self[code] = plain = "".join(c for c in plain if not unicodedata.combining(c))
+        return plain
+
+
+_FOLDING = _Folding()
+
+
 def fold(text: str) -> str:
-    """Lower case without accents; ``ł`` is ``l``."""
-    text = unicodedata.normalize("NFD", text.lower()).replace("ł", "l")
-    return "".join(c for c in text if not unicodedata.combining(c))
+    """Lower case without accents."""
+    return text.lower() if text.isascii() else text.translate(_FOLDING)
 
 
 def visible(text: str) -> str:
-    return re.sub(r"\s+", " ", _TAGS.sub(" ", _INVISIBLE.sub("", text))).strip()
-
-
-def language(text: str) -> tuple[str | None, int]:
-    """The language with most evidence, and by how many words it leads; None if there is little."""
-    low = text.lower()
-    letters = [c for c in low if c.isalpha()]
-    if letters and sum("Ѐ" <= c <= "ӿ" for c in letters) > len(letters) / 2:
-        return "uk", 99
-    score = dict.fromkeys(LANGUAGE_WORDS, 0)
-    for word in _WORDS.findall(low):
-        lang = _LANG_OF.get(fold(word))
-        if lang:
-            score[lang] += 1
-        for name, own in _LETTERS.items():
-            if not own.isdisjoint(word):
-                score[name] += 1
-    (best, top), (_, second) = sorted(score.items(), key=lambda kv: -kv[1])[:2]
-    return (best if top >= 2 and top > second else None), top - second
+    if "<" in text or "&" in text:
+        text = _TAGS.sub(" ", text)
+    return " ".join(_INVISIBLE.sub("", text).split())
 
 
 def is_empty(text: str) -> bool:
-    seen = fold(visible(text)).strip(" .…-–—_*[](){}<>?!:;/\\|'\"„”")
+    return _is_empty(fold(visible(text)))
+
+
+def _is_empty(folded: str) -> bool:
+    if len(folded) > 64 and folded.isprintable() and any(c.isalnum() for c in folded):
+        return False  # longer than any stand-in
+    seen = folded.strip(" .…-–—_*[](){}<>?!:;/\\|'\"„”")
     return seen in STAND_INS or not any(c.isalnum() for c in seen)
 
 
@@ -108,7 +108,11 @@ def is_copy(question: str, text: str) -> bool:
     Compared are pairs of neighbouring words, so that an answer built from the question's words is
     none, nor one that follows a restated question.
     """
-    q, t = _WORDS.findall(fold(visible(question))), _WORDS.findall(fold(visible(text)))
+    return _is_copy(fold(visible(question)), fold(visible(text)))
+
+
+def _is_copy(question: str, text: str) -> bool:
+    q, t = _WORDS.findall(question), _WORDS.findall(text)
     if t and t[0] in _RESTATED:
         t = t[1:]
     if len(t) < 4 or len(q) < 3:
@@ -124,18 +128,42 @@ def is_copy(question: str, text: str) -> bool:
     for h in hit:
         run = 0 if h else run + 1
         longest = max(longest, run)
-    asks = visible(text).rstrip(_CLOSERS).endswith("?")
+    asks = text.rstrip(_CLOSERS).endswith("?")
     return longest < 8 and (tail == 0 or tail <= 2 and asks and t[-1] in set(q))
 
 
+_SENTENCE = re.compile(r"(?<=[.?!…])\s+(?=[„\"(\[]?[^\W\d_])")
+
+
+def sentences(text: str) -> list[str]:
+    """Sentences of a visible text: cut after a closing sign where a capital letter follows."""
+    out: list[str] = []
+    for part in _SENTENCE.split(text):
+        begins = part.lstrip("„\"([")[:1]
+        if out and not begins.isupper():
+            out[-1] += " " + part
+        else:
+            out.append(part)
+    return out
+
+
 def is_refusal(text: str) -> bool:
-    """Whether a response declines, with nothing but courtesies and long lists of no content around it."""
-    return REFUSALS.search(fold(visible(text))) is not None
+    """Whether a response declines, with nothing but courtesies around it: every sentence is of either kind."""
+    return _is_refusal(visible(text))
+
+
+def _is_refusal(seen: str, folded: str | None = None) -> bool:
+    if not REFUSALS.search(fold(seen) if folded is None else folded):
+        return False
+    return all(REFUSALS.search(part) or COURTESIES.match(part.lstrip("„\"([ ")) for part in map(fold, sentences(seen)))
 
 
 def ending(text: str) -> str:
     """'done' if the last sentence ends, 'open' if it surely breaks off, 'bare' if it has no closing sign."""
-    seen = visible(text)
+    return _ending(visible(text))
+
+
+def _ending(seen: str) -> str:
     if seen.endswith(("...", "…")):
         return "open"
     core = seen
@@ -158,111 +186,150 @@ def ending(text: str) -> str:
     return "open" if (last in OPEN_WORDS or last in OPEN_ABBREVIATIONS) and len(core.split()) > 1 else "bare"
 
 
-def defect(question: str | None, text: str | None, absent_is_fine: bool, shortened: bool, at_limit: bool) -> str | None:
-    """The defect of one response, or None. ``shortened``: another response continues it in mid-clause."""
+def defect(
+    question: str | None, text: str | None, absent_is_fine: bool, shortened: bool, at_limit: bool, model: Model | None = None
+) -> tuple[str, str] | None:
+    """The defect of one response and what tells it, or None. ``shortened``: a sentence goes on where it ends."""
     if text is None:
-        return None if absent_is_fine else "empty"
-    if is_empty(text):
-        return "empty"
-    if is_refusal(text):
-        return "refusal"
-    if question and is_copy(question, text):
-        return "copied"
-    if question:
-        (of_q, _), (of_t, lead) = language(question), language(text)
-        if of_q and of_t and of_q != of_t and lead >= 3:
-            return "language"
-    end = ending(text)
-    if end == "open":
-        return "truncated"
-    if end == "bare":
-        seen = visible(text)
-        if shortened or at_limit or len(seen) > SHORT_CHARS or len(seen.split()) > SHORT_WORDS:
-            return "truncated"
+        return None if absent_is_fine else ("empty", "absent")
+    seen = visible(text)
+    folded = fold(seen)
+    if _is_empty(folded):
+        return "empty", "stand-in"
+    if _is_refusal(seen, folded):
+        return "refusal", "phrase"
+    if question and _is_copy(fold(visible(question)), folded):
+        return "copied", "words"
+    if question and model is not None and model.differs(question, _QUOTED.sub(" ", seen)):
+        return "language", "letters"
+    if shortened:
+        return "truncated", "prefix"
+    end = _ending(seen)
+    if end == "done":
+        return None
+    if at_limit:
+        return "truncated", "limit"
+    if end == "open" or len(seen) > SHORT_CHARS or len(seen.split()) > SHORT_WORDS:
+        return "truncated", "ending"
     return None
 
 
-@F.pandas_udf(T.StringType())
-def _defect(q: pd.Series, t: pd.Series, absent: pd.Series, short: pd.Series, limit: pd.Series) -> pd.Series:
-    return pd.Series([defect(*row) for row in zip(q, t, absent, short, limit)], dtype=object)
+def _defects(model: Model | None):
+    kinds = T.StructType([T.StructField("defect", T.StringType()), T.StructField("evidence", T.StringType())])
 
+    @F.pandas_udf(kinds)
+    def run(q: pd.Series, t: pd.Series, absent: pd.Series, short: pd.Series, limit: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([defect(*row, model) or (None, None) for row in zip(q, t, absent, short, limit)], columns=["defect", "evidence"], dtype=object)
 
-def _sort_key(text: Column) -> Column:
-    """A response without what a cut may have left at its end."""
-    return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[\s.…,;:–-]+$", "")
+    return run
 
 
-_NEIGHBOUR = "key string, shortened boolean, part int, edge int"
+def _clean(text: Column) -> Column:
+    """A text without markup and invisible signs, with single spaces."""
+    bare = F.regexp_replace(F.regexp_replace(text, _TAGS.pattern, " "), _INVISIBLE.pattern, "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compare each key of a sorted partition with the next; the first and last come out as edges."""
-    context = TaskContext.get()
-    part = context.partitionId() if context else 0
-    held: str | None = None
-    for batch in batches:
-        keys = ([held] if held is not None else []) + batch["key"].tolist()
-        if not keys:
-            continue
-        out = [(a, continues(a, b), part, 0) for a, b in zip(keys, keys[1:])]
-        if held is None:
-            out.append((keys[0], False, part, 1))
-        held = keys[-1]
-        yield pd.DataFrame(out, columns=["key", "shortened", "part", "edge"])
-    if held is not None:
-        yield pd.DataFrame([(held, False, part, 2)], columns=["key", "shortened", "part", "edge"])
+def _sentences(clean: Column) -> Column:
+    return F.split(clean, r"(?<=[.?!…])\s+(?=[„\"(\[]?\p{Lu})")
+
+
+def tail(clean: Column) -> Column:
+    """The last sentence of a cleaned text, without what a cut may have left at its end: dots, commas, dashes."""
+    last = F.element_at(_sentences(clean), -1)
+    return F.regexp_replace(F.regexp_replace(last, r"(\.\.+|…)[\s.…]*$", ""), r"[\s…,;:–—(„-]+$", "")
 
 
 def continues(a: str, b: str) -> bool:
     """Whether ``b`` goes on where ``a`` stops, in mid-word or mid-clause; not where a clause ends."""
     if not 0 < len(a) < len(b) or not b.startswith(a):
         return False
+    if a[-1] in ".?!":
+        # A closing sign that closes nothing, as after an abbreviation; a bracket may follow a finished sentence.
+        after = b[len(a) + 1 : len(a) + 2]
+        return b[len(a)] == " " and a.count(" ") >= 2 and after.isalnum() and not after.isupper()
     return b[len(a)].isalnum() or b[len(a)] == " " and a.count(" ") >= 2
 
 
-def shortened_keys(responses: DataFrame, key: str = "key") -> DataFrame:
-    """The distinct keys that another key continues (column ``key``), by one global sort.
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tails of sorted keys that a later key continues; those still waiting at the end come out as open."""
+    waiting: list[str] = []
+    for batch in batches:
+        out: list[tuple[str, bool]] = []
+        for key, is_tail in zip(batch["key"], batch["is_tail"]):
+            while waiting and not key.startswith(waiting[-1]):
+                waiting.pop()
+            if waiting:
+                found = [t for t in waiting if continues(t, key)]
+                if found:
+                    out += [(t, False) for t in found]
+                    waiting = [t for t in waiting if not continues(t, key)]
+            if is_tail:
+                waiting.append(key)
+        yield _rows(out)
+    yield _rows([(t, True) for t in waiting])
+
+
+def _rows(found: list[tuple[str, bool]]) -> pd.DataFrame:
+    return pd.DataFrame({"key": pd.Series([t for t, _ in found], dtype=object), "open": pd.Series([o for _, o in found], dtype=bool)})
+
 
-    A key that begins any other begins its successor among the sorted distinct keys, so neighbours
-    are enough. Partitions are ranges of keys; the last key of each is compared with the first key of
-    the next non-empty one (one row per partition).
+def _look_up(tails: list[str]):
+    lengths, known = sorted({len(t) for t in tails}), set(tails)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hits = {t for key in batch["key"] for n in lengths if n < len(key) and (t := key[:n]) in known and continues(t, key)}
+            yield pd.DataFrame({"key": pd.Series(sorted(hits), dtype=object)})
+
+    return run
+
+
+def shortened_keys(tails: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """The distinct ``tails`` that one of the ``keys`` continues (column ``key``), by one global sort.
+
+    Keys that begin with a tail follow it directly among the sorted distinct texts, so that a list of the tails
+    that begin the present key is all that a pass over a range of them holds. What waits at the end of a range,
+    tails nested in each other, is looked up among all keys again: a few texts a partition.
     """
-    spark = responses.sparkSession
+    spark = tails.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = responses.select(F.col(key).alias("key")).where("key IS NOT NULL AND key != ''").distinct()
-    seen = cut(keys.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInPandas(_compare, _NEIGHBOUR))
-    edges = seen.where("edge > 0").withColumn("next", F.lead("key").over(Window.orderBy("part", "edge")))
-    across = edges.where("edge = 2 AND next IS NOT NULL AND startswith(next, key)").where(
-        F.expr("regexp_like(substring(next, length(key) + 1, 1), '[\\\\p{L}\\\\p{N}]') OR "
-            "(substring(next, length(key) + 1, 1) = ' ' AND length(key) - length(replace(key, ' ', '')) >= 2)")
-    )
-    return seen.where("shortened").select("key").unionByName(across.select("key")).distinct()
+    both = tails.select(F.col(key).alias("key"), F.lit(True).alias("is_tail")).unionByName(keys.select(F.col(key).alias("key"), F.lit(False).alias("is_tail")))
+    distinct = cut(both.where("key IS NOT NULL AND key != ''").groupBy("key").agg(F.max("is_tail").alias("is_tail")))
+    seen = cut(distinct.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInPandas(_scan, "key string, open boolean"))
+    waiting = [r["key"] for r in seen.where("open").select("key").distinct().collect()]
+    found = seen.where("NOT open").select("key")
+    if waiting:
+        found = found.unionByName(distinct.select("key").mapInPandas(_look_up(waiting), "key string"))
+    return found.distinct()
 
 
-def limit_lengths(responses: DataFrame, text: str = "text", least: int = 20, times: int = 8) -> DataFrame:
+def limit_lengths(responses: DataFrame, text: str = "text", times: float = 8.0) -> DataFrame:
     """Lengths (column ``length``) at which unfinished responses pile up: a length limit.
 
-    A spike holds at least ``least`` of them and ``times`` as many as the mean of the ten lengths around.
+    Counted are distinct texts longer than a short answer. A spike holds as many more than the mean of the ten
+    lengths around it as ``times`` the deviation by chance (the root of that mean, at least one).
     """
-    unfinished = responses.where(~F.col(text).rlike(r"[.?!…][\"'”’»)\]\s]*$")).where(F.length(text) > 40)
-    counts = unfinished.groupBy(F.length(text).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    unfinished = responses.where(~F.col(text).rlike(r"[.?!…][\"'”’»)\]\s]*$")).where(F.length(text) > SHORT_CHARS)
+    counts = unfinished.groupBy(F.length(text).alias("length")).agg(F.count_distinct(F.xxhash64(text)).alias("n"))
     around = counts.select(F.explode(F.expr("sequence(length - 5, length + 5)")).alias("length"), F.col("n").alias("m"))
-    mean = around.groupBy("length").agg((F.sum("m") / 10).alias("mean"))
-    return (
-        counts.where(F.col("n") >= least).join(mean, "length")
-        .where(F.col("n") >= F.lit(times) * (F.col("mean") - F.col("n") / 10)).select("length")
-    )
+    mean = around.groupBy("length").agg(F.sum("m").alias("all"))
+    expected = (F.col("all") - F.col("n")) / 10
+    return counts.join(mean, "length").where(F.col("n") - expected >= times * F.sqrt(F.greatest(expected, F.lit(1.0)))).select("length")
 
 
 def pair_defects(
-    pairs: DataFrame, key: str, question: str, responses: dict[str, bool]
+    pairs: DataFrame, key: str, question: str, responses: dict[str, bool], labelled: DataFrame | None = None, evidence: bool = False
 ) -> DataFrame:
     """``key, field, defect``: one row per defective response, of at most one defect each.
 
     ``responses`` names the response columns and whether their absence is allowed. Defects are
     'empty' (null where not allowed, blank, or only a stand-in), 'refusal', 'copied', 'language' and
     'truncated', the first that holds in this order. A null question skips the rules that need one.
-    Repeated rows give repeated results; further columns are ignored.
+    ``labelled(text, lang)`` are texts with their languages, on a bounded sample of which the language rule
+    is fitted; without them it is skipped. With ``evidence`` a column of that name says what told the defect:
+    for 'truncated' a 'prefix', a 'limit', or the 'ending'. Repeated rows give repeated results; further
+    columns are ignored.
     """
     ship(pairs.sparkSession)
     fields = F.array(*[
@@ -272,20 +339,22 @@ def pair_defects(
     long = pairs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{question}`").alias("question"), F.explode(fields).alias("r")).select(
         "id", "question", "r.field", "r.absent", "r.text"
     )
-    keyed = long.withColumn("key", _sort_key(F.col("text")))
-    # Only a response without a closing sign can be a shortened one; few rows take part in the join.
-    salts = 16
-    cuts = (
-        shortened_keys(keyed).select(F.md5("key").alias("cut"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    )
-    lengths = limit_lengths(long).withColumnRenamed("length", "limit")
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    flagged = (
-        salted.join(cuts, (F.md5("key") == F.col("cut")) & (salted["salt"] == cuts["salt"]), "left")
-        .join(F.broadcast(lengths), F.length("text") == F.col("limit"), "left")
-    )
-    # The broadcast holds at most as many lengths as spikes fit: each needs `least` rows of its own length.
-    found = flagged.withColumn(
-        "defect", _defect("question", "text", "absent", F.col("cut").isNotNull(), F.col("limit").isNotNull())
+    keyed = cut(long.withColumn("clean", _clean(F.col("text"))).withColumn("tail", tail(F.col("clean"))))
+    texts = keyed.where("clean != ''").select("clean", "tail", "id").withColumn("s", _sentences(F.col("clean")))
+    # A sentence that another one follows ends there, and so does a short answer that several questions have.
+    known = texts.select(F.explode(F.expr("slice(s, 1, size(s) - 1)")).alias("key")).distinct()
+    stock = texts.where((F.length("clean") <= SHORT_CHARS) & (F.size("s") == 1)).groupBy(F.col("tail").alias("key")).agg(
+        F.min("id").alias("a"), F.max("id").alias("b")
+    ).where("a < b").select("key")
+    ends = texts.select(F.col("tail").alias("key")).distinct().join(known.unionByName(stock), "key", "left_anti")
+    shortened = shortened_keys(ends, texts.select(F.explode("s").alias("key")))
+    # Many responses may be one text.
+    cuts = cut(shortened.select(F.xxhash64("key").alias("tail_hash"), F.col("key").alias("cut")).dropDuplicates(["tail_hash"]))
+    lengths = cut(limit_lengths(keyed).withColumnRenamed("length", "limit"))
+    flagged = hot_join(keyed.withColumn("tail_hash", F.xxhash64("tail")), cuts, ["tail_hash"], ["id", "field"])
+    flagged = hot_join(flagged.withColumn("n", F.length("text")), lengths.withColumn("n", F.col("limit")), ["n"], ["id", "field"])
+    model = None if labelled is None else fit(labelled)
+    told = flagged.withColumn(
+        "d", _defects(model)("question", "text", "absent", F.coalesce(F.col("cut") == F.col("tail"), F.lit(False)), F.col("limit").isNotNull())
     )
-    return found.where("defect IS NOT NULL").select(F.col("id").alias(key), "field", "defect")
+    return told.where("d.defect IS NOT NULL").select(F.col("id").alias(key), "field", "d.defect", *(["d.evidence"] if evidence else []))

@@ -40,15 +40,25 @@ def p2_plain(spark: SparkSession, d: str) -> DataFrame:
     return spelling.with_plain(_texts(spark, d), "text", "plain")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _defects(spark: SparkSession, d: str, evidence: bool = False) -> DataFrame:
     questions = current_questions(table(spark, d, "raw_questions")).select("nro", "question", "answer", "justification")
-    return pairs.pair_defects(questions, "nro", "question", {"answer": False, "justification": True})
+    labelled = table(spark, d, "documents").select("text", "lang")
+    return pairs.pair_defects(questions, "nro", "question", {"answer": False, "justification": True}, labelled, evidence)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d)
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("field", "defect").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p3_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Defects by what told them: of the truncated ones, how many the prefixes and the length limits did."""
+    return _defects(spark, d, True).groupBy("field", "defect", "evidence").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _nearest(spark: SparkSession, d: str, factor: float = neighbours.FACTOR) -> DataFrame:
     return neighbours.nearest(table(spark, d, "vector_points"), factor=factor)
 

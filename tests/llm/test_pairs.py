@@ -1,4 +1,4 @@
-"""Defective pairs: rules, neighbours in sorted order, length limits."""
+"""Defective pairs: rules, languages, neighbours in sorted order, length limits."""
 
 import random
 
@@ -23,40 +23,101 @@ CASES = [
 ]
 
 
+CASES += [
+    # A third person that refuses, or a thing beyond a law, is a subject of answers.
+    ("Spółka odmawia odpowiedzi na wezwanie organu, więc urząd może nałożyć karę w drodze decyzji.", None), ("Pracodawca odmówił opinii biegłego, dlatego sąd powołał innego.", None),
+    ("You cannot refuse to answer the auditor, so the ledger has to be shown on request.", "language"), ("Ten przepis wykracza poza zakres ustawy o VAT, dlatego nie ma zastosowania.", None),
+    ("Nie możemy udzielić porady w tej sprawie. Termin wynosi jednak 14 dni od doręczenia decyzji organu.", None),
+    ("Uprzejmie informujemy, że pytanie wpłynęło. Nie podejmiemy się oceny najmu. Dziękujemy za zrozumienie.", "refusal"),
+    ("Z uwagi na regulamin pozostawiamy bez rozpoznania pytanie o najem.", "refusal"), ("We are unable to answer questions on ferry tolls. Please ask the harbour office.", "refusal"),
+    # Languages that the model does not know.
+    ("Le transporteur doit présenter la déclaration avant la fin du trimestre et en garder une copie.", "language"),
+    ("El transportista debe presentar la declaración antes del fin del trimestre.", "language"), ("Vežėjas privalo pateikti deklaraciją iki ketvirčio pabaigos.", "language"),
+]
+
+
+@pytest.fixture(scope="module")
+def model(spark, small):
+    from statuta.llm.languages import fit
+
+    return fit(spark.read.parquet(f"{small}/documents.parquet").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+
+
 @pytest.mark.parametrize("text,expected", CASES)
-def test_rules(text, expected):
-    assert P.defect(Q, text, False, False, False) == expected
+def test_rules(model, text, expected):
+    found = P.defect(Q, text, False, False, False, model)
+    assert (found and found[0]) == expected
 
 
-def test_language_follows_the_question():
+def test_language_follows_the_question(model):
     english = "Does the carrier have to file the register of game damage at the river port?"
-    assert P.defect(english, "The carrier has to submit the report before the quarter ends.", False, False, False) is None
-    assert P.defect(english, "Należy złożyć raport w terminie 5 dni od dnia zawiadomienia.", False, False, False) == "language"
-    assert P.defect(None, "Tak, należy złożyć raport.", False, False, False) is None
+    assert P.defect(english, "The carrier has to submit the report before the quarter ends.", False, False, False, model) is None
+    assert P.defect(english, "Należy złożyć raport w terminie 5 dni od dnia zawiadomienia.", False, False, False, model)[0] == "language"
+    assert P.defect(None, "Tak, należy złożyć raport.", False, False, False, model) is None
+    assert P.defect(english, "Należy złożyć raport w terminie 5 dni od dnia zawiadomienia.", False, False, False) is None
+
+
+def test_held_out_languages(spark):
+    """Fitted on one table, asked about the labelled texts of another."""
+    from statuta.llm.languages import fit
 
+    frame = lambda sf: spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text", "lang")
+    m = fit(frame("sf0.01"))
+    known = {r.text for r in frame("sf0.01").collect()}
+    asked = [(r.text, r.lang.strip().lower()) for r in frame("sf0.1").where("length(text) > 80 AND lang IS NOT NULL").collect() if r.text not in known]
+    right = sum(m.best(t) in (x, {"pol": "pl"}.get(x)) for t, x in asked)
+    assert len(asked) > 5000 and right / len(asked) > 0.95  # some labels are wrong
 
-@pytest.mark.parametrize("parts", ["2", "7"])
+
+def test_names_of_one_language_are_merged():
+    from statuta.llm.languages import Model
+
+    pl = ["Zgodnie z przepisem należy złożyć wniosek w terminie określonym w decyzji organu %d." % i for i in range(60)]
+    en = ["The carrier has to submit the statement before the end of the quarter number %d." % i for i in range(30)]
+    assert Model(pl + en, ["pl"] * 40 + ["pol"] * 20 + ["en"] * 30).names == ["en", "pl"]
+    assert Model([], []).differs("a" * 40, "b" * 40) is False
+
+
+@pytest.mark.parametrize("parts", ["2", "7", "40"])
 def test_shortened_keys_by_brute_force(spark, parts):
     rng = random.Random(5)
-    texts = [" ".join(rng.choice(["ala", "ma", "kota", "psa", "i"]) for _ in range(rng.randrange(1, 7))) for _ in range(300)]
-    texts += [t[: rng.randrange(1, len(t) + 1)] for t in texts[:150]] + ["", None]
+    texts = [" ".join(rng.choice(["ala", "ma", "kota", "psa", "art.", "i"]) for _ in range(rng.randrange(1, 7))) for _ in range(300)]
+    tails = [t[: rng.randrange(1, len(t) + 1)] for t in texts[:150]] + ["", None, "ala", "a"]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        got = {r.key for r in P.shortened_keys(spark.createDataFrame([(t,) for t in texts], "key string")).collect()}
+        frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "key string")
+        got = {r.key for r in P.shortened_keys(frame(tails), frame(texts)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    keys = sorted({t for t in texts if t})
-    # The successor decides: it is the one that continues the key first.
-    assert got == {a for a, b in zip(keys, keys[1:]) if P.continues(a, b)}
+    # Any longer text counts, not the next one only.
+    assert got == {a for a in tails if a and any(P.continues(a, b) for b in texts + tails if b)}
+
+
+def test_continues():
+    assert P.continues("Należy odnowić roz", "Należy odnowić rozliczenie") and P.continues("o którym mowa w art.", "o którym mowa w art. 5")
+    assert not P.continues("Termin upływa po dniu.", "Termin upływa po dniu. Tak") and not P.continues("Termin upływa po dniu.", "Termin upływa po dniu. (art. 3)")
+    assert not P.continues("Tak", "Tak, w całości") and not P.continues("abc", "abc")
 
 
 def test_limit_lengths(spark):
     rng = random.Random(1)
-    rows = [("x" * rng.randrange(60, 300),) for _ in range(400)] + [("y" * 120,)] * 60 + [("z" * 130 + ".",)] * 60
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(word(rng.randrange(60, 300)),) for _ in range(400)] + [(word(120),) for _ in range(60)] + [(word(130) + ".",) for _ in range(60)]
+    rows += [("y" * 140,)] * 60 + [(word(8),) for _ in range(90)]  # one text, and short answers, are no limit
     assert [r.length for r in P.limit_lengths(spark.createDataFrame(rows, "text string")).collect()] == [120]
 
 
+def test_evidence(spark):
+    full = "Należy odnowić rozliczenie robót ziemnych w terminie."
+    rows = [(1, Q, full), (2, Q, "Tak. Należy odnowić rozli"), (3, Q, full[:-1]), (4, Q, "Stosuje się przepis, o którym mowa w art."), (5, Q, "Stosuje się przepis, o którym mowa w art. 5 ustawy."), (6, Q, "Nie"), (7, Q, "Nie"), (8, Q, "Niestety tak. Nie.")]
+    rows += [(10 + i, Q, f"Urząd {'abcdefghijklmnopqrstuvwxyz'[i % 26]}{i:03d} nakazuje poprawić wykaz") for i in range(90)]
+    df = spark.createDataFrame(rows, "nro long, q string, a string")
+    got = {r.nro: (r.defect, r.evidence) for r in P.pair_defects(df, "nro", "q", {"a": False}, evidence=True).collect()}
+    assert {k: v for k, v in got.items() if k < 10} == {2: ("truncated", "prefix"), 3: ("truncated", "ending"), 4: ("truncated", "prefix")}
+    assert {v for k, v in got.items() if k >= 10} == {("truncated", "limit")} and len(got) == 93
+
+
 def test_frame(spark):
     rows = [(1, Q, "Tak", None, 1), (2, Q, None, "", 1), (3, None, "n/d", "Bo tak.", 1), (1, Q, "Tak", None, 1), (4, Q, "Organ może odmówić prz", None, 1), (5, Q, "Organ może odmówić przyjęcia.", None, 1)]
     df = spark.createDataFrame(rows, "nro long, q string, a string, j string, defect int")
