@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True).toDF(*df.columns)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared checkpoint folder, for large results that are read more than once.
+
+    It lives as long as the folder, which may be emptied when the session has ended.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    ship(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Bytes, as measured, up to which a side of a join is broadcast.
 BROADCAST_BYTES = 32 << 20
 
