@@ -127,6 +127,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "documents"))
 
 
+def p9_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the representative of its text, through which p9_found links copies."""
+    return spans.classes(table(spark, d, "documents")).select("doc_id", "rep", "n_chars")
+
+
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(table(spark, d, "documents"))
 

@@ -1,12 +1,12 @@
 """Long spans that stand verbatim in more than one record.
 
-Method: compact windows. A text is a sequence of overlapping tokens (``GRAM`` characters each); a hash
-function gives every token a value. In the Cartesian tree over these values every node is the minimum
-of all token ranges that contain it and stay within its subtree: a compact window (left, centre, right).
-Windows as long as the token range of a span of ``least`` characters are kept, about two per span
-length of text. Texts that share such a span share the token at the centre of a window in each, under
+Method: compact windows. A text is a sequence of overlapping tokens (runs of characters, five sixths of
+the span looked for); a hash function gives every token a value. In the Cartesian tree over these values every
+node is the minimum of all token ranges that contain it and stay within its subtree: a compact window (left,
+centre, right). Windows as long as the token range of a span of ``least`` characters are kept, about two per
+span length of text. Texts that share such a span share the token at the centre of a window in each, under
 every hash function; windows are joined on that token where their ranges, laid over each other, still
-hold a span. Pairs and shifts found under all hash functions are compared character by character.
+hold a span. What stands around the two centres is then compared character by character.
 """
 
 from __future__ import annotations
@@ -19,13 +19,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.session import cut, ship
+from statuta.session import cut, hot_join, ship, small, written
 
 LEAST = 300
-#: Characters of a token: nearly a span, so that stock phrases shorter than that join nothing.
-GRAM = 250
-#: Hash functions under which a shared span must show.
-HASHES = 2
+#: Hash functions under which a shared span must show. Every span shows under one; further ones only thin out what is
+#: compared in the end, which the length of the tokens has done already.
+HASHES = 1
+#: Windows of one token value that meet all others of it in one task.
+MEETING = 1024
+
+
+def gram_of(least: int) -> int:
+    """Characters of a token: nearly a span, so that stock phrases shorter than that join nothing."""
+    return max(1, least * 5 // 6)
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -44,7 +52,7 @@ def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def gram_values(codes: np.ndarray, gram: int = GRAM) -> np.ndarray:
+def gram_values(codes: np.ndarray, gram: int) -> np.ndarray:
     """A value for every run of ``gram`` characters; equal runs have equal values."""
     if len(codes) < gram:
         return np.zeros(0, np.uint64)
@@ -92,7 +100,7 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-_WINDOWS = "doc long, seed int, value long, left int, centre int, right int"
+_WINDOWS = "doc long, seed int, value long, before int, centre int, after int"
 
 
 def _windows(least: int, gram: int, hashes: int):
@@ -108,81 +116,96 @@ def _windows(least: int, gram: int, hashes: int):
                 for seed in range(hashes):
                     values = _mixed(base, seed)
                     left, centre, right = compact_windows(values, width)
-                    parts.append((np.full(len(left), doc), np.full(len(left), seed), values[centre].view(np.int64), left, centre, right))
+                    parts.append((np.full(len(left), doc), np.full(len(left), seed), values[centre].view(np.int64), centre - left, centre, right - centre))
             if parts:
-                yield pd.DataFrame(dict(zip(("doc", "seed", "value", "left", "centre", "right"), map(np.concatenate, zip(*parts)))))
+                yield pd.DataFrame(dict(zip(("doc", "seed", "value", "before", "centre", "after"), map(np.concatenate, zip(*parts)))))
 
     return run
 
 
-_RUNS = "doc_a long, doc_b long, start_a int, start_b int, length int"
+_RUNS = "doc_a long, doc_b long, start_a int, length int"
+
 
+def _grid(texts: pd.Series, width: int, pad: str, turned: bool) -> np.ndarray:
+    """Characters of short texts as rows of a matrix, turned round if wanted; ``pad`` stands where a text has none."""
+    rows = (t[::-1] if turned else t for t in texts)
+    return _codes("".join(t.ljust(width, pad) for t in rows)).reshape(len(texts), width)
 
-def shared_runs(a: str, b: str, shift: int, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, length) of the longest equal runs of two texts laid over each other."""
-    x, y = _codes(a), _codes(b)
-    lo, hi = max(0, shift), min(len(x), len(y) + shift)
-    if hi - lo < least:
-        return []
-    same = np.concatenate([[False], x[lo:hi] == y[lo - shift : hi - shift], [False]])
-    edge = np.nonzero(same[1:] != same[:-1])[0]
-    return [(lo + s, lo + s - shift, e - s) for s, e in zip(edge[::2], edge[1::2]) if e - s >= least]
 
+def _verify(least: int, gram: int):
+    """How far the texts around two equal tokens agree: runs that hold both tokens and ``least`` characters."""
+    room = least - gram
 
-def _verify(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [
-                (a, b, *r)
-                for a, b, s, ta, tb in zip(batch["doc_a"], batch["doc_b"], batch["shift"], batch["text_a"], batch["text_b"])
-                for r in shared_runs(ta, tb, s, least)
-            ]
-            yield pd.DataFrame(out, columns=["doc_a", "doc_b", "start_a", "start_b", "length"])
+            reach = []
+            for side, turned in (("l", True), ("r", False)):
+                # What stands for a missing character differs on the two sides, and from any character.
+                same = _grid(batch[f"{side}_a"], room, "\ue000", turned) == _grid(batch[f"{side}_b"], room, "\ue001", turned) if room else np.zeros((len(batch), 0), bool)
+                inside = np.arange(room)[None, :] < np.minimum(batch[f"{side}_a"].str.len(), batch[f"{side}_b"].str.len()).to_numpy(np.int64)[:, None]
+                reach.append(np.cumprod(same & inside, axis=1).sum(axis=1))
+            kept = (reach[0] + reach[1] + gram >= least) & (batch["t_a"] == batch["t_b"]).to_numpy(bool)
+            found = batch[kept]
+            yield pd.DataFrame({
+                "doc_a": found["doc_a"], "doc_b": found["doc_b"], "start_a": found["centre_a"] - reach[0][kept], "length": gram + (reach[0] + reach[1])[kept],
+            })
 
     return run
 
 
 def classes(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, rep``: each document with the least key among those of equal text; null texts are left out."""
+    """``doc, rep, n_chars``: each document with the least key among those of equal text; null texts and keys are left out.
+
+    A key repeated with different texts is in the class of each of them.
+    """
     hashed = documents.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{doc}`").isNotNull()).select(
-        F.col(f"`{doc}`").cast("long").alias("doc"), F.sha2(F.col(f"`{text}`"), 256).alias("h"), F.length(F.col(f"`{text}`")).alias("size")
+        F.col(f"`{doc}`").cast("long").alias("doc"), F.sha2(F.col(f"`{text}`"), 256).alias("h"), F.length(F.col(f"`{text}`")).cast("long").alias("n_chars")
     )
-    reps = hashed.groupBy("h").agg(F.min("doc").alias("rep"))
-    return hashed.join(reps, "h").select("doc", "rep", "size").distinct()
+    reps = hashed.groupBy("h").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"))
+    # Most texts are their own class; those of a popular text are spread.
+    several = hot_join(hashed, cut(reps.where("n > 1").drop("n")), ["h"], ["doc"])
+    return several.select(F.col("doc").alias(doc), F.coalesce("rep", "doc").alias("rep"), "n_chars").distinct()
 
 
 def representative_runs(
-    documents: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, hashes: int = HASHES
+    documents: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, hashes: int = HASHES, both: bool = False
 ) -> DataFrame:
-    """``doc_a, doc_b, start_a, start_b, length``: all longest shared runs between different texts.
+    """``doc_a, doc_b, start_a, length``: runs of ``doc_a`` that stand in ``doc_b`` as well, of different texts.
 
-    One document stands for all of equal text; ``doc_a < doc_b``. Runs are of at least ``least``
-    characters and lie at every shift at which the two texts share one.
+    One document stands for all of equal text. ``doc_a < doc_b``, unless ``both`` directions are asked for. Runs
+    are of at least ``least`` characters; a longer one comes in pieces that overlap and cover it. A passage of many
+    texts is met in parts of MEETING windows, and one that a text repeats is compared once with another text.
     """
     ship(documents.sparkSession)
-    hashed = documents.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{doc}`").isNotNull() & (F.length(F.col(f"`{text}`")) >= least)).select(
-        F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")
+    gram = gram_of(least)
+    keyed = documents.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{doc}`").isNotNull() & (F.length(F.col(f"`{text}`")) >= least)).select(
+        F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), F.sha2(F.col(f"`{text}`"), 256).alias("h")
     )
-    reps = hashed.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc").alias("doc")).select("doc")
-    texts = hashed.join(reps, "doc", "left_semi").dropDuplicates(["doc"])
-    windows = texts.mapInPandas(_windows(least, gram, hashes), _WINDOWS)
-    # Values of one document only are gone before the join: they are the bulk. What is left is written
-    # once, so that the windows are not computed again for each side of the join.
-    same = Window.partitionBy("seed", "value")
-    shared = cut(windows.withColumn("lo", F.min("doc").over(same)).withColumn("hi", F.max("doc").over(same)).where("lo < hi").drop("lo", "hi"))
-    a = shared.select("seed", "value", *[F.col(c).alias(f"{c}_a") for c in ("doc", "left", "centre", "right")])
-    b = shared.select("seed", "value", *[F.col(c).alias(f"{c}_b") for c in ("doc", "left", "centre", "right")])
-    before = F.least(F.col("centre_a") - F.col("left_a"), F.col("centre_b") - F.col("left_b"))
-    after = F.least(F.col("right_a") - F.col("centre_a"), F.col("right_b") - F.col("centre_b"))
-    pairs = (
-        a.join(b, ["seed", "value"]).where(F.col("doc_a") < F.col("doc_b"))
-        .where(before + after + 1 >= least - gram + 1)
-        .groupBy("doc_a", "doc_b", (F.col("centre_a") - F.col("centre_b")).alias("shift"))
-        .agg(F.count_distinct("seed").alias("n")).where(F.col("n") == hashes)
+    # Of a repeated key with different texts the one with the least hash counts.
+    firsts = keyed.groupBy("doc").agg(F.min("h").alias("h")).groupBy("h").agg(F.min("doc").alias("doc"))
+    texts = keyed.join(small(cut(firsts)), ["doc", "h"], "left_semi").dropDuplicates(["doc"]).select("doc", "text")
+    windows = written(texts.mapInPandas(_windows(least, gram, hashes), _WINDOWS))
+    # Values of one document only are gone before the join: they are the bulk. Counts are combined before they are shuffled.
+    shared = cut(
+        windows.groupBy("seed", "value").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+        .select("seed", "value", F.ceil(F.col("n") / MEETING).cast("int").alias("parts"))
     )
-    ta = texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a"))
-    tb = texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b"))
-    return pairs.select("doc_a", "doc_b", "shift").join(ta, "doc_a").join(tb, "doc_b").mapInPandas(_verify(least), _RUNS)
+    met = hot_join(windows, shared, ["seed", "value"], ["doc"], "inner")
+    # Only what stands around a shared token leaves its text.
+    room, at = least - gram, F.col("centre")
+    slices = cut(
+        met.join(texts, "doc").select(
+            "doc", "seed", "value", "parts", "before", "centre", "after", F.substring("text", at + 1, F.lit(gram)).alias("t"),
+            F.substring("text", F.greatest(at - room, F.lit(0)) + 1, F.least(at, F.lit(room))).alias("l"), F.substring("text", at + gram + 1, F.lit(room)).alias("r"),
+        )
+    )
+    around = ["doc", "before", "after", "t", "l", "r"]
+    a = slices.select("seed", "value", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), F.col("centre").alias("centre_a"), *[F.col(c).alias(f"{c}_a") for c in around])
+    b = slices.select("seed", "value", "parts", *[F.col(c).alias(f"{c}_b") for c in around]).distinct()
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    overlap = F.least("before_a", "before_b") + F.least("after_a", "after_b") + 1 >= least - gram + 1
+    pairs = a.join(b, ["seed", "value", "part"]).where(F.col("doc_a") != F.col("doc_b") if both else F.col("doc_a") < F.col("doc_b")).where(overlap)
+    return pairs.select("doc_a", "doc_b", "centre_a", "t_a", "t_b", "l_a", "l_b", "r_a", "r_b").mapInPandas(_verify(least, gram), _RUNS)
 
 
 def shared_pairs(documents: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -193,7 +216,7 @@ def shared_pairs(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     their square. Null and shorter texts have no pair.
     """
     runs = representative_runs(documents, doc, text, least).select("doc_a", "doc_b").distinct()
-    member = classes(documents, doc, text).where(F.col("size") >= least)
+    member = classes(documents, doc, text).withColumnRenamed(doc, "doc").where(F.col("n_chars") >= least)
     copies = member.where("doc != rep").select("doc", "rep")
     own = copies.select(F.col("rep").alias("doc_a"), F.col("doc").alias("doc_b"))
     left = runs.join(copies, F.col("doc_a") == F.col("rep")).select(F.col("doc").alias("x"), F.col("doc_b").alias("y"))
@@ -209,21 +232,19 @@ def coverage(documents: DataFrame, doc: str = "doc_id", text: str = "text", leas
     another document; all of them where the whole text has a copy. ``n_linked`` counts the other
     texts, copies once. Documents with a null text have zeros; repeated keys count once.
     """
-    runs = representative_runs(documents, doc, text, least)
-    sides = runs.select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("other"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(
-        runs.select(F.col("doc_b").alias("rep"), F.col("doc_a").alias("other"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e"))
-    )
+    runs = representative_runs(documents, doc, text, least, both=True)
+    sides = cut(runs.select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("other"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).distinct())
     linked = sides.groupBy("rep").agg(F.count_distinct("other").alias("n_linked"))
-    # A popular passage is the same stretch in many pairs: equal stretches are merged before sorting.
+    # A popular passage is the same stretch in many pairs, and a long one comes in pieces: equal ones are merged before sorting.
     stretches = sides.select("rep", "s", "e").distinct()
     order = Window.partitionBy("rep").orderBy("s", "e")
     reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     gain = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce("reached", F.lit(0))))
     covered = stretches.withColumn("reached", reached).groupBy("rep").agg(F.sum(gain).alias("covered"))
-    member = classes(documents, doc, text)
+    member = cut(classes(documents, doc, text).withColumnRenamed(doc, "doc").withColumnRenamed("n_chars", "size"))
     copies = member.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     joined = member.join(copies, "rep").join(covered, "rep", "left").join(linked, "rep", "left")
-    shared = F.when((F.col("n") > 1) & (F.col("size") >= least), F.col("size").cast("long")).otherwise(F.coalesce("covered", F.lit(0)))
+    shared = F.when((F.col("n") > 1) & (F.col("size") >= least), F.col("size")).otherwise(F.coalesce("covered", F.lit(0)))
     known = joined.groupBy("doc").agg(F.max(shared).alias("shared"), F.max(F.coalesce("n_linked", F.lit(0))).alias("linked"))
     every = documents.where(F.col(f"`{doc}`").isNotNull()).groupBy(F.col(f"`{doc}`").cast("long").alias("doc")).agg(
         F.max(F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0))).alias("n_chars")

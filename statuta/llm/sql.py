@@ -38,7 +38,15 @@ WHERE act_nro IS NOT NULL AND reconstruct_id IS NOT NULL AND len(regexp_extract_
     "p7_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
     "p7_items": f"""WITH {_LEAKS}
 SELECT i.item_id, i.suite, count(DISTINCT l.doc_id) AS n_documents FROM eval_items i LEFT JOIN leaks l USING (item_id) GROUP BY ALL""",
-    "p9_found": f"WITH {_SPANS} SELECT doc_a, doc_b FROM links",
+    # Copies are linked to their own representative and to the other text's, and not to each other's copies.
+    "p9_found": f"""WITH {_SPANS},
+firsts AS (SELECT text, min(doc_id) AS rep FROM documents WHERE text IS NOT NULL GROUP BY text),
+member AS (SELECT DISTINCT d.doc_id, f.rep FROM documents d JOIN firsts f USING (text))
+SELECT l.doc_a, l.doc_b FROM links l JOIN member a ON a.doc_id = l.doc_a JOIN member b ON b.doc_id = l.doc_b
+WHERE CASE WHEN a.rep = b.rep THEN l.doc_a = a.rep ELSE l.doc_a = a.rep OR l.doc_b = b.rep END""",
+    "p9_members": """
+WITH firsts AS (SELECT text, min(doc_id) AS rep FROM documents WHERE text IS NOT NULL GROUP BY text)
+SELECT DISTINCT d.doc_id, f.rep, length(d.text) AS n_chars FROM documents d JOIN firsts f USING (text)""",
     "p9_coverage": f"""WITH {_SPANS},
 marks AS (
   SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 300) AS before FROM (SELECT DISTINCT doc_id, i FROM shared)),

@@ -67,21 +67,37 @@ def brute(docs, least):
     return pairs, cover, held
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_pairs_and_coverage(spark, seed):
-    docs = texts(seed)
-    pairs, cover, held = brute(docs, 300)
+@pytest.mark.parametrize("seed,least,meeting", [(1, 300, 1024), (2, 300, 3), (3, 100, 2), (4, 250, 1024), (5, 249, 7), (6, 5, 1024)])
+def test_pairs_and_coverage(spark, monkeypatch, seed, least, meeting):
+    monkeypatch.setattr(S, "MEETING", meeting)
+    docs = texts(seed) if least > 5 else [(i, "".join(random.Random(i).choice("ab") for _ in range(i % 12))) for i in range(60)]
+    pairs, cover, held = brute(docs, least)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.doc_a, r.doc_b) for r in S.shared_pairs(df).collect()}
+    got = {(r.doc_a, r.doc_b) for r in S.shared_pairs(df, least=least).collect()}
     rep = {d: min(x for x, t in held.items() if t == held[d]) for d in held}
     assert got <= pairs
     # No link between different texts is lost; copies are linked to their representative.
     assert {tuple(sorted((rep[a], rep[b]))) for a, b in got if rep[a] != rep[b]} == {tuple(sorted((rep[a], rep[b]))) for a, b in pairs if rep[a] != rep[b]}
-    assert all((min(rep[d], d), max(rep[d], d)) in got for d in held if rep[d] != d and len(held[d]) >= 300)
-    rows = {r.doc_id: (r.n_chars, r.shared_chars) for r in S.coverage(df).collect()}
+    assert all((min(rep[d], d), max(rep[d], d)) in got for d in held if rep[d] != d and len(held[d]) >= least)
+    rows = {r.doc_id: (r.n_chars, r.shared_chars) for r in S.coverage(df, least=least).collect()}
     assert rows == {d: (len(t), cover[d]) for d, t in held.items()}
 
 
+def test_several_hashes_and_members(spark):
+    df = spark.createDataFrame(texts(7), "doc_id long, text string")
+    runs = lambda n: {(r.doc_a, r.doc_b) for r in S.representative_runs(df, hashes=n).collect()}
+    assert runs(1) == runs(3) and runs(1)
+    rep = {r.doc_id: r.rep for r in S.classes(df).collect()}
+    assert rep[100] == rep[101] == rep[3] == 3 and 102 not in rep and rep[103] == min(d for d, t in texts(7) if t == "")
+
+
+def test_long_repetitions_are_compared_once(spark):
+    """Two texts of one repeated letter share every place with every place; the work grows with their lengths only."""
+    df = spark.createDataFrame([(1, "z" * 6000), (2, "y" + "z" * 7000), (3, "x" * 400)], "doc_id long, text string")
+    assert [tuple(r) for r in S.shared_pairs(df).collect()] == [(1, 2)]
+    assert {r.doc_id: r.shared_chars for r in S.coverage(df).collect()} == {1: 6000, 2: 7000, 3: 0}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert S.shared_pairs(none).count() == 0 and S.coverage(none).count() == 0
