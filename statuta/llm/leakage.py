@@ -1,11 +1,11 @@
 """Held-out test items inside a training corpus, by a positional inverted index.
 
-Method. Term frequencies of the items' vocabulary are counted over the whole corpus. Every window of
-``run`` consecutive item words is represented by its rarest terms, and only the postings (term,
-document, position) of those anchor terms are stored. Positions less the term's offset in the item give
-the place where the item would begin; lists so adjusted are intersected per (document, item, place).
-What remains is compared word for word. Frequent words never leave the scan, unless a window holds
-nothing rarer.
+Method. The corpus is tokenized once and stored as the terms of each document in their places (a term is the
+64-bit hash of a word). Term frequencies of the items' vocabulary are counted over all of it. Every window of
+``run`` consecutive item words is represented by its rarest terms, and only the postings (term, document,
+position) of those are drawn from the store. Positions less the term's offset in the item give the place where
+the item would begin; lists so adjusted are intersected per (document, item, place). What remains is compared
+term for term in the store. Frequent words never leave the scan, unless a window holds nothing rarer.
 """
 
 from __future__ import annotations
@@ -18,13 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.session import cut, ship
+from statuta.session import cut, ship, small, written
 
 RUN = 12
 #: Anchor terms a window is looked up by.
 ANCHORS = 3
-#: Vocabularies and anchor lists up to this many rows are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
 
 
 def _accents() -> tuple[str, str]:
@@ -52,18 +50,33 @@ def words(text: Column) -> Column:
     return F.filter(F.split(bare, r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it was counted to be small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def terms_of(text: Column) -> Column:
+    """The words of a text as 64-bit hashes, which are compared in their stead."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _postings(documents: DataFrame, doc: str, text: str, terms: DataFrame) -> DataFrame:
+def stored_terms(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, terms``: the terms of every document in their places, written once for all passes over them.
+
+    Null texts are left out; a repeated key keeps its different texts.
+    """
+    return written(documents.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc}`").alias("doc"), terms_of(F.col(f"`{text}`")).alias("terms")))
+
+
+def _listed(items: DataFrame, item: str, text: str) -> DataFrame:
+    """``item, item_words``: the terms of each item, equal ones once."""
+    return items.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("item"), terms_of(F.col(f"`{text}`")).alias("item_words")).distinct()
+
+
+def _frequency(store: DataFrame, listed: DataFrame) -> DataFrame:
+    """``term, n`` of the items' terms over all documents, combined in each task before they are shuffled."""
+    vocabulary = small(cut(listed.select(F.explode("item_words").alias("term")).distinct()))
+    return cut(store.select(F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _postings(store: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, doc, pos`` of the given terms, one row per occurrence in the corpus."""
-    return (
-        documents.where(F.col(f"`{text}`").isNotNull())
-        .select(F.col(f"`{doc}`").alias("doc"), F.posexplode(words(F.col(f"`{text}`"))).alias("pos", "term"))
-        .join(terms.select("term"), "term", "left_semi")
-    )
+    return store.select("doc", F.posexplode("terms").alias("pos", "term")).join(small(terms), "term", "left_semi")
 
 
 def leaked(
@@ -75,12 +88,10 @@ def leaked(
     the beginning is cut off) with the length of the longest run there. Items of fewer words than
     ``run``, and null or empty texts on either side, match nothing; repeated rows count once.
     """
-    listed = items.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("item"), words(F.col(f"`{text}`")).alias("item_words")).distinct()
-    listed = listed.where(F.size("item_words") >= run)
-    terms = listed.select(F.explode("item_words").alias("term")).distinct()
-    # Frequencies over all documents, combined in each task before they are shuffled; no more rows than
-    # the items have terms, written once for the many small steps that need them.
-    frequency = cut(_postings(documents, doc, text, _small(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    ship(documents.sparkSession)
+    store = stored_terms(documents, doc, text)
+    listed = cut(_listed(items, item, text).where(F.size("item_words") >= run))
+    frequency = _frequency(store, listed)
     at = listed.select("item", F.posexplode("item_words").alias("off", "term")).join(frequency, "term", "left").fillna(0, ["n"])
     window = listed.select("item", F.explode(F.expr(f"sequence(0, size(item_words) - {run})")).alias("start"))
     near = window.join(at, "item").where((F.col("off") >= F.col("start")) & (F.col("off") < F.col("start") + run))
@@ -90,8 +101,8 @@ def leaked(
     possible = anchor.groupBy("item", "start").agg(F.min("n").alias("least"), F.array_sort(F.collect_list("off")).alias("offs"))
     needed = possible.where("least > 0").select("item", "offs").distinct()
     probes = needed.select("item", F.explode("offs").alias("off")).distinct().join(at.select("item", "off", "term"), ["item", "off"])
-    probes = _small(probes)
-    postings = _postings(documents, doc, text, _small(probes.select("term").distinct()))
+    probes = small(cut(probes))
+    postings = _postings(store, probes.select("term").distinct())
     places = (
         postings.join(probes, "term")
         .groupBy("doc", "item", (F.col("pos") - F.col("off")).alias("place"))
@@ -99,17 +110,15 @@ def leaked(
         .where(F.size("found") >= min(ANCHORS, run))
     )
     wanted = needed.groupBy("item").agg(F.collect_list("offs").alias("wanted"))
-    candidates = (
-        places.join(_small(wanted), "item")
+    candidates = cut(
+        places.join(small(cut(wanted)), "item")
         .where(F.exists("wanted", lambda offs: F.size(F.array_except(offs, F.col("found"))) == 0))
         .select("doc", "item", "place")
-    )
+    )
     # The exact comparison, on the stretch of the document where the item would be.
-    texts = documents.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("doc_text"))
     begin, length = F.greatest("place", F.lit(0)), F.size("item_words")
-    stretch = candidates.join(texts, "doc").join(_small(listed), "item").select(
-        "doc", "item", "place", "item_words", F.slice(words(F.col("doc_text")), begin + 1, length).alias("there"),
-        (begin - F.col("place")).alias("skipped"),
+    stretch = store.join(small(candidates), "doc").join(small(listed), "item").select(
+        "doc", "item", "place", "item_words", F.slice("terms", begin + 1, length).alias("there"), (begin - F.col("place")).alias("skipped"),
     )
     equal = F.zip_with(
         F.slice("item_words", F.col("skipped") + 1, length), F.col("there"), lambda a, b: F.coalesce(a == b, F.lit(False))
@@ -132,9 +141,9 @@ def _in_place(item_words: pd.Series, there: pd.Series, shifts: pd.Series) -> pd.
     """How many words of an item stand in a stretch within so many shifts of their places, and minus their spread."""
     out = []
     for item, stretch, width in zip(item_words, there, shifts):
-        at: dict[str, list[int]] = {}
+        at: dict[int, list[int]] = {}
         for i, word in enumerate(stretch):
-            if word is not None:
+            if word:
                 at.setdefault(word, []).append(i)
         held = [own for off, word in enumerate(item) if (own := [i - off for i in at.get(word, ()) if 0 <= i - off < width])]
         if not held:
@@ -163,37 +172,34 @@ def near_items(
     ``hits`` of the ``size - need + hits`` rarest are in place: no match is missed. There all words are counted.
     """
     ship(documents.sparkSession)
-    listed = items.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("item"), words(F.col(f"`{text}`")).alias("item_words")).distinct()
+    store = stored_terms(documents, doc, text)
+    listed = _listed(items, item, text)
     need = F.greatest(F.lit(4), F.ceil(F.round(F.size("item_words") * F.lit(share), 9))).cast("int")
     listed = listed.withColumn("need", need).where(F.size("item_words") >= F.col("need"))
     # A number for each text, fixed by the cut, so that several texts under one key are looked for one by one.
     listed = cut(listed.withColumn("it", F.monotonically_increasing_id()))
-    terms = listed.select(F.explode("item_words").alias("term")).distinct()
-    frequency = cut(_postings(documents, doc, text, _small(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    frequency = _frequency(store, listed)
     at = listed.select("it", "need", F.size("item_words").alias("size"), F.posexplode("item_words").alias("off", "term")).join(frequency, "term", "left").fillna(0, ["n"])
     order = Window.partitionBy("it").orderBy("n", "off")
     least = F.least(F.lit(hits), F.col("need"))
     looked = F.col("size") - F.col("need") + least
     probes = at.withColumn("r", F.row_number().over(order)).where(F.col("r") <= looked).where("n > 0")
-    probes = _small(probes.select("it", "off", "term", least.alias("least")))
-    postings = _postings(documents, doc, text, _small(probes.select("term").distinct()))
+    probes = small(cut(probes.select("it", "off", "term", least.alias("least"))))
+    postings = _postings(store, probes.select("term").distinct())
     place = F.col("pos") - F.col("off")
     cell = F.floor(place / slop)
     # Cells of width slop, each place in its own and the next: places less than slop apart share one.
     spread = postings.join(probes, "term").select("doc", "it", "least", "off", F.explode(F.array(cell, cell + 1)).alias("cell"))
     groups = spread.groupBy("doc", "it", "cell").agg(F.count_distinct("off").alias("found"), F.first("least").alias("least"))
     candidates = cut(groups.where(F.col("found") >= F.col("least")).select("doc", "it", "cell"))
-    held = candidates.select("doc").distinct()
-    texts = documents.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("doc_text")).where("doc_text IS NOT NULL").distinct()
-    texts = texts.join(_small(held), "doc", "left_semi").select("doc", words(F.col("doc_text")).alias("doc_words"))
-    # The stretch holds the places of the cell before and of this one; what lies before the document is null.
+    # The stretch holds the places of the cell before and of this one; what lies before the document is 0, no term.
     begin, length = (F.col("cell") - 1) * slop, F.size("item_words") + 2 * slop
     before = F.least(F.greatest(-begin, F.lit(0)), length).cast("int")
-    stretch = candidates.join(texts, "doc").join(_small(listed), "it").select(
+    stretch = store.join(small(candidates), "doc").join(small(listed), "it").select(
         "doc", "item", "item_words", "need",
         F.concat(
-            F.array_repeat(F.lit(None).cast("string"), before),
-            F.slice("doc_words", F.greatest(begin, F.lit(0)).cast("int") + 1, length - before),
+            F.array_repeat(F.lit(0).cast("long"), before),
+            F.slice("terms", F.greatest(begin, F.lit(0)).cast("int") + 1, length - before),
         ).alias("there"),
     )
     counted = stretch.select("doc", "item", "need", _in_place("item_words", "there", F.lit(2 * slop)).alias("b"))
