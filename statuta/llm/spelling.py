@@ -5,6 +5,9 @@ known to be stable; in the others, a pattern built from the Unicode properties (
 check, combining class, compatibility mapping, invisibility, look-alike) isolates the words that hold
 an unstable character. Only those are normalized, whole words at a time so that base letters and the
 marks that follow them stay together, and the plain words are spliced into the unchanged rest.
+
+Which letters imitate Latin ones is taken from the published Unicode confusables, as the ICU library of the Spark
+session has them or as their file says, completed by a few lower-case letters that those keep apart.
 """
 
 from __future__ import annotations
@@ -15,13 +18,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statuta.session import ship
 
-# Cyrillic, Greek, Armenian and other letters and the Latin letters they look like.
+# Cyrillic, Greek, Armenian and other letters and the Latin letters they look like, beside the published table.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ї": "ï", "ј": "j", "ѕ": "s",
     "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "к": "k", "ь": "b", "г": "r", "ո": "n", "օ": "o", "ս": "u", "ց": "g",
@@ -97,6 +100,65 @@ def _tables() -> tuple[dict[int, str], re.Pattern[str], re.Pattern[str]]:
     return fold, re.compile(f"[{odd}]"), imitating
 
 
+def _usable(ch: str) -> bool:
+    """Whether a published imitation is taken: letters beyond the Latin blocks; Greek ones are signs of formulas too."""
+    code = ord(ch)
+    return code > 0x24F and unicodedata.category(ch) in ("Lu", "Ll", "Lo", "Lt") and not 0x370 <= code <= 0x3FF and not 0x1F00 <= code <= 0x1FFF and code not in _tables()[0]
+
+
+def _completed(published: dict[str, str]) -> dict[str, str]:
+    """Letters and what they imitate: the published ones, small capitals, letters with marks, and the fixed values."""
+    letters = {ch: plain for ch, plain in published.items() if _usable(ch) and plain.isascii() and plain.isalpha()}
+    prefix = "LATIN LETTER SMALL CAPITAL "
+    for code in range(0x250, 0x1D80):
+        name = unicodedata.name(chr(code), "")
+        if name.startswith(prefix) and len(name) == len(prefix) + 1:
+            letters[chr(code)] = name[-1].lower()
+    letters |= LOOKALIKES
+    for code in range(0x250, 0x2000):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base in letters and _usable(chr(code)):
+            letters.setdefault(chr(code), unicodedata.normalize("NFC", letters[base] + "".join(marks)))
+    return letters
+
+
+def _as_shown(ch: str, skeleton: str, alike: dict[str, list[str]]) -> str:
+    """Of the Latin letters and digits that share a skeleton (such as l, I and 1) the one of the same case."""
+    if len(skeleton) != 1:
+        return skeleton
+    wanted = "Ll" if unicodedata.category(ch) == "Ll" else "Lu"
+    return next((x for x in alike.get(skeleton, ()) if unicodedata.category(x) == wanted), skeleton)
+
+
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """Imitating letters by the ICU library that Spark carries; the fixed values alone where the session has no JVM."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return _completed({})
+    codes = [c for c in range(0x20, 0x20000) if not (0x3400 <= c <= 0x9FFF or 0xAC00 <= c <= 0xF8FF) and unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    chars = [chr(c) for c in codes]
+    skeletons = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(chars)).split("\n")
+    table = dict(zip(chars, skeletons))
+    alike: dict[str, list[str]] = {}
+    for ch in filter(str.isascii, chars):
+        alike.setdefault(table[ch], []).append(ch)
+    return _completed({ch: _as_shown(ch, table[ch], alike) for ch in chars if not ch.isascii()})
+
+
+def read_confusables(path: str) -> dict[str, str]:
+    """Imitating letters from a file in the published form: ``source ; target ; kind # comment``, code points in hexadecimal."""
+    table: dict[str, str] = {}
+    with open(path, encoding="utf-8-sig") as lines:
+        for line in lines:
+            fields = [f.split() for f in line.split("#")[0].split(";")]
+            if len(fields) >= 2 and len(fields[0]) == 1:
+                table[chr(int(fields[0][0], 16))] = "".join(chr(int(x, 16)) for x in fields[1])
+    alike: dict[str, list[str]] = {}
+    for code in range(0x20, 0x7F):
+        alike.setdefault(table.get(chr(code), chr(code)), []).append(chr(code))
+    return _completed({ch: _as_shown(ch, plain, alike) for ch, plain in table.items() if not ch.isascii()})
+
+
 _GAP = re.compile(r"[ \t\n\r]")
 
 
@@ -124,62 +186,101 @@ def _script(ch: str) -> str:
     return "C" if "Ѐ" <= ch <= "ԯ" else "O"
 
 
-def _plain_word(word: str, cyrillic_near: bool) -> str:
-    """A run of letters with imitations replaced, unless it is truly of another script."""
-    scripts = {_script(c) for c in word}
-    if scripts == {"L"}:
-        return "".join(LOOKALIKES.get(c, c) for c in word)
-    if "L" in scripts or len(scripts) > 1:
-        if "L" not in scripts and not all(c in LOOKALIKES for c in word):
-            return word
-        latin = sum(_script(c) == "L" for c in word)
-        if scripts <= {"L", "G"} and any(c not in LOOKALIKES for c in word if _script(c) == "G"):
-            return word  # a formula such as a change of m
-        if scripts <= {"L", "G"} and latin < 2 and len(word) < 3 and word[0].islower() and "ο" not in word:
-            return word
-        genuine = sum(_script(c) == "C" and c not in LOOKALIKES for c in word)
-        return word if genuine > latin else "".join(LOOKALIKES.get(c, c) for c in word)
-    if scripts == {"C"} and not cyrillic_near and all(c in _STRONG for c in word):
-        return "".join(LOOKALIKES[c] for c in word)
-    # Omicron is no sign of formulas; a run of capitals is a word, a single one may be a sign.
-    if scripts == {"G"} and (word in "οΟ" or len(word) > 1 and all(c in LOOKALIKES and (c.isupper() or c == "ο") for c in word)):
-        return "".join(LOOKALIKES[c] for c in word)
-    return word
-
-
-def _truly_cyrillic(text: str) -> bool:
-    return any("Ѐ" <= c <= "ԯ" and c not in LOOKALIKES for c in text)
-
-
-def plain(text: str | None) -> str | None:
-    """The plain spelling of one text: composed, ordinary spaces, nothing invisible, no imitations.
-
-    Null stays null. Genuine signs (superscripts, fractions, §, №, dashes, quotes, formulas) and words
-    truly written in another script stay. Applying it twice changes nothing more.
-    """
-    if text is None or text.isascii() and text.isprintable():
-        return text
-    fold, odd, imitating = _tables()
-    out: list[str] = []
-    done = 0
-    for start, end in _segments(text, odd):
-        out.append(text[done:start])
-        done = end
-        piece = unicodedata.normalize("NFC", text[start:end].translate(fold))
-        if imitating.search(piece):
-            near = text[max(0, start - 24) : start] + text[end : end + 24]
-            quoted = piece[0] in "„“”\"'«‚" and len(piece) > 3
-            foreign = quoted or _truly_cyrillic(piece) or _truly_cyrillic(near)
-            piece = _WORD.sub(lambda w: _plain_word(w[0], foreign), piece)
-            piece = unicodedata.normalize("NFC", piece)
-        out.append(piece)
-    out.append(text[done:])
-    return "".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def _plain_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(plain, na_action="ignore")
+class Speller:
+    """Plain spelling with a table of imitating letters."""
+
+    def __init__(self, letters: dict[str, str]):
+        self.letters = letters
+
+    def __getstate__(self) -> dict:
+        return {"letters": self.letters}
+
+    def __getattr__(self, name: str):
+        if name not in ("odd", "imitating"):
+            raise AttributeError(name)
+        # Worked out where they are used, and not sent there.
+        one = "[" + "".join(map(re.escape, sorted(self.letters))) + "]"
+        self.imitating, self.odd = re.compile(one), re.compile(_tables()[1].pattern[:-1] + one[1:])
+        return self.__dict__[name]
+
+    def _replaced(self, word: str) -> str:
+        return "".join(self.letters.get(c, c) for c in word)
+
+    def _word(self, word: str, foreign: bool, imitated: bool) -> str:
+        """A run of letters with imitations replaced, unless it is truly of another script.
+
+        ``foreign``: letters truly of another script are near; ``imitated``: another word of the text mixes scripts.
+        """
+        letters = self.letters
+        scripts = {_script(c) for c in word}
+        if scripts == {"L"}:
+            return self._replaced(word)
+        if "L" in scripts or len(scripts) > 1:
+            if "L" not in scripts and not all(c in letters for c in word):
+                return word
+            latin = sum(_script(c) == "L" for c in word)
+            if scripts <= {"L", "G"} and any(c not in letters for c in word if _script(c) == "G"):
+                return word  # a formula such as a change of m
+            if scripts <= {"L", "G"} and latin < 2 and len(word) < 3 and word[0].islower() and "ο" not in word:
+                return word
+            genuine = sum(_script(c) in "CO" and c not in letters for c in word)
+            return word if genuine > latin else self._replaced(word)
+        # A word without a Latin letter may be a true one, such as a choir in Cyrillic: it is replaced if it has one or
+        # two letters, as prepositions and letters of lists have, or stands in a text that mixes scripts elsewhere.
+        if scripts == {"C"} and not foreign and all(c in _STRONG for c in word) and (len(word) <= 2 or imitated):
+            return self._replaced(word)
+        if scripts == {"O"} and not foreign and all(c in letters for c in word) and (len(word) == 1 or imitated):
+            return self._replaced(word)
+        # Omicron is no sign of formulas; a run of capitals is a word, a single one may be a sign.
+        if scripts == {"G"} and (word in "οΟ" or len(word) > 1 and all(c in letters and (c.isupper() or c == "ο") for c in word)):
+            return self._replaced(word)
+        return word
+
+    def _foreign(self, text: str) -> bool:
+        """Whether a letter stands there that is truly of another script; Greek ones may be signs."""
+        return any(c > "ɏ" and _script(c) in "CO" and c.isalpha() and c not in self.letters for c in text)
+
+    def _mixes(self, text: str) -> bool:
+        words = (w[0] for w in _WORD.finditer(text))
+        return any(any(c <= "ɏ" for c in w) and any(c in self.letters and _script(c) in "CO" for c in w) for w in words)
+
+    def plain(self, text: str | None) -> str | None:
+        """The plain spelling of one text: composed, ordinary spaces, nothing invisible, no imitations.
+
+        Null stays null. Genuine signs (superscripts, fractions, §, №, dashes, quotes, formulas) and words
+        truly written in another script stay. Applying it twice changes nothing more.
+        """
+        if text is None or text.isascii() and text.isprintable():
+            return text
+        fold = _tables()[0]
+        imitated: bool | None = None
+        out: list[str] = []
+        done = 0
+        for start, end in _segments(text, self.odd):
+            out.append(text[done:start])
+            done = end
+            piece = unicodedata.normalize("NFC", text[start:end].translate(fold))
+            if self.imitating.search(piece):
+                near = (text[max(0, start - 24) : start] + text[end : end + 24]).translate(fold)
+                quoted = piece[0] in "„“”\"'«‚" and len(piece) > 3
+                foreign = quoted or self._foreign(piece) or self._foreign(near)
+                if imitated is None:
+                    imitated = self._mixes(text)
+                piece = _WORD.sub(lambda w, f=foreign, i=imitated: self._word(w[0], f, i), piece)
+                piece = unicodedata.normalize("NFC", piece)
+            out.append(piece)
+        out.append(text[done:])
+        return "".join(out)
+
+
+def _speller(letters: dict[str, str]):
+    speller = Speller(letters)
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(speller.plain, na_action="ignore")
+
+    return run
 
 
 def quick_check(text: Column) -> Column:
@@ -187,26 +288,27 @@ def quick_check(text: Column) -> Column:
     return F.coalesce(text.rlike(f"[^{STABLE}]"), F.lit(False))
 
 
-def with_plain(df: DataFrame, text: str, out: str) -> DataFrame:
+def with_plain(df: DataFrame, text: str, out: str, letters: dict[str, str] | None = None) -> DataFrame:
     """``df`` with the plain spelling of column ``text`` in ``out``; null for null, '' for ''.
 
-    Every row is kept, in no new order and without a shuffle.
+    ``letters`` are the imitating letters, :func:`confusables` by default. Every row is kept, in no new order and
+    without a shuffle; texts that pass the quick check stay in the JVM.
     """
     ship(df.sparkSession)
-    return df.withColumn(out, _plain_udf(F.col(f"`{text}`")))
+    column = F.col(f"`{text}`")
+    spelled = _speller(confusables(df.sparkSession) if letters is None else letters)(F.when(quick_check(column), column))
+    return df.withColumn(out, F.coalesce(spelled, column))
 
 
 def _shown(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " "))
 
 
-def unplain(df: DataFrame, text: str, out: str = "plain") -> DataFrame:
+def unplain(df: DataFrame, text: str, out: str = "plain", letters: dict[str, str] | None = None) -> DataFrame:
     """The rows whose ``text`` changes, beyond case, runs of spaces and line breaks, when spelled plainly.
 
     Rows that pass the quick check never leave the JVM.
     """
     column = F.col(f"`{text}`")
-    checked = with_plain(df.where(quick_check(column)), text, out)
+    checked = with_plain(df.where(quick_check(column)), text, out, letters)
     return checked.where(_shown(F.col(f"`{out}`")) != _shown(column))
-
-
