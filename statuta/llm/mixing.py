@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.session import cut
+from statuta.session import cut, small
 
 BINS = 4096
-#: Plans of up to this many sources are broadcast; more are shuffled.
-BROADCAST_SOURCES = 100_000
 
 
 def source_key(column):
@@ -54,7 +52,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     )
 
 
-def _rates(docs: DataFrame, plans: DataFrame, weighted: bool, small) -> DataFrame:
+def _rates(docs: DataFrame, plans: DataFrame, weighted: bool) -> DataFrame:
     """``source, cap, rate``: a document's expected copies are its weight times the rate, at most the cap.
 
     Documents at the cap leave the rest of the target to the others, whose rate then rises; the rounds end
@@ -79,7 +77,7 @@ def _rates(docs: DataFrame, plans: DataFrame, weighted: bool, small) -> DataFram
     return rates.select("source", "cap", "rate")
 
 
-def _ranked(docs: DataFrame, rates: DataFrame, seed: int, small) -> DataFrame:
+def _ranked(docs: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
     """Documents with their copies and ``x`` in (0, 1), increasing in the Pareto rank; the order is a hash, so it is repeatable."""
     u = (F.pmod(F.xxhash64(F.col("doc"), F.col("source"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     copies = F.least(F.col("weight") * F.col("rate"), F.col("cap").cast("double"))
@@ -110,8 +108,9 @@ def mixture(
     proportional to it, up to the cap; without it all documents of a source are alike. Null, negative
     and zero weights leave a document out.
 
-    Every source comes as close to its target as whole documents allow, no document more often than its
-    source's cap. Documents of sources without a target, with a null source or null key, or of no
+    Every source comes as close to its target as whole documents allow: it misses it by half its largest document at
+    most, since documents are taken while the one in question is nearer to the rest than nothing. No document comes
+    more often than its source's cap. Documents of sources without a target, with a null source or null key, or of no
     size are not in it (of no size: they are no part of any share). Ties of rank go to the smaller key.
     """
     base = documents.select(
@@ -119,27 +118,26 @@ def mixture(
         (F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)).alias("weight"),
     ).where("source IS NOT NULL AND doc IS NOT NULL AND size > 0 AND weight > 0")
     base = cut(base)
-    # As many rows as target sources, which are counted before anything of that size is broadcast.
+    # As many rows as target sources; each side of that size is measured before it is broadcast.
     plans = cut(plan(base, targets, total))
-    small = F.broadcast if plans.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else (lambda df: df)
-    ranked = _ranked(base, _rates(base, plans, weight is not None, small), seed, small)
+    ranked = _ranked(base, cut(_rates(base, plans, weight is not None)), seed)
     needs = cut(ranked.groupBy("source").agg(F.sum(F.col("fraction") * F.col("size")).alias("need")))
     ranked = ranked.join(small(needs), "source").withColumn("b1", F.floor(F.col("x") * BINS)).withColumn(
         "b2", F.floor(F.col("x") * BINS * BINS) % BINS
     )
     sampled = ranked.where("fraction > 0 AND need > 0")
     one = _edge(sampled.groupBy("source", F.col("b1").alias("bin")).agg(F.sum("size").alias("size"), F.max("need").alias("need")))
-    one = one.select("source", F.col("bin").alias("e1"), F.col("before").alias("before1"))
+    one = cut(one.select("source", F.col("bin").alias("e1"), F.col("before").alias("before1")))
     inside = sampled.join(small(one), "source").where("b1 = e1").withColumn("need", F.col("need") - F.col("before1"))
     two = _edge(inside.groupBy("source", F.col("b2").alias("bin")).agg(F.sum("size").alias("size"), F.max("need").alias("need")))
-    two = two.select("source", F.col("bin").alias("e2"), F.col("before").alias("before2"))
+    two = cut(two.select("source", F.col("bin").alias("e2"), F.col("before").alias("before2")))
     last = inside.join(small(two), "source").where("b2 = e2").withColumn("need", F.col("need") - F.col("before2"))
     # What is left lies in one of sixteen million ranges of a source's ranks.
     order = Window.partitionBy("source").orderBy("x", "doc")
     ended = last.withColumn("before", F.sum("size").over(order) - F.col("size")).where(F.col("before") + F.col("size") / 2 <= F.col("need"))
-    edges = one.join(two, "source").join(
+    edges = cut(one.join(two, "source").join(
         ended.groupBy("source").agg(F.max(F.struct("x", "doc")).alias("stop")), "source", "left"
-    )
+    ))
     chosen = ranked.join(small(edges), "source", "left")
     below = (F.col("b1") < F.col("e1")) | ((F.col("b1") == F.col("e1")) & (F.col("b2") < F.col("e2")))
     at_edge = (F.col("b1") == F.col("e1")) & (F.col("b2") == F.col("e2")) & (F.struct("x", "doc") <= F.col("stop"))

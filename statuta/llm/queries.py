@@ -109,10 +109,16 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return leakage.near_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-def _mixture(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+#: Tokens of the mixture with a stated total.
+TOTAL = 100_000
+
+
+def _mixture(spark: SparkSession, d: str, total: float | None = None, weighted: bool = False) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "source", "text", "lang")
     counted = documents.withColumn("tokens", tokens.token_counts(spark, F.col("text"))).drop("text")
-    return mixing.mixture(counted, table(spark, d, "mix_targets"))
+    # Documents of an unknown language are wanted a quarter as often.
+    weight = counted.withColumn("weight", F.when(F.col("lang").isNull(), 0.25).otherwise(1.0))
+    return mixing.mixture(weight, table(spark, d, "mix_targets"), total=total, weight="weight" if weighted else None)
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -123,6 +129,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of a stated total, with documents of unequal weights."""
+    return _mixture(spark, d, TOTAL, True)
+
+
+def p8_weighted_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_mixture(spark, d, TOTAL, True), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "documents"))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from statuta.llm import mixing as M
@@ -72,6 +73,19 @@ def test_unequal_weights_and_caps(spark):
     assert heavy == 4 * 20 and abs(light - 4 * 80) <= 4
 
 
+@pytest.mark.parametrize("weighted,total", [(False, None), (False, 4000.0), (True, 3000.0)])
+def test_error_bound(spark, weighted, total):
+    """Every source misses its target by half its largest document at most."""
+    docs, rows = corpus(spark, 900)
+    docs = docs.withColumn("w", F.when(F.col("doc_id") % 3 == 0, 5.0).otherwise(0.5))
+    targets = spark.createDataFrame([("a", 0.5, 1), ("B", 0.3, 2), ("c", 0.1, 4)], TARGET)
+    sizes = docs.select(M.source_key(F.col("source")).alias("source"), F.col("tokens").alias("size"))
+    goal = {r.source: r.target for r in M.plan(sizes, targets, total).collect()}
+    for seed in range(3):
+        got = {r.source: r.n for r in M.mixture(docs, targets, total=total, seed=seed, weight="w" if weighted else None).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()}
+        assert all(abs(got[s] - goal[s]) <= 59 / 2 + 1 for s in goal)
+
+
 def test_empty(spark):
     docs, _ = corpus(spark)
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGET)
