@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statuta.operators.chunks import word_tokens
 from statuta.operators.vector import filtered_topk, reciprocal_rank_fusion, topk
+from statuta.operators.vptree import vptree_topk
 from statuta.plans import retrieval as R
 from statuta.queries import common as C
 from statuta.session import cut, table
@@ -20,6 +21,19 @@ def vec_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     return _scores(topk(C.query_vectors(spark, d), C.question_vectors(spark, d), R.QUESTIONS))
 
 
+def vec_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the index; with factor one it is exact, which its SQL checks."""
+    return _scores(vptree_topk(C.query_vectors(spark, d), C.question_vectors(spark, d), R.QUESTIONS, 1.0))
+
+
+def vec_topk_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Through the index with the production factor: the share of the exact neighbours that it finds, of each query."""
+    exact = topk(C.query_vectors(spark, d), C.question_vectors(spark, d), R.QUESTIONS).select("qid", "id")
+    found = vptree_topk(C.query_vectors(spark, d), C.question_vectors(spark, d), R.QUESTIONS).select("qid", "id", F.lit(1).alias("hit"))
+    share = exact.join(found, ["qid", "id"], "left").groupBy("qid").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return share.agg(F.count(F.lit(1)).alias("n"), (F.avg("recall") >= 0.9).alias("good"))
+
+
 def vec_topk_excluding(spark: SparkSession, d: str) -> DataFrame:
     return _scores(topk(C.query_vectors(spark, d), C.question_vectors(spark, d), 7, exclude=True))
 
@@ -142,6 +156,8 @@ part AS (SELECT w.qid, n.nro, a.title, n.pos, regexp_replace(a.citeLink, '/[^/]*
 
 QUERIES = {
     "vec_topk_cosine": (vec_topk_cosine, f"WITH {C.VEC},{C.first(40)} {_HITS} hit1"),
+    "vec_topk_indexed": (vec_topk_indexed, f"WITH {C.VEC},{C.first(40)} {_HITS} hit1"),
+    "vec_topk_approximate": (vec_topk_approximate, f"WITH {C.VEC} SELECT count(DISTINCT qid) AS n, true AS good FROM query"),
     "vec_topk_excluding": (vec_topk_excluding, f"WITH {C.VEC},{C.first(7, True)} {_HITS} hit1"),
     "embeddings_topk": (
         embeddings_topk,

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta import schemas as S
+from statuta.session import ship
 
 
 def read_json(spark: SparkSession, path: str, schema: str, glob: str = "*.json", strict: bool = True) -> DataFrame:
@@ -54,4 +60,25 @@ def keywords(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as lines of JSON, one object a row."""
     rows.write.mode("overwrite").json(path)
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """``files(file, body)`` as files of these names in a folder that all executors share; an existing one is overwritten.
+
+    Every task writes its own files, so that a repeated task writes the same again.
+    """
+    root = re.sub(r"^file:/+", "/", path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, folder = fs.FileSystem.from_uri(root)
+        system.create_dir(folder)
+        for batch in batches:
+            for name, body in zip(batch["file"], batch["body"]):
+                with system.open_output_stream(f"{folder}/{name}") as out:
+                    out.write((body or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    ship(files.sparkSession)
+    files.select("file", "body").mapInPandas(run, "n long").agg(F.sum("n")).collect()

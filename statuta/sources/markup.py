@@ -91,21 +91,20 @@ def child_units(div: Node | None, units: set[str], compat: bool = False) -> list
     return []
 
 
-def own_text(div: Node | None, without: set[str]) -> str:
-    """Texts below a div, each stripped and followed by a space, without the divs of ``without``."""
-    if div is None:
-        return ""
-    out: list[str] = []
+def _texts(div: Node, without: set[str] = frozenset()) -> Iterator[str]:
+    """Pieces of text below a div in their order, whatever the depth, except below the divs of ``without``."""
+    waiting = list(reversed(div.contents))
+    while waiting:
+        item = waiting.pop()
+        if isinstance(item, str):
+            yield item.strip()
+        elif item.tag != "div" or unit_id(item.attrs.get("id", "")) not in without:
+            waiting.extend(reversed(item.contents))
 
-    def visit(node: Node) -> None:
-        for c in node.contents:
-            if isinstance(c, str):
-                out.append(c.strip() + " ")
-            elif not (c.tag == "div" and unit_id(c.attrs.get("id", "")) in without):
-                visit(c)
 
-    visit(div)
-    return "".join(out).strip()
+def own_text(div: Node | None, without: set[str]) -> str:
+    """Texts below a div, each stripped and followed by a space, without the divs of ``without``."""
+    return "" if div is None else " ".join(_texts(div, without)).strip()
 
 
 def act_rows(html: str | None, ids: list[str], compat: bool = False) -> list[tuple[int, str, list[str], str]]:
@@ -156,17 +155,7 @@ def part_text(root: Node, css_class: str) -> str:
     """The text of the first div of a class: stripped pieces joined by spaces; a space stands before links."""
     for node in root.walk():
         if node.tag == "div" and css_class in node.attrs.get("class", "").split():
-            pieces: list[str] = []
-
-            def visit(n: Node) -> None:
-                for c in n.contents:
-                    if isinstance(c, Node):
-                        visit(c)
-                    elif c.strip():
-                        pieces.append(c.strip())
-
-            visit(node)
-            return " ".join(pieces)
+            return " ".join(filter(None, _texts(node)))
     return ""
 
 
