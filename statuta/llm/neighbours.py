@@ -1,234 +1,21 @@
 """The k most similar vectors for every vector, by vantage-point trees with relaxed pruning.
 
-Method. A vantage-point tree is fitted per collection on a bounded sample; its leaves are cells, and
-runs of neighbouring cells are the shards. Every vector is indexed in its cell. A query is compared
-with its own cell first, which bounds the distance its neighbours can have; another cell is skipped
-when the triangle inequality over the vantage points puts it farther away than that bound divided by
-``factor``. With factor 1 nothing nearer can be skipped and the search is exact; a larger factor skips
-more. Queries meet shards in blocks, one task for each pair of blocks.
-
-Distances are those of vectors of length 1, in which the order is that of the cosine.
+Method. The trees are those of :mod:`statuta.operators.vptree`: vectors are dealt into shards of near ones, each
+shard has a vantage-point tree of its own, and shards and cells are passed over by the triangle inequality,
+relaxed by ``factor``; with factor 1 the search is exact. Here every vector is a query. Equal vectors are
+searched once, and their classes are put together afterwards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.session import cut, ship
-
-K, FACTOR, DIM = 5, 1.75, 64
-#: Vectors per collection on which a tree is fitted; all vectors are indexed.
-SAMPLE = 20_000
-#: Vectors of a cell, aimed at, and the most cells of a tree.
-CELL, MOST_CELLS = 96, 1024
-#: Vantage points of the upper levels, whose distances bound the cells.
-PIVOTS = 127
-#: Vectors of a block, at most, and the least number of blocks of a collection.
-BLOCK, LEAST_BLOCKS = 65_536, 8
-_QUERY_CHUNK = 4096
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)), dtype=np.float32)
-
-
-class Tree:
-    """A complete vantage-point tree of a given depth, in heap order."""
-
-    def __init__(self, sample: np.ndarray, depth: int, seed: int = 7):
-        self.depth = depth
-        nodes = (1 << depth) - 1
-        self.vantage = np.zeros((nodes, sample.shape[1]), np.float32)
-        self.radius = np.zeros(nodes, np.float32)
-        rng = np.random.default_rng(seed)
-        parts = {0: np.arange(len(sample))}
-        for node in range(nodes):
-            ids = parts.pop(node)
-            if not len(ids):
-                parts[2 * node + 1] = parts[2 * node + 2] = ids
-                continue
-            # Of some candidates the one whose distances spread most.
-            some = sample[rng.choice(ids, min(16, len(ids)), replace=False)]
-            few = sample[rng.choice(ids, min(128, len(ids)), replace=False)]
-            self.vantage[node] = some[np.argmax(_distances(some, few).std(axis=1))]
-            d = _distances(sample[ids], self.vantage[node : node + 1])[:, 0]
-            self.radius[node] = np.median(d)
-            parts[2 * node + 1], parts[2 * node + 2] = ids[d <= self.radius[node]], ids[d > self.radius[node]]
-
-    def cells(self, vectors: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(vectors), np.int64)
-        for _ in range(self.depth):
-            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", vectors, self.vantage[node])), dtype=np.float32)
-            node = 2 * node + 1 + (d > self.radius[node])
-        return node - ((1 << self.depth) - 1)
-
-    @property
-    def pivots(self) -> np.ndarray:
-        return self.vantage[:PIVOTS]
-
-
-class Best:
-    """The best ``k`` entries so far of each of some queries."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.sim = np.full((queries, k), -2.0, np.float32)
-        self.id = np.full((queries, k), np.iinfo(np.int64).max)
-
-    def offer(self, rows: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
-        """Similarities of the queries ``rows`` with the entries ``ids``."""
-        better = np.nonzero(sims.max(axis=1) >= self.sim[rows, -1])[0]
-        if not len(better):
-            return
-        rows, sims = rows[better], sims[better]
-        if sims.shape[1] > self.k:
-            # Ties at the border are settled by the smaller id: ids are in ascending order in a cell.
-            top = np.argsort(-sims, axis=1, kind="stable")[:, : self.k]
-            new_sim, new_id = np.take_along_axis(sims, top, 1), ids[top]
-        else:
-            new_sim, new_id = sims, np.broadcast_to(ids, sims.shape)
-        sim = np.concatenate([self.sim[rows], new_sim], axis=1)
-        idx = np.concatenate([self.id[rows], new_id], axis=1)
-        order = np.lexsort((idx, -sim), axis=1)[:, : self.k]
-        self.sim[rows] = np.take_along_axis(sim, order, 1)
-        self.id[rows] = np.take_along_axis(idx, order, 1)
-
-
-class Shard:
-    """Vectors sorted by cell, with the range of distances to the pivots in each cell."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, cell: np.ndarray, pivots: np.ndarray):
-        order = np.lexsort((ids, cell))
-        self.ids, self.vectors = ids[order], vectors[order]
-        names, self.begin = np.unique(cell[order], return_index=True)
-        self.names = names
-        self.end = np.append(self.begin[1:], len(order))
-        d = _distances(self.vectors, pivots)
-        self.low = np.minimum.reduceat(d, self.begin, axis=0)
-        self.high = np.maximum.reduceat(d, self.begin, axis=0)
-
-    def bounds(self, to_pivots: np.ndarray) -> np.ndarray:
-        """Least possible distance of each query to each cell, by the triangle inequality."""
-        out = np.zeros((len(to_pivots), len(self.names)), np.float32)
-        for c in range(len(self.names)):
-            gap = np.maximum(self.low[c] - to_pivots, to_pivots - self.high[c])
-            out[:, c] = np.maximum(gap.max(axis=1), 0.0)
-        return out
-
-    def search(self, queries: np.ndarray, own: np.ndarray | None, best: Best, pivots: np.ndarray, factor: float, first: int = 0) -> None:
-        """Improve ``best[first:]`` for ``queries``; ``own`` is the queries' cell if they are in this shard."""
-        rows = np.arange(len(queries))
-        bound = self.bounds(_distances(queries, pivots))
-        if own is not None:
-            for c, name in enumerate(self.names):
-                mine = rows[own == name]
-                if len(mine):
-                    self._visit(c, mine, queries, best, first)
-                    bound[mine, c] = np.nan
-        # Near cells first, so that the bound on the neighbours' distance shrinks early.
-        for c in np.argsort(np.nan_to_num(bound).mean(axis=0)):
-            kth = best.sim[first : first + len(queries), -1]
-            # A query that has not found k neighbours yet must see everything.
-            reach = np.where(kth > -1.5, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * kth)) + 1e-5, np.inf)
-            active = rows[bound[:, c] * factor <= reach]
-            if len(active):
-                self._visit(c, active, queries, best, first)
-
-    def _visit(self, c: int, rows: np.ndarray, queries: np.ndarray, best: Best, first: int) -> None:
-        there = slice(self.begin[c], self.end[c])
-        best.offer(rows + first, queries[rows] @ self.vectors[there].T, self.ids[there])
-
+from statuta.operators.vector import ranked
+from statuta.operators.vptree import FACTOR, sound, vptree_topk
+from statuta.session import cut, hot_join, ship
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
-
-
-def unit(vectors: np.ndarray) -> np.ndarray:
-    wide = vectors.astype(np.float64)
-    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
-
-
-_HIT = "coll string, rep long, near long, sim float"
-
-
-def _hits(coll: str, reps: np.ndarray, best: Best) -> pd.DataFrame:
-    k = best.k
-    there = best.sim > -1.5
-    flat = there.ravel()
-    return pd.DataFrame({
-        "coll": coll, "rep": np.repeat(reps, k)[flat], "near": best.id.ravel()[flat], "sim": best.sim.ravel()[flat],
-    })
-
-
-def _search_own(trees, k: int, factor: float):
-    """Each block against itself."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pivots = trees.value[key[0]][0].pivots
-        vectors, ids, cell = _stack(rows["vector"]), rows["rep"].to_numpy(), rows["cell"].to_numpy()
-        shard, best = Shard(ids, vectors, cell, pivots), Best(len(ids), k)
-        for at in range(0, len(ids), _QUERY_CHUNK):
-            part = slice(at, at + _QUERY_CHUNK)
-            shard.search(vectors[part], cell[part], best, pivots, factor, at)
-        return _hits(key[0], ids, best)
-
-    return run
-
-
-def _search_other(trees, k: int, factor: float):
-    """A block of queries, which know how far their neighbours can be, against another block."""
-
-    def run(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        queries, rows = both[both["asks"]], both[~both["asks"]]
-        if queries.empty or rows.empty:
-            return pd.DataFrame({"coll": [], "rep": [], "near": [], "sim": []})
-        pivots = trees.value[key[0]][0].pivots
-        shard = Shard(rows["rep"].to_numpy(), _stack(rows["vector"]), rows["cell"].to_numpy(), pivots)
-        vectors, known = _stack(queries["vector"]), queries["kth"].to_numpy(np.float32)
-        out = []
-        for at in range(0, len(vectors), _QUERY_CHUNK):
-            part = slice(at, at + _QUERY_CHUNK)
-            best = Best(len(vectors[part]), k)
-            best.sim[:] = known[part][:, None]
-            shard.search(vectors[part], None, best, pivots, factor)
-            best.sim[best.id == np.iinfo(np.int64).max] = -2.0
-            out.append(_hits(key[0], queries["rep"].to_numpy()[part], best))
-        return pd.concat(out, ignore_index=True)
-
-    return run
-
-
-def _index(trees):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for coll, rows in batch.groupby("coll", sort=False):
-                tree, blocks = trees.value[coll]
-                vectors = unit(np.stack(rows["raw"].to_numpy()))
-                cell = tree.cells(vectors)
-                yield pd.DataFrame({
-                    "coll": coll, "rep": rows["rep"].to_numpy(), "cell": cell.astype(np.int32),
-                    "block": (cell * blocks >> tree.depth).astype(np.int32), "vector": [v.tobytes() for v in vectors],
-                })
-
-    return run
-
-
-def _fit(entries: DataFrame, sizes: dict[str, int]) -> dict[str, tuple[Tree, int]]:
-    """Trees from at most SAMPLE vectors of each collection, the first by a hash of their key."""
-    order = Window.partitionBy("coll").orderBy(F.xxhash64("rep"), "rep")
-    rows = entries.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).select("coll", "raw").toPandas()
-    trees = {}
-    for coll, part in rows.groupby("coll"):
-        n = sizes[coll]
-        depth = int(np.clip(np.round(np.log2(max(2, n / CELL))), 1, np.log2(MOST_CELLS)))
-        blocks = max(-(-n // BLOCK), min(LEAST_BLOCKS, -(-n // 512)))
-        trees[coll] = (Tree(unit(np.stack(part["raw"].to_numpy())), depth), min(blocks, 1 << depth))
-    return trees
+K, DIM = 5, 64
 
 
 def nearest(
@@ -245,44 +32,17 @@ def nearest(
     """
     ship(points.sparkSession)
     v = F.col(f"`{vector}`")
-    sound = (
-        (F.size(v) == dim)
-        & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        & F.exists(v, lambda x: x != 0)
-    )
-    clean = points.where(F.coalesce(sound, F.lit(False))).select(
+    clean = points.where(sound(v, dim)).select(
         F.col(f"`{coll}`").cast("string").alias("coll"), F.col(f"`{point}`").cast("long").alias("id"), v.cast("array<float>").alias("raw")
     ).where("coll IS NOT NULL AND id IS NOT NULL").dropDuplicates(["coll", "id"])
     entries = cut(clean.groupBy("coll", "raw").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    sizes = {r["coll"]: r["n"] for r in entries.groupBy("coll").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spark = points.sparkSession
-    trees = spark.sparkContext.broadcast(_fit(entries, sizes))
-    indexed = cut(entries.select("coll", "rep", "raw").mapInPandas(_index(trees), "coll string, rep long, cell int, block int, vector binary"))
-    pairs = sum(b * b for _, b in trees.value.values()) or 1
-    blocks = sum(b for _, b in trees.value.values()) or 1
-    one = min(2 * blocks, 4096)
-    own = cut(indexed.repartition(one, "coll", "block").groupBy("coll", "block").applyInPandas(_search_own(trees, k + 1, factor), _HIT))
-    # How far the neighbours can be: the similarity of the last one found so far.
-    kth = own.groupBy("coll", "rep").agg(F.when(F.count(F.lit(1)) > k, F.min("sim")).otherwise(-2.0).cast("float").alias("kth"))
-    counts = F.create_map(*[F.lit(x) for c, (_, b) in trees.value.items() for x in (c, b)] or [F.lit(""), F.lit(1)])
-    other = F.filter(F.sequence(F.lit(0), counts[F.col("coll")] - 1), lambda b: b != F.col("block"))
-    asked = indexed.join(kth, ["coll", "rep"]).select(
-        "coll", F.col("block").alias("q"), F.explode(other).alias("b"), F.lit(True).alias("asks"), "rep", "cell", "kth", "vector"
-    )
-    held = indexed.select(
-        "coll", F.explode(other).alias("q"), F.col("block").alias("b"), F.lit(False).alias("asks"), "rep", "cell",
-        F.lit(None).cast("float").alias("kth"), "vector",
-    )
-    many = min(2 * pairs, 20_000)
-    met = asked.unionByName(held).repartition(many, "coll", "q", "b").groupBy("coll", "q", "b")
-    far = met.applyInPandas(_search_other(trees, k + 1, factor), _HIT)
-    order = Window.partitionBy("coll", "rep").orderBy(F.desc("sim"), "near")
+    once = entries.select("coll", F.col("rep").alias("id"), F.col("raw").alias("vector"))
     # Written once: both the single vectors and the classes of equal ones read it.
-    hits = cut(own.unionByName(far).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r"))
-
+    hits = cut(vptree_topk(once, once, k + 1, factor, dim, "coll").select("coll", F.col("qid").alias("rep"), F.col("id").alias("near"), F.col("score").alias("sim")))
+    order = Window.partitionBy("coll", "rep").orderBy(ranked("sim"), "near")
     # Classes of equal vectors: hits give way to the class's smallest keys, then every member gets the list.
     several = entries.where("n > 1")
-    member = clean.join(several.select("coll", "raw", "rep"), ["coll", "raw"]).select("coll", "rep", "id")
+    member = hot_join(clean, several.select("coll", "raw", "rep"), ["coll", "raw"], ["id"], "inner").select("coll", "rep", "id")
     smallest = Window.partitionBy("coll", "rep").orderBy("id")
     few = (
         member.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
@@ -293,16 +53,14 @@ def nearest(
         .select("coll", "rep", "sim", F.explode(F.coalesce("ids", F.array("near"))).alias("near"))
         .withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     )
-    salts = 16
-    spread = lists.join(several.select("coll", "rep"), ["coll", "rep"], "left_semi").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    for_members = member.withColumn("salt", F.pmod("id", F.lit(salts)).cast("int")).join(spread, ["coll", "rep", "salt"]).select("coll", "id", "near", "sim")
+    # A class may be a third of all vectors: its members meet the list of at most k + 1 entries in many tasks.
+    gathered = lists.join(several.select("coll", "rep"), ["coll", "rep"], "left_semi").groupBy("coll", "rep").agg(F.collect_list(F.struct("near", "sim")).alias("l"))
+    for_members = hot_join(member, cut(gathered), ["coll", "rep"], ["id"], "inner").select("coll", "id", F.explode("l").alias("x")).select("coll", "id", "x.near", "x.sim")
     single = lists.join(several.select("coll", "rep"), ["coll", "rep"], "left_anti").select("coll", F.col("rep").alias("id"), "near", "sim")
-    each = Window.partitionBy("coll", "id").orderBy(F.desc("sim"), "near")
+    each = Window.partitionBy("coll", "id").orderBy(ranked("sim"), "near")
     return (
         single.unionByName(for_members).where("near != id").withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= k)
-        .select("coll", F.col("id").alias(point), "near", "rank", F.col("sim").cast("double").alias("similarity"))
+        .select("coll", F.col("id").alias(point), "near", "rank", F.col("sim").alias("similarity"))
     )
 
 

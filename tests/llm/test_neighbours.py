@@ -67,10 +67,3 @@ def test_few_and_none(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {(r.point_a, r.point_b) for r in N.neighbour_pairs(N.nearest(df)).collect()} == {(1, 2)}
     assert N.nearest(df.limit(0)).count() == 0
-
-
-def test_tree_covers_all():
-    rng = np.random.default_rng(1)
-    v = N.unit(rng.normal(size=(500, 64)))
-    tree = N.Tree(v, 4)
-    assert set(tree.cells(v)) <= set(range(16)) and np.bincount(tree.cells(v), minlength=16).max() < 80
