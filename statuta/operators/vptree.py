@@ -279,10 +279,10 @@ def _fit(corpus: DataFrame) -> tuple[dict[str, Coarse], int]:
     return {name: Coarse(np.stack(part["raw"].to_numpy()), sizes[name]) for name, part in rows.groupby("grp")}, max(sizes.values(), default=0)
 
 
-def _met(queries: DataFrame, rows: DataFrame, most: int) -> DataFrame:
-    """Queries and rows of each (grp, shard) in one place; queries of a popular shard in several, with the rows in each."""
+def _met(queries: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """Queries and rows of each (grp, shard) in one place; many queries in ``least`` places or more, with the rows in each."""
     keys = ["grp", "shard"]
-    parts = F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / FEW))).cast("int")
+    parts = F.greatest(F.ceil(F.col("n") / SHARD), F.least(F.lit(least), F.ceil(F.col("n") / FEW))).cast("int")
     # As many rows as shards, which are an SHARD-th of the vectors or LEAST_SHARDS a group.
     counts = cut(queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, parts.alias("parts")))
     tasks = min(20_000, 2 * (counts.agg(F.sum("parts")).first()[0] or 1))
@@ -324,7 +324,7 @@ def vptree_topk(
     rows = cut(held.mapInPandas(_deal(shared, kind), dealt))
     asked = rows if same else cut(clean(queries, "qid").mapInPandas(_deal(shared, kind), dealt))
     search = _search(k, factor, kind)
-    own = cut(_met(asked.withColumn("kth", F.lit(-2.0)), rows, SHARD).applyInPandas(search, _HIT))
+    own = cut(_met(asked.withColumn("kth", F.lit(-2.0)), rows, 1).applyInPandas(search, _HIT))
     hits = own
     if most > FEW:
         large = [g for g, c in coarse.items() if c.shards > 1]
@@ -339,7 +339,7 @@ def vptree_topk(
         known = asked.where(in_large).join(kth, ["grp", "id"], "left").fillna(-2.0, ["kth"])
         going = cut(known.mapInPandas(_others(measured, factor, kind), "grp string, id long, kth double, vector binary, to array<int>"))
         far = going.select("grp", F.explode("to").alias("shard"), "id", "kth", "vector")
-        hits = own.unionByName(_met(far, spread, SHARD).applyInPandas(search, _HIT))
+        hits = own.unionByName(_met(far, spread, 2).applyInPandas(search, _HIT))
     order = Window.partitionBy("grp", "qid").orderBy(ranked("sim"), "near")
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     lead = [] if group is None else [F.col("grp").alias(group)]
