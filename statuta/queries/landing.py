@@ -129,6 +129,20 @@ def keyword_documents(spark: SparkSession, d: str) -> DataFrame:
     return pages.keyword_documents(responses).select("key", F.col("pos").cast("long").alias("pos"), "nro", "title", "validity")
 
 
+def page_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Landed responses of pages of fifty questions through the data source, flattened to numbers; the last page is missing."""
+    path = _folder(spark)
+    numbered = ST.batches(C.questions(spark, d).select("nro"), ["nro"], 50)
+    body = _json(F.array_sort(F.collect_list(F.struct("nro"))).alias("questions"))
+    found = numbered.groupBy(F.col("batch").alias("page")).agg(body.alias("body"))
+    last = found.agg(F.max("page")).first()[0]
+    json_files.write_files(found.where(F.col("page") < last).select(F.format_string("page_%d.json", "page").alias("file"), "body"), path)
+    pages.register(spark)
+    read = spark.read.format("statuta_pages").option("total", numbered.count()).option("size", 50).option("path", path).load()
+    listed = F.from_json("body", "STRUCT<questions: ARRAY<STRUCT<nro: BIGINT>>>")["questions"]["nro"]
+    return read.select(F.col("page").cast("long").alias("page"), "start", "size", F.explode_outer(listed).alias("nro"))
+
+
 def request_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Bodies of requests as text: one for every question, one for every page of a keyword."""
     asked = C.questions(spark, d).select(F.col("nro").cast("string").alias("key"), landed.request_body({"lang": "pl", "nro": "0"}, nro=F.col("nro")).alias("body"))
@@ -265,6 +279,12 @@ FROM (WITH {C.CUR} SELECT * FROM cur_a WHERE elements IS NOT NULL) a LEFT JOIN (
         keyword_documents,
         f"""WITH {C.CUR} SELECT key, pos, r.nro AS nro, r.title AS title, r.validity AS validity FROM (
 SELECT concat_ws('_', conceptId, instanceOfType) AS key, unnest(actRelations) AS r, unnest(range(CAST(len(actRelations) AS BIGINT))) AS pos FROM cur_k)""",
+    ),
+    "page_responses": (
+        page_responses,
+        f"""WITH {C.CUR}, r AS (SELECT nro, (row_number() OVER (ORDER BY nro) - 1) // 50 AS page, count(*) OVER () AS n FROM cur_q)
+SELECT page, page * 50 AS start, least(50, n - page * 50) AS size, nro FROM r WHERE page < (n - 1) // 50
+UNION ALL SELECT (n - 1) // 50, (n - 1) // 50 * 50, n - (n - 1) // 50 * 50, NULL FROM (SELECT count(*) AS n FROM cur_q)""",
     ),
     "request_bodies": (
         request_bodies,

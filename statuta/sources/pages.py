@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -51,29 +53,43 @@ def search_request(start: Column, size: Column, domains: dict[str, int], query:
 
 
 class _Pages(DataSourceReader):
-    def __init__(self, total: int, size: int):
-        self.total, self.size = total, size
+    def __init__(self, total: int, size: int, path: str | None):
+        self.total, self.size, self.path = total, size, path
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in range(-(-self.total // self.size))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         page = partition.value
-        yield page, page * self.size, min(self.size, self.total - page * self.size)
+        yield page, page * self.size, min(self.size, self.total - page * self.size), self._body(page)
+
+    def _body(self, page: int) -> str | None:
+        if self.path is None:
+            return None
+        system, folder = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", self.path))
+        try:
+            with system.open_input_stream(f"{folder}/page_{page}.json") as found:
+                return found.read().decode()
+        except FileNotFoundError:
+            return None
 
 
 class PageSource(DataSource):
-    """Page requests as a table, one partition a page: ``spark.read.format("statuta_pages")``."""
+    """Requests of pages and their landed responses as a table, one partition a page: ``spark.read.format("statuta_pages")``.
+
+    Options: ``total`` entries in pages of ``size``, and the folder ``path`` in which the response of page n has
+    landed as ``page_n.json``; the body of a page that is missing there is null.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "statuta_pages"
 
     def schema(self) -> str:
-        return "page int, start long, size long"
+        return "page int, start long, size long, body string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Pages(int(self.options.get("total", 0)), int(self.options.get("size", 100)))
+        return _Pages(int(self.options.get("total", 0)), int(self.options.get("size", 100)), self.options.get("path"))
 
 
 def register(spark: SparkSession) -> None:
