@@ -90,6 +90,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("chunk_id = 1").select("act_nro", "reconstruct_id").distinct()
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized text: its words, and whether its pieces fit, are numbered in full and give the text again."""
+    pieces = splitting.split_oversized(_vector_texts(spark, d), "text")
+    shared = r"^(?:[^ \t\r\n]+[ \t\r\n]+){50}"
+    own = F.when(F.col("chunk_id") == 1, F.col("piece")).otherwise(F.regexp_replace("piece", shared, ""))
+    texts = pieces.groupBy("act_nro", "reconstruct_id", F.md5("text").alias("h")).agg(
+        F.first("text").alias("text"), F.max("total_chunks").alias("total"), F.max(splitting.word_count(F.col("piece"))).alias("most"),
+        F.array_sort(F.collect_list(F.struct("chunk_id", own.alias("own")))).alias("l"),
+    )
+    again = F.array_join(F.transform("l", lambda x: x["own"]), "")
+    return texts.select(
+        "act_nro", "reconstruct_id", splitting.word_count(F.col("text")).cast("long").alias("n_words"), (F.col("most") <= 512).alias("fits"),
+        (F.transform("l", lambda x: x["chunk_id"]) == F.sequence(F.lit(1), F.col("total"))).alias("numbered"), (again == F.col("text")).alias("whole"),
+    )
+
+
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 

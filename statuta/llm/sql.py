@@ -35,6 +35,10 @@ SELECT DISTINCT least(p, q) AS point_a, greatest(p, q) AS point_b FROM r WHERE r
     "p6_found": r"""
 SELECT DISTINCT act_nro, reconstruct_id FROM vector_acts
 WHERE act_nro IS NOT NULL AND reconstruct_id IS NOT NULL AND len(regexp_extract_all(text, '[^ \t\r\n]+')) > 512""",
+    "p6_checked": r"""
+SELECT act_nro, reconstruct_id, len(regexp_extract_all(text, '[^ \t\r\n]+')) AS n_words, true AS fits, true AS numbered, true AS whole FROM (
+SELECT DISTINCT act_nro, reconstruct_id, text FROM vector_acts WHERE act_nro IS NOT NULL AND reconstruct_id IS NOT NULL)
+WHERE len(regexp_extract_all(text, '[^ \t\r\n]+')) > 512""",
     "p7_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
     "p7_items": f"""WITH {_LEAKS}
 SELECT i.item_id, i.suite, count(DISTINCT l.doc_id) AS n_documents FROM eval_items i LEFT JOIN leaks l USING (item_id) GROUP BY ALL""",
