@@ -6,34 +6,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions.ids import range_ends, roman_first_bracket, root_id
+from statuta.operators.hierarchy import all_descendants, hierarchy
 from statuta.session import cut
 
 
 def edges(nodes: DataFrame) -> DataFrame:
-    """``nro, node_id, ord, child``: links to existing children, in order; a repeated child counts once."""
-    listed = nodes.select("nro", "node_id", F.posexplode("children").alias("ord", "child")).groupBy("nro", "node_id", "child").agg(
-        F.min("ord").alias("ord")
+    """``nro, node_id, pos, ord, child, child_pos``: links to existing children, in order; a repeated child counts once."""
+    listed = nodes.select("nro", "node_id", "pos", F.posexplode("children").alias("ord", "child")).groupBy("nro", "node_id", "child").agg(
+        F.min("ord").alias("ord"), F.min("pos").alias("pos")
     )
-    keys = nodes.select("nro", F.col("node_id").alias("child"))
-    return listed.join(keys, ["nro", "child"], "left_semi")
+    keys = nodes.select("nro", F.col("node_id").alias("child"), F.col("pos").alias("child_pos"))
+    return listed.join(keys, ["nro", "child"])
 
 
-def reachable(starts: DataFrame, links: DataFrame, group: list[str], max_rounds: int = 1_000_000) -> DataFrame:
-    """``group, nro, node_id``: the starts and everything below them, by rounds over the new nodes only.
+def reachable(starts: DataFrame, links: DataFrame, group: list[str]) -> DataFrame:
+    """``group, nro, node_id``: the starts and everything below them by ``links``, the columns of :func:`edges`.
 
-    Every round is written to the checkpoint folder; nodes already reached are not expanded again, so
-    loops end. The number of rounds is the depth of the graph.
+    What lies below a node is found once for the graph, by the paths of its hierarchy, and starts are joined to
+    it. Only below a loop, where no node has a path, links are followed round by round, over new nodes only.
     """
     keys = [*group, "nro", "node_id"]
-    # Read in every round, so written once.
-    step = cut(links.select("nro", "node_id", "child"))
-    seen = new = cut(starts.select(*keys).distinct())
-    for _ in range(max_rounds):
-        found = new.join(step, ["nro", "node_id"]).select(*group, "nro", F.col("child").alias("node_id")).distinct()
-        new = cut(found.join(seen, keys, "left_anti"))
-        if new.isEmpty():
-            break
-        seen = seen.unionByName(new)
+    step = cut(links.select("nro", "node_id", "pos", "child", "child_pos"))
+    elements = cut(
+        step.select("nro", "node_id", "pos", F.lit(None).cast("string").alias("parent"))
+        .unionByName(step.select("nro", F.col("child").alias("node_id"), F.col("child_pos").alias("pos"), F.col("node_id").alias("parent")))
+    )
+    found = cut(hierarchy(elements, children=None))
+    first = cut(starts.select(*keys).distinct())
+    pairs = all_descendants(elements, found, children=None)
+    below = first.join(pairs.withColumnRenamed("ancestor", "node_id"), ["nro", "node_id"]).select(*group, "nro", F.col("descendant").alias("node_id"))
+    seen = first.unionByName(below).distinct()
+    # Everything below a broken node is broken as well.
+    broken = found.where("broken").select("nro", "node_id")
+    looped = cut(first.join(broken, ["nro", "node_id"], "left_semi"))
+    if not looped.isEmpty():
+        step = cut(step.select("nro", "node_id", "child").join(broken, ["nro", "node_id"], "left_semi"))
+        new = circle = looped
+        while not new.isEmpty():
+            more = new.join(step, ["nro", "node_id"]).select(*group, "nro", F.col("child").alias("node_id")).distinct()
+            new = cut(more.join(circle, keys, "left_anti"))
+            circle = cut(circle.unionByName(new))
+        seen = seen.unionByName(circle).distinct()
     return seen
 
 

@@ -75,6 +75,32 @@ def test_propagation(spark, nodes, units, positions):
     assert sorted(at[r.node_id] for r in got.collect()) == positions
 
 
+def test_reachable_by_brute_force(spark):
+    """Trees, second parents, loops and absent children; several groups of starts."""
+    import random
+
+    rng = random.Random(8)
+    rows, down = [], {}
+    for tree in (1, 2):
+        for i in range(60):
+            children = [f"n{c}" for c in range(i + 1, 60) if rng.random() < 0.04] + [f"n{rng.randrange(60)}"] * (rng.random() < 0.08) + ["absent"] * (rng.random() < 0.1)
+            rows.append((tree, i, f"n{i}", None, children if rng.random() < 0.9 else None, "", []))
+            down[tree, f"n{i}"] = [c for c in rows[-1][4] or [] if c != "absent"]
+    starts = [(g, tree, f"n{rng.randrange(60)}") for g in ("x", "y") for tree in (1, 2) for _ in range(4)] + [("x", 1, "n59")]
+    expected = set()
+    for g, tree, node in starts:
+        seen, waiting = {node}, [node]
+        while waiting:
+            for c in down[tree, waiting.pop()]:
+                if c not in seen:
+                    seen.add(c)
+                    waiting.append(c)
+        expected |= {(g, tree, n) for n in seen}
+    nodes = spark.createDataFrame(rows, NODES)
+    got = T.reachable(spark.createDataFrame(starts, "g string, nro long, node_id string"), T.edges(nodes), ["g"]).collect()
+    assert sorted((r.g, r.nro, r.node_id) for r in got) == sorted(expected)
+
+
 def test_loops_end(spark):
     rows = [(1, 0, "a", "c", ["b"], "x", []), (1, 1, "b", "a", ["c"], "y", []), (1, 2, "c", "b", ["a"], "z", []), (1, 3, "d", None, ["d"], "w", [])]
     looped = spark.createDataFrame(rows, NODES)
