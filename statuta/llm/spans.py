@@ -182,19 +182,22 @@ def representative_runs(
         F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), F.sha2(F.col(f"`{text}`"), 256).alias("h")
     )
     # Of a repeated key with different texts the one with the least hash counts.
-    firsts = keyed.groupBy("doc").agg(F.min("h").alias("h")).groupBy("h").agg(F.min("doc").alias("doc"))
-    texts = keyed.join(small(cut(firsts)), ["doc", "h"], "left_semi").dropDuplicates(["doc"]).select("doc", "text")
+    keys = keyed.groupBy("doc").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    firsts = cut(keys.groupBy("h").agg(F.min("doc").alias("doc"), F.max("n").alias("n")))
+    texts = keyed.join(small(firsts.drop("n")), ["doc", "h"], "left_semi").select("doc", "text")
+    if not firsts.where("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["doc"])  # rows that stand several times; without them no text is shuffled
     windows = written(texts.mapInPandas(_windows(least, gram, hashes), _WINDOWS))
     # Values of one document only are gone before the join: they are the bulk. Counts are combined before they are shuffled.
     shared = cut(
         windows.groupBy("seed", "value").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
         .select("seed", "value", F.ceil(F.col("n") / MEETING).cast("int").alias("parts"))
     )
-    met = hot_join(windows, shared, ["seed", "value"], ["doc"], "inner")
+    met = small(cut(hot_join(windows, shared, ["seed", "value"], ["doc"], "inner")))
     # Only what stands around a shared token leaves its text.
     room, at = least - gram, F.col("centre")
     slices = cut(
-        met.join(texts, "doc").select(
+        texts.join(met, "doc").select(
             "doc", "seed", "value", "parts", "before", "centre", "after", F.substring("text", at + 1, F.lit(gram)).alias("t"),
             F.substring("text", F.greatest(at - room, F.lit(0)) + 1, F.least(at, F.lit(room))).alias("l"), F.substring("text", at + gram + 1, F.lit(room)).alias("r"),
         )
