@@ -44,7 +44,8 @@ _INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x
 #: Kinds of compatibility mappings that only imitate their plain form; superscripts, fractions and the like are genuine.
 _IMITATING = ("<font>", "<wide>", "<narrow>", "<noBreak>")
 #: Letters, digits, signs and punctuation that are plain as they are, as Java and Python pattern classes.
-STABLE = "\\t\\n\\r -~¡-¬®-İĲ-ňŊ-ž‒-―‘-‟•…‰′″‹›⁰-ₜ€№™←-↔∀-∏∑-∿≈≠≤≥"
+_ASCII = "\\t\\n\\r -~"
+STABLE = _ASCII + "¡-¬®-İĲ-ňŊ-ž‒-―‘-‟•…‰′″‹›⁰-ₜ€№™←-↔∀-∏∑-∿≈≠≤≥"
 _LETTER = "[^\\W\\d_]"
 
 
@@ -284,8 +285,11 @@ def _speller(letters: dict[str, str]):
 
 
 def quick_check(text: Column) -> Column:
-    """Whether a text may hold an unstable character; runs in the JVM, false for null."""
-    return F.coalesce(text.rlike(f"[^{STABLE}]"), F.lit(False))
+    """Whether a text may hold an unstable character; runs in the JVM, false for null.
+
+    Only characters beyond ASCII, which few are, are looked at in the longer class.
+    """
+    return F.coalesce(text.rlike(f"[^{_ASCII}](?<![{STABLE}])"), F.lit(False))
 
 
 def with_plain(df: DataFrame, text: str, out: str, letters: dict[str, str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import unicodedata
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from statuta.llm.spelling import STABLE, Speller, _tables, confusables, read_confusables, unplain, with_plain
 
@@ -81,3 +82,14 @@ def test_every_published_letter_is_replaced_in_a_latin_word(spark, plain):
     assert len(letters) > 400
     bad = [c for c, to in letters.items() if not "Ͱ" <= c <= "Ͽ" and plain(f"abcd{c}ef") != unicodedata.normalize("NFC", f"abcd{to}ef")]
     assert not bad
+
+
+def test_quick_check_is_the_class(spark):
+    import re
+
+    from statuta.llm.spelling import quick_check
+
+    stable = re.compile(f"[{STABLE}]")
+    chars = [chr(c) for c in [*range(1, 0x3000), 0x1D5BA, 0x1F600, 0xFEFF, 0xFF41]]
+    rows = spark.createDataFrame([(c, f"ab {c} ć") for c in chars], "c string, t string").select("c", quick_check(F.col("t")).alias("odd")).collect()
+    assert [r.c for r in rows if r.odd != (stable.match(r.c) is None)] == []
