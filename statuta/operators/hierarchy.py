@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.session import cut, hot_join, ship, small
+from statuta.session import cut, hot_join, is_small, ship, small
 
 ROOT, EXIT, SEVERAL, LOOP = 0, 1, 2, 3
 #: Positions of a fragment.
@@ -250,16 +250,19 @@ def _solve(rows: DataFrame, names: bool, width: int, level: int = 0, before: int
         F.expr("IF(size(seg) > 0, slice(seg, 1, size(seg) - 1), seg)").alias("seg"), F.lit(0).cast("long").alias("rank"),
         F.when(on_chain, F.col("term")).alias("up"),
     )
-    many = rows.where("kind IS NOT NULL").join(several, ["tree", "pos"]).drop("up")
+    many = cut(rows.where("kind IS NOT NULL").join(several, ["tree", "pos"]).drop("up"))
     above = label.select("tree", F.col("pos").alias("parent"), F.col("kind").alias("k"), "term", F.col("len").alias("l"), F.col("seg").alias("piece"))
     none = F.array().cast("array<string>")
-    up_kind = F.when(F.col("kind") == EXIT, F.coalesce("k", F.lit(LOOP))).otherwise(F.col("kind"))
-    from_several = hot_join(many, above, ["tree", "parent"], ["pos"]).select(
-        "tree", "pos", F.when(F.col("kind") == EXIT, F.col("term")).otherwise(F.col("parent")).alias("parent"), as_edge(up_kind),
+    # Nodes with several parents are mostly few, and go to the labels; else the labels go to them.
+    upward = many.where(F.col("kind") == EXIT)
+    met = above.join(F.broadcast(upward), ["tree", "parent"]) if is_small(upward) else hot_join(upward, above, ["tree", "parent"], ["pos"], "inner")
+    from_several = met.select(
+        "tree", "pos", F.col("term").alias("parent"), as_edge(F.col("k")),
         # Below a root the piece begins with the root itself, so that there is one name more than steps.
-        F.when(F.col("kind") != EXIT, F.col("len")).otherwise(F.coalesce("l", F.lit(0)) + F.col("len") + F.when(F.col("k") == ROOT, 1).otherwise(0)).alias("len"),
-        F.when(F.col("kind") != EXIT, F.col("seg")).otherwise(F.concat(F.coalesce("piece", none), F.coalesce("seg", none))).alias("seg"), "rank",
-        F.lit(None).cast("long").alias("up"),
+        (F.col("l") + F.col("len") + F.when(F.col("k") == ROOT, 1).otherwise(0)).alias("len"),
+        F.concat(F.coalesce("piece", none), F.coalesce("seg", none)).alias("seg"), "rank", F.lit(None).cast("long").alias("up"),
+    ).unionByName(
+        many.where(F.col("kind") != EXIT).select("tree", "pos", "parent", "kind", "len", "seg", "rank", F.lit(None).cast("long").alias("up"))
     )
     up = hanging.where(on_chain).select("tree", "pos", F.col("term").alias("up"))
     nodes = inner.unionByName(several).join(own_names, ["tree", "pos"]).join(up, ["tree", "pos"], "left").select(

@@ -36,6 +36,12 @@ def vector_keywords_unknown(spark: SparkSession, d: str) -> DataFrame:
     return P.vector_keywords_unknown(C.chunk_rows(spark, d), C.acts(spark, d))
 
 
+def vector_keywords_first_only(spark: SparkSession, d: str) -> DataFrame:
+    """The same check against acts that list their first keyword only, so that it has something to find."""
+    acts = C.acts(spark, d).select("nro", F.slice("keywords", 1, 1).alias("keywords"))
+    return P.vector_keywords_unknown(C.chunk_rows(spark, d), acts)
+
+
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     checks = P.all_checks(
         C.questions(spark, d), C.acts(spark, d), C.nodes(spark, d), KQ.relations(spark, d), C.chunk_rows(spark, d), table(spark, d, "vector_points")
@@ -88,6 +94,11 @@ UNION ALL SELECT 'keywords', count(*) FROM cur_k""",
     "act_keyword_relations": (act_keyword_relations, f"{_ALL} SELECT conceptId, instanceOfType, nro FROM lackrel"),
     "elements_without_vector": (elements_without_vector, f"{_ALL} SELECT nro, node_id FROM novec"),
     "vector_keywords_unknown": (vector_keywords_unknown, f"{_ALL} SELECT nro, conceptId, instanceOfType FROM unkk"),
+    "vector_keywords_first_only": (
+        vector_keywords_first_only,
+        f"""WITH {C.CUR} SELECT DISTINCT act_nro AS nro, k.conceptId AS conceptId, k.instanceOfType AS instanceOfType FROM (SELECT act_nro, unnest(keywords) AS k FROM cur_v) v
+WHERE NOT EXISTS (SELECT 1 FROM cur_a a WHERE a.nro = v.act_nro AND a.keywords[1].conceptId = v.k.conceptId AND a.keywords[1].instanceOfType = v.k.instanceOfType)""",
+    ),
     "quality_report": (
         quality_report,
         f"{_ALL} " + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", count(*) = 0 AS ok, count(*) AS n_bad FROM {t}" for n, t in _PART),

@@ -65,6 +65,16 @@ def vec_topk_nested_filter(spark: SparkSession, d: str) -> DataFrame:
     return _scores(filtered_topk(wanted, allowed, C.chunks(spark, d), 20, keyword_filter=True))
 
 
+def vec_topk_act_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The nested filter with all keywords that the acts of the query's question list."""
+    q = C.query_vectors(spark, d)
+    own = q.select("qid", F.col("own").alias("nro")).join(C.questions(spark, d).select("nro", "relatedActs"), "nro")
+    allowed = own.select("qid", F.explode("relatedActs.nro").alias("act"))
+    listed = allowed.join(C.acts(spark, d).select(F.col("nro").alias("act"), F.explode("keywords").alias("k")), "act")
+    lists = listed.groupBy("qid").agg(F.collect_set("k.conceptId").alias("concepts"), F.collect_set("k.instanceOfType").alias("types"))
+    return _scores(filtered_topk(q.select("qid", "vector").join(lists, "qid"), allowed, C.chunks(spark, d), 20, keyword_filter=True))
+
+
 def vec_budgeted_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Parts of acts: the request's queries share a budget of 100 chunks, each searching one act."""
     q = C.query_vectors(spark, d)
@@ -174,6 +184,14 @@ SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 7""",
 kept AS (SELECT s.* FROM scored s JOIN cur_q c ON c.nro = s.own
   WHERE len(list_filter(s.keywords, lambda k: list_contains(list_transform(c.keywords, lambda x: x.conceptId), k.conceptId)
             AND list_contains(list_transform(c.keywords, lambda x: x.instanceOfType), k.instanceOfType))) > 0),{_ranked('kept', 20)}
+{_HITS} hit2""",
+    ),
+    "vec_topk_act_keywords": (
+        vec_topk_act_keywords,
+        f"""WITH {_OWN},
+lists AS (SELECT qid, list(k.conceptId) AS cs, list(k.instanceOfType) AS ts FROM (SELECT w.qid, unnest(a.keywords) AS k FROM allowed w JOIN cur_a a ON a.nro = w.act) GROUP BY qid),
+kept AS (SELECT s.* FROM scored s JOIN lists l USING (qid)
+  WHERE len(list_filter(s.keywords, lambda k: list_contains(l.cs, k.conceptId) AND list_contains(l.ts, k.instanceOfType))) > 0),{_ranked('kept', 20)}
 {_HITS} hit2""",
     ),
     "vec_budgeted_retrieve": (
