@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.functions.tokens import token_counts as token_counts_of
+from statuta.functions.tokens import token_texts
 from statuta.operators import chunks as K
 from statuta.plans.retrieval import act_link
 from statuta.queries import common as C
@@ -38,6 +40,13 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_rows(spark, d).select("act_nro", "reconstruct_id", n.alias("n_words"), F.col("text_tokens"))
 
 
+def subword_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk texts in tokens of a public vocabulary: as many as words at least and as bytes at most, and the text comes out again."""
+    rows = C.chunk_rows(spark, d).where("text IS NOT NULL").withColumn("n", token_counts_of(spark, F.col("text"))).withColumn("again", token_texts(spark, F.col("text")))
+    words = K.word_tokens(F.col("text")).cast("long")
+    return rows.select("act_nro", "reconstruct_id", words.alias("n_words"), F.col("n").between(words, F.octet_length("text")).alias("plausible"), (F.col("again") == F.col("text")).alias("whole"))
+
+
 _PREFIX = TQ.QUERIES["tree_preorder"][1]
 _WALK = _PREFIX[: _PREFIX.rindex("SELECT nro, root, node_id")]
 _CHUNKS = f"""{_WALK.rstrip()},
@@ -96,4 +105,9 @@ FROM part p JOIN cur_a a ON a.nro = p.nro""",
         token_counts,
         f"WITH {C.CUR} SELECT act_nro, reconstruct_id, len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) AS n_words, text_tokens FROM cur_v",
     ),
+    "subword_counts": (
+        subword_counts,
+        f"""WITH {C.CUR} SELECT act_nro, reconstruct_id, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS n_words, true AS plausible, true AS whole
+FROM cur_v WHERE text IS NOT NULL""",
+    ),
 }
