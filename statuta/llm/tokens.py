@@ -1,53 +1,5 @@
-"""Sizes of texts in tokens of a public tokenizer, whose vocabulary file is a parameter."""
+"""Sizes of texts in tokens of a public tokenizer: those of the core, under the name this subpackage uses."""
 
-from __future__ import annotations
+from statuta.functions.tokens import token_counts, vocabulary_path
 
-import base64
-import os
-from functools import lru_cache
-
-import pandas as pd
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from statuta.session import ship
-
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-
-
-def vocabulary_path(path: str | None = None) -> str:
-    """The vocabulary file: the parameter, else the environment's, else the public package's."""
-    if path or os.environ.get("STATUTA_VOCABULARY"):
-        return path or os.environ["STATUTA_VOCABULARY"]
-    import public_tokenizers
-
-    return str(public_tokenizers.path(VOCABULARY))
-
-
-@lru_cache(maxsize=2)
-def _encoding(content: bytes, pattern: str):
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def token_counts(spark: SparkSession, text: Column, path: str | None = None, pattern: str | None = None) -> Column:
-    """Tokens of whole texts; 0 for null and ''.
-
-    The file has a fixed size of about a megabyte and is broadcast, so workers need no copy of it.
-    """
-    ship(spark)
-    if pattern is None:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
-    with open(vocabulary_path(path), "rb") as file:
-        content = spark.sparkContext.broadcast(file.read())
-
-    def count(texts: pd.Series) -> pd.Series:
-        encoding = _encoding(content.value, pattern)
-        return pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
-
-    return F.pandas_udf(count, T.LongType())(text)
+__all__ = ["token_counts", "vocabulary_path"]
