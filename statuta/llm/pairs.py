@@ -3,7 +3,8 @@
 Method. The sentences of all responses are sorted by text over the whole cluster. What a response ends in
 (its last sentence, unless that is known to end there) is compared with all sentences it begins, which
 follow it in this order: one that goes on in mid-word or mid-clause shows that the response is a shortened
-version. Lengths at which unfinished responses pile up against their neighbours' lengths betray a length
+version. Where no sentence begins like that as a whole, the last three words are compared with all runs of words in the
+same way. Lengths at which unfinished responses pile up against their neighbours' lengths betray a length
 limit. Then come the rules for copies, refusals and languages. What no prefix and no limit tells is left
 to the signs at the end of the text.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statuta.llm.languages import Model, fit
-from statuta.session import cut, hot_join, ship
+from statuta.session import cut, hot_join, ship, small
 
 # What stands in for an empty response, after lower-casing and dropping accents.
 STAND_INS = {
@@ -251,6 +252,24 @@ def continues(a: str, b: str) -> bool:
     return b[len(a)].isalnum() or b[len(a)] == " " and a.count(" ") >= 2
 
 
+def last_words(clean: Column, tail_: Column, n: int = 3) -> Column:
+    """The last ``n`` words of a tail without a closing sign, of texts longer than a short answer; else null."""
+    of_tail = F.split(tail_, " ")
+    long = (F.size(F.split(clean, " ")) > SHORT_WORDS) & (F.size(of_tail) >= n) & ~tail_.rlike("[.?!]$")
+    return F.when(long, F.array_join(F.slice(of_tail, F.greatest(F.size(of_tail) - n + 1, F.lit(1)), F.lit(n)), " "))
+
+
+def _runs_of_words(sentences_: DataFrame, tails: DataFrame, n: int = 3) -> DataFrame:
+    """``key``: runs of n + 1 words (n at the end) of the column ``key`` that begin with the first n - 1 words of a tail.
+
+    The others are gone before a run is put together: the tails are those of unfinished texts only.
+    """
+    first = tails.select(F.xxhash64(F.slice(F.split("key", " "), 1, n - 1)).alias("h")).distinct()
+    words = sentences_.select(F.split("key", " ").alias("w")).where(F.size("w") >= n)
+    at = words.select("w", F.explode(F.expr(f"sequence(1, size(w) - {n - 1})")).alias("i")).withColumn("h", F.xxhash64(F.slice("w", F.col("i"), F.lit(n - 1))))
+    return at.join(small(cut(first)), "h", "left_semi").select(F.array_join(F.slice("w", F.col("i"), F.lit(n + 1)), " ").alias("key"))
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tails of sorted keys that a later key continues; those still waiting at the end come out as open."""
     waiting: list[str] = []
@@ -339,7 +358,8 @@ def pair_defects(
     long = pairs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{question}`").alias("question"), F.explode(fields).alias("r")).select(
         "id", "question", "r.field", "r.absent", "r.text"
     )
-    keyed = cut(long.withColumn("clean", _clean(F.col("text"))).withColumn("tail", tail(F.col("clean"))))
+    keyed = long.withColumn("clean", _clean(F.col("text"))).withColumn("tail", tail(F.col("clean")))
+    keyed = cut(keyed.withColumn("last", last_words(F.col("clean"), F.col("tail"))))
     texts = keyed.where("clean != ''").select("clean", "tail", "id").withColumn("s", _sentences(F.col("clean")))
     # A sentence that another one follows ends there, and so does a short answer that several questions have.
     known = texts.select(F.explode(F.expr("slice(s, 1, size(s) - 1)")).alias("key")).distinct()
@@ -347,14 +367,20 @@ def pair_defects(
         F.min("id").alias("a"), F.max("id").alias("b")
     ).where("a < b").select("key")
     ends = texts.select(F.col("tail").alias("key")).distinct().join(known.unionByName(stock), "key", "left_anti")
-    shortened = shortened_keys(ends, texts.select(F.explode("s").alias("key")))
-    # Many responses may be one text.
-    cuts = cut(shortened.select(F.xxhash64("key").alias("tail_hash"), F.col("key").alias("cut")).dropDuplicates(["tail_hash"]))
+    every = cut(texts.select(F.explode("s").alias("key")).distinct())
+    lasts = cut(keyed.where("last IS NOT NULL").select(F.col("last").alias("key")).distinct())
+    # Tails and last words are looked for apart: what begins a sentence may end a run of words.
+    shortened = {"tail": shortened_keys(ends, every), "last": shortened_keys(lasts, _runs_of_words(every, lasts))}
     lengths = cut(limit_lengths(keyed).withColumnRenamed("length", "limit"))
-    flagged = hot_join(keyed.withColumn("tail_hash", F.xxhash64("tail")), cuts, ["tail_hash"], ["id", "field"])
+    flagged = keyed
+    for name, keys in shortened.items():
+        # Many responses may be one text; equal hashes are compared.
+        cuts = cut(keys.select(F.xxhash64("key").alias(f"{name}_hash"), F.col("key").alias(f"{name}_cut")).dropDuplicates([f"{name}_hash"]))
+        flagged = hot_join(flagged.withColumn(f"{name}_hash", F.xxhash64(name)), cuts, [f"{name}_hash"], ["id", "field"])
+    short = F.coalesce(F.col("tail_cut") == F.col("tail"), F.lit(False)) | F.coalesce(F.col("last_cut") == F.col("last"), F.lit(False))
     flagged = hot_join(flagged.withColumn("n", F.length("text")), lengths.withColumn("n", F.col("limit")), ["n"], ["id", "field"])
     model = None if labelled is None else fit(labelled)
     told = flagged.withColumn(
-        "d", _defects(model)("question", "text", "absent", F.coalesce(F.col("cut") == F.col("tail"), F.lit(False)), F.col("limit").isNotNull())
+        "d", _defects(model)("question", "text", "absent", short, F.col("limit").isNotNull())
     )
     return told.where("d.defect IS NOT NULL").select(F.col("id").alias(key), "field", "d.defect", *(["d.evidence"] if evidence else []))

@@ -100,6 +100,17 @@ def test_continues():
     assert not P.continues("Tak", "Tak, w całości") and not P.continues("abc", "abc")
 
 
+def test_last_words_in_other_sentences(spark):
+    """A cut sentence that no other begins with is a shortened one if its last words go on elsewhere."""
+    rows = [
+        (1, Q, "Tak. Według organu rolnik ma złożyć wykaz rob"), (2, Q, "Nie. Jeśli wezwano, armator może złożyć wykaz robót ziemnych w terminie."),
+        (3, Q, "Tak. Zdaniem sądu bank ma oddać zupełnie nieznane sło"), (4, Q, "Ma złożyć wykaz"), (5, Q, "Należy wtedy poprawić i złożyć wykaz robót."),
+    ]
+    df = spark.createDataFrame(rows, "nro long, q string, a string")
+    got = {r.nro: (r.defect, r.evidence) for r in P.pair_defects(df, "nro", "q", {"a": False}, evidence=True).collect()}
+    assert got == {1: ("truncated", "prefix"), 3: ("truncated", "ending")}
+
+
 def test_limit_lengths(spark):
     rng = random.Random(1)
     word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
