@@ -268,15 +268,19 @@ def _search(k: int, factor: float, kind: str):
 
 
 def _fit(corpus: DataFrame) -> tuple[dict[str, Coarse], int]:
-    """Coarse trees from at most SAMPLE vectors of each group of more than FEW, the first by a hash of their key.
+    """Coarse trees from about SAMPLE vectors of each group of more than FEW, chosen by a hash of their key.
 
-    The driver holds the samples of such groups and, of each shard, its distances to PIVOTS vantage points.
+    The driver holds the samples of such groups and, of each shard, its distances to PIVOTS vantage points. The
+    sample is a fixed share of the hashes, so that nothing is sorted for it, cut to SAMPLE where chance gave more.
     """
-    sizes = {r["grp"]: r["n"] for r in corpus.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).collect()}
-    order = Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id")
-    large = corpus.join(corpus.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("grp"), "grp", "left_semi")
-    rows = large.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).select("grp", "raw").toPandas() if sizes else pd.DataFrame({"grp": [], "raw": []})
-    return {name: Coarse(np.stack(part["raw"].to_numpy()), sizes[name]) for name, part in rows.groupby("grp")}, max(sizes.values(), default=0)
+    counted = corpus.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
+    sizes = {r["grp"]: r["n"] for r in counted.collect()}
+    if not sizes:
+        return {}, 0
+    share = small(cut(counted.select("grp", (F.lit(float(SAMPLE)) / F.col("n") * (1 << 30)).cast("long").alias("upto"))))
+    taken = corpus.join(share, "grp").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("upto"))
+    rows = taken.select("grp", "id", "raw").toPandas().sort_values(["grp", "id"])
+    return {name: Coarse(np.stack(part["raw"].to_numpy()[:SAMPLE]), sizes[name]) for name, part in rows.groupby("grp")}, max(sizes.values())
 
 
 def _met(queries: DataFrame, rows: DataFrame, least: int) -> DataFrame:
@@ -307,7 +311,6 @@ def vptree_topk(
     of repeated keys one counts. A group of fewer than k vectors gives fewer rows. Exact with ``factor`` 1.
     """
     ship(queries.sparkSession)
-    spark = queries.sparkSession
     name = F.lit("") if group is None else F.col(f"`{group}`").cast("string")
     same = queries is corpus
     single = all(isinstance(df.schema["vector"].dataType.elementType, T.FloatType) for df in (queries, corpus))
@@ -317,12 +320,28 @@ def vptree_topk(
         good = df.where(sound(F.col("vector"), dim)).select(name.alias("grp"), F.col(key).cast("long").alias("id"), F.col("vector").cast(f"array<{number}>").alias("raw"))
         return good.where("grp IS NOT NULL AND id IS NOT NULL").dropDuplicates(["grp", "id"])
 
-    held = cut(clean(corpus, "id"))
+    lead = [] if group is None else [F.col("grp").alias(group)]
+    found = _topk(None if same else cut(clean(queries, "qid")), cut(clean(corpus, "id")), k, factor, kind)
+    return found.select(*lead, "qid", "id", "score", "rank")
+
+
+def self_topk(entries: DataFrame, k: int, factor: float = FACTOR) -> DataFrame:
+    """``grp, qid, id, score, rank`` of ``entries(grp, id, raw)``: every vector a query, itself among its neighbours.
+
+    The entries are taken as they are: sound single-precision vectors of unique keys, written already.
+    """
+    ship(entries.sparkSession)
+    return _topk(None, entries, k, factor, "f4")
+
+
+def _topk(queries: DataFrame | None, held: DataFrame, k: int, factor: float, kind: str) -> DataFrame:
+    """The search in ``held``, for ``queries`` or, without any, for ``held`` itself."""
+    spark = held.sparkSession
     coarse, most = _fit(held)
     shared = spark.sparkContext.broadcast(coarse)
     dealt = "grp string, id long, shard int, vector binary"
     rows = cut(held.mapInPandas(_deal(shared, kind), dealt))
-    asked = rows if same else cut(clean(queries, "qid").mapInPandas(_deal(shared, kind), dealt))
+    asked = rows if queries is None else cut(queries.mapInPandas(_deal(shared, kind), dealt))
     search = _search(k, factor, kind)
     own = cut(_met(asked.withColumn("kth", F.lit(-2.0)), rows, 1).applyInPandas(search, _HIT))
     hits = own
@@ -342,5 +361,4 @@ def vptree_topk(
         hits = own.unionByName(_met(far, spread, 2).applyInPandas(search, _HIT))
     order = Window.partitionBy("grp", "qid").orderBy(ranked("sim"), "near")
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    lead = [] if group is None else [F.col("grp").alias(group)]
-    return best.select(*lead, "qid", F.col("near").alias("id"), F.col("sim").alias("score"), "rank")
+    return best.select("grp", "qid", F.col("near").alias("id"), F.col("sim").alias("score"), "rank")
