@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.operators.vector import ranked
-from statuta.operators.vptree import FACTOR, sound, vptree_topk
+from statuta.operators.vptree import FACTOR, self_topk, sound
 from statuta.session import cut, hot_join, ship
 
 K, DIM = 5, 64
@@ -36,9 +36,9 @@ def nearest(
         F.col(f"`{coll}`").cast("string").alias("coll"), F.col(f"`{point}`").cast("long").alias("id"), v.cast("array<float>").alias("raw")
     ).where("coll IS NOT NULL AND id IS NOT NULL").dropDuplicates(["coll", "id"])
     entries = cut(clean.groupBy("coll", "raw").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    once = entries.select("coll", F.col("rep").alias("id"), F.col("raw").alias("vector"))
+    once = entries.select(F.col("coll").alias("grp"), F.col("rep").alias("id"), "raw")
     # Written once: both the single vectors and the classes of equal ones read it.
-    hits = cut(vptree_topk(once, once, k + 1, factor, dim, "coll").select("coll", F.col("qid").alias("rep"), F.col("id").alias("near"), F.col("score").alias("sim")))
+    hits = cut(self_topk(once, k + 1, factor).select(F.col("grp").alias("coll"), F.col("qid").alias("rep"), F.col("id").alias("near"), F.col("score").alias("sim")))
     order = Window.partitionBy("coll", "rep").orderBy(ranked("sim"), "near")
     # Classes of equal vectors: hits give way to the class's smallest keys, then every member gets the list.
     several = entries.where("n > 1")
