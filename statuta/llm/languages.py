@@ -10,10 +10,10 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled texts of each language, and languages, that are fitted; the texts are the first by a hash, the languages the most frequent.
+#: Labelled texts of each language, and languages, that are fitted; the texts are a share of their hashes, the languages the most frequent.
 SAMPLE, LANGUAGES = 400, 32
 #: A label with fewer texts than this is not fitted.
 LEAST_TEXTS = 20
@@ -130,13 +130,19 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> Model:
-    """A model from at most SAMPLE texts of each of the LANGUAGES most frequent labels; labels are compared without case.
+    """A model from about SAMPLE texts, and no more, of each of the LANGUAGES most frequent labels; labels are compared without case.
 
     Null and empty texts and labels are left out; without a usable label the model knows no language.
     """
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.lower(F.trim(F.col(f"`{label}`"))).alias("label")).where("length(text) > 0 AND length(label) > 0")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "label").limit(LANGUAGES)
-    taken = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).join(F.broadcast(sizes.select("label")), "label", "left_semi")
-    found = [(r["text"], r["label"]) for r in taken.select("text", "label").orderBy("label", F.xxhash64("text")).collect()]
+    # A fixed share of the hashes of each label, at most LANGUAGES rows, so that no texts are sorted or shuffled.
+    share = sizes.select("label", (F.lit(float(SAMPLE)) / F.col("n") * (1 << 30)).cast("long").alias("upto"))
+    taken = rows.join(F.broadcast(share), "label").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("upto"))
+    # Copies of a text share its hash: one of them is enough, and all of them may be a third of the rows.
+    taken = taken.groupBy("label", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    found: list[tuple[str, str]] = []
+    for name, text_ in sorted((r["label"], r["text"]) for r in taken.select("label", "text").collect()):
+        if sum(x == name for _, x in found[-SAMPLE:]) < SAMPLE:
+            found.append((text_, name))
     return Model([t for t, _ in found], [x for _, x in found])

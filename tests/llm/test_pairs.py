@@ -69,6 +69,14 @@ def test_held_out_languages(spark):
     assert len(asked) > 5000 and right / len(asked) > 0.95  # some labels are wrong
 
 
+def test_copies_are_sampled_once(spark):
+    from statuta.llm import languages
+
+    rows = [(f"To jest tekst numer {i} o podatkach i terminach.", "pl") for i in range(300)] + [("Zawsze ten sam tekst o niczym.", "pl")] * 5000 + [(None, "pl"), ("x", None), ("", "en")]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    assert languages.fit(frame).names == ["pl"] and languages.fit(frame.limit(0)).names == []
+
+
 def test_names_of_one_language_are_merged():
     from statuta.llm.languages import Model
 
