@@ -1,8 +1,8 @@
-"""The k most similar vectors for every vector, by vantage-point trees with relaxed pruning.
+"""The k most similar vectors for every vector, by vantage points with relaxed pruning.
 
-Method. The trees are those of :mod:`statuta.operators.vptree`: vectors are dealt into shards of near ones, each
-shard has a vantage-point tree of its own, and shards and cells are passed over by the triangle inequality,
-relaxed by ``factor``; with factor 1 the search is exact. Here every vector is a query. Equal vectors are
+Method. The vantage points and cells are those of :mod:`statuta.operators.vptree`: vectors are dealt into shards of
+near ones, and shards and cells are passed over by the triangle inequality, relaxed by ``factor``; with factor 1
+the search is exact. Here every vector is a query. Equal vectors are
 searched once, and their classes are put together afterwards.
 """
 

@@ -1,12 +1,15 @@
-"""Similarity search by vantage-point trees per shard, with relaxed pruning by the triangle inequality.
+"""Similarity search by vantage points in the crowds, with relaxed pruning by the triangle inequality.
 
-A coarse vantage-point tree per group of vectors, fitted on a bounded sample, deals them into shards of near
-vectors. In the task that holds a shard a tree is fitted to its own vectors, whose leaves are cells. A query is
-searched in the shard it would lie in first, which bounds how far its neighbours can be. Before anything more is
-shuffled, every other shard is tested: the triangle inequality over the coarse vantage points gives the least
-distance of the query to any of its vectors, and a shard is passed over when that exceeds the bound divided by
-``factor``; in a shard the same test passes over cells. With factor 1 nothing nearer can be passed over and the
-search is exact; a larger factor passes over more.
+Vantage points are put into the crowds of a bounded sample of each group of vectors. A vector lies in the region of
+the nearest one and in a ring about it, its cell; a vantage-point tree over the vantage points brings near regions into
+one shard. A query is searched in its own shard first: its cell, the rest of its region, then cells that may hold
+a neighbour, which bounds how far its neighbours can be. Before anything more is shuffled, all other cells
+are tested, and the query goes only to shards that hold one that may.
+
+The test is the triangle inequality between angles: a vector whose cosine with a vantage point is b has with a query
+whose cosine with it is a at most the cosine ab + sqrt(1 - a^2) sqrt(1 - b^2). The vantage points are those of the
+cell and of the query. ``factor`` divides the second term: with 1 nothing nearer can be passed over and
+the search is exact; a larger one passes over more, but never a cell of the query's own region.
 
 Distances are those of vectors of length 1, in which the order is that of the cosine.
 """
@@ -25,15 +28,16 @@ from statuta.operators.vector import DIGITS, ranked
 from statuta.session import cut, ship, small
 
 FACTOR = 1.75
-#: Vectors of a group on which its coarse tree is fitted, and vectors of a shard on which its tree is; all are indexed.
+#: Vectors of a group on which its vantage points are fitted; all are indexed.
 SAMPLE = 20_000
 #: Vectors of a shard at most, about, and shards into which a group of more than FEW vectors is dealt at least.
 SHARD, LEAST_SHARDS, FEW = 131_072, 4, 2048
-#: Vectors of a cell, aimed at: a shard has as many cells as it needs.
-CELL = 96
-#: Vantage points whose distances bound the cells of a shard, and the shards of a group.
-PIVOTS = 127
-_QUERY_CHUNK = 4096
+#: Vectors of a cell, aimed at while a group has fewer than RINGS * PIVOTS cells.
+CELL = 48
+#: Vantage points of a group, and cells for each of them on average, at most.
+PIVOTS, RINGS = 512, 4
+#: Queries, and rows of a cell, that are scored at a time.
+_QUERY_CHUNK = _ROWS = 2048
 _NONE = np.iinfo(np.int64).max
 
 
@@ -96,9 +100,16 @@ class Best:
 
     def offer(self, rows: np.ndarray, rough: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
         """Entries for the queries ``rows``: what may be as good as the k-th by ``rough`` similarities is weighed in double precision."""
-        q, i = np.nonzero(rough >= (self.sim[rows, -1] - 2e-6)[:, None].astype(np.float32))
-        if not len(q):
+        least = self.sim[rows, -1] - 2e-6
+        if rough.shape[1] > self.k and least.min() < -1.5:
+            # Nothing known yet: what is worse than the k-th of this part alone is none of the best.
+            least = np.maximum(least, np.partition(rough, -self.k, axis=1)[:, -self.k] - 4e-6)
+        least = least.astype(np.float32)
+        hit = np.flatnonzero(rough.max(axis=1) >= least)
+        if not len(hit):
             return
+        q, i = np.nonzero(rough[hit] >= least[hit, None])
+        q = hit[q]
         raw = np.einsum("ij,ij->i", queries[rows[q]], vectors[i])
         touched, at = np.unique(q, return_inverse=True)
         own = rows[touched]
@@ -115,57 +126,56 @@ class Best:
 
 
 class Shard:
-    """The vectors of a shard by the cells of their own tree, with the range of distances to its vantage points in each cell."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        depth = int(np.clip(np.round(np.log2(max(1.0, len(ids) / CELL))), 0, 20))
-        step = max(1, -(-len(ids) // SAMPLE))
-        order = np.argsort(ids, kind="stable")
-        self.tree = Tree(vectors[order[::step]], depth) if depth else None
-        cell = self.tree.leaves(vectors) if depth else np.zeros(len(ids), np.int64)
-        order = np.lexsort((ids, cell))
+    """The vectors of a shard by cells."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray):
+        order = np.lexsort((ids, cells))
         self.ids, self.vectors = ids[order], vectors[order]
         self.single = self.vectors.astype(np.float32)
-        self.names, self.begin = np.unique(cell[order], return_index=True)
+        self.names, self.begin = np.unique(cells[order], return_index=True)
         self.end = np.append(self.begin[1:], len(order))
-        self.pivots = self.tree.vantage[:PIVOTS] if depth else vectors[:1].astype(np.float32)
-        d = _distances(self.vectors, self.pivots)
-        self.low, self.high = np.minimum.reduceat(d, self.begin, axis=0), np.maximum.reduceat(d, self.begin, axis=0)
 
-    def search(self, queries: np.ndarray, best: Best, factor: float) -> None:
-        """Improve ``best`` for ``queries``: the cell a query would lie in first, then near cells before far ones."""
+    def measure(self, coarse: Coarse) -> None:
+        """Set the ranges of the cosines with the vantage points in the cells of this shard, all of whose vectors are here."""
+        for name, begin, end in zip(self.names, self.begin, self.end):
+            for at in range(begin, end, _ROWS):
+                sims = self.single[at : min(at + _ROWS, end)] @ coarse.pivots.T
+                coarse.low[name], coarse.high[name] = np.minimum(coarse.low[name], sims.min(axis=0)), np.maximum(coarse.high[name], sims.max(axis=0))
+
+    def search(self, queries: np.ndarray, cells: np.ndarray, best: Best, factor: float, coarse: Coarse | None) -> None:
+        """Improve ``best`` for ``queries``, which lie in ``cells``: own cell, own region, then likely cells before others."""
         rows, single = np.arange(len(queries)), queries.astype(np.float32)
 
         def visit(c: int, who: np.ndarray) -> None:
-            there = slice(self.begin[c], self.end[c])
-            best.offer(who, single[who] @ self.single[there].T, queries, self.vectors[there], self.ids[there])
-
-        bound = _bounds(_distances(single, self.pivots), self.low, self.high)
-        own = self.tree.leaves(single) if self.tree else np.zeros(len(queries), np.int64)
-        for c, name in enumerate(self.names):
-            mine = rows[own == name]
-            if len(mine):
-                visit(c, mine)
-                bound[mine, c] = np.inf
-        finite = np.where(np.isfinite(bound), bound, 0.0)
-        for c in np.argsort(finite.mean(axis=0)):
-            # An infinite bound marks the cell that was seen; a query that lacks k neighbours sees everything else.
-            active = rows[np.isfinite(bound[:, c]) & (bound[:, c] * factor <= _reach(best.sim[: len(queries), -1]))]
+            for at in range(self.begin[c], self.end[c], _ROWS):
+                there = slice(at, min(at + _ROWS, self.end[c]))
+                best.offer(who, single[who] @ self.single[there].T, queries, self.vectors[there], self.ids[there])
+
+        if coarse is None:
+            for c in range(len(self.names)):
+                visit(c, rows)
+            return
+        own, region = coarse.region[cells], coarse.region[self.names]
+        for same in (cells[:, None] == self.names, (own[:, None] == region) & (cells[:, None] != self.names)):
+            for c in np.flatnonzero(same.any(axis=0)):
+                visit(c, rows[same[:, c]])
+        at_most = coarse.at_most(single, own, self.names, factor)
+        at_most[own[:, None] == region] = -9.0
+        likely = np.flatnonzero((at_most >= best.sim[: len(queries), -1:]).any(axis=0))
+        for c in likely[np.argsort(-at_most[:, likely].mean(axis=0))]:
+            active = rows[at_most[:, c] >= best.sim[: len(queries), -1]]
             if len(active):
                 visit(c, active)
 
 
-def _reach(kth: np.ndarray) -> np.ndarray:
-    """How far a neighbour can be, by the similarity of the k-th so far; infinite while there are fewer."""
-    return np.where(kth > -1.5, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * kth)) + 1e-3, np.inf)
-
+def _greatest(a: np.ndarray, low: np.ndarray, high: np.ndarray, share: float) -> np.ndarray:
+    """The greatest cosine with a query of vectors whose cosines with a vantage point lie in a range; the query's is ``a``.
 
-def _bounds(to_pivots: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least possible distance of each query to each cell or shard, by the triangle inequality."""
-    out = np.zeros((len(to_pivots), len(low)), np.float32)
-    for c in range(len(low)):
-        out[:, c] = np.maximum(np.maximum(low[c] - to_pivots, to_pivots - high[c]).max(axis=1), 0.0)
-    return out
+    The margins cover the errors of single precision.
+    """
+    rest = np.maximum(np.float32(0.0), 1 - a * a) + np.float32(1e-5)
+    b = np.clip(a / np.sqrt(a * a + np.float32(share**2) * rest), low - np.float32(4e-6), high + np.float32(4e-6))
+    return a * b + np.float32(share) * np.sqrt(rest * (np.maximum(np.float32(0.0), 1 - b * b) + np.float32(1e-5))) + np.float32(1e-5)
 
 
 def _stack(column: pd.Series, kind: str) -> np.ndarray:
@@ -173,60 +183,97 @@ def _stack(column: pd.Series, kind: str) -> np.ndarray:
     return unit(np.frombuffer(b"".join(column), kind).reshape(len(column), -1))
 
 
+def _crowds(sample: np.ndarray, n: int) -> np.ndarray:
+    """``n`` vantage points in the midst of the crowds of a sample of unit vectors."""
+    rng = np.random.default_rng(7)
+    few = sample[rng.choice(len(sample), min(len(sample), 8192), replace=False)]
+    chosen, far = [0], np.full(len(few), 4.0)
+    while len(chosen) < n:
+        far = np.minimum(far, np.maximum(0.0, 2.0 - 2.0 * (few @ few[chosen[-1]]).astype(np.float64)))
+        far[chosen[-1]] = 0.0
+        weight = far**4
+        if weight.sum() <= 0:
+            break
+        chosen.append(int(rng.choice(len(few), p=weight / weight.sum())))
+    points = few[chosen].copy()
+    for _ in range(6):
+        nearest = np.argmax(sample @ points.T, axis=1)
+        order = np.argsort(nearest, kind="stable")
+        names, begin = np.unique(nearest[order], return_index=True)
+        sums = np.add.reduceat(sample[order], begin, axis=0)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        points[names] = np.where(length > 1e-6, sums / np.maximum(length, 1e-6), points[names])
+    return points
+
+
 class Coarse:
-    """The coarse tree of a group: shards, vantage points and, once measured, the range of distances to them in each shard."""
+    """The vantage points of a group, the cells about them, the shard of each and, once measured, the range of its cosines with them."""
 
     def __init__(self, sample: np.ndarray, n: int):
-        wanted = max(-(-n // SHARD), LEAST_SHARDS if n > FEW else 1)
-        depth = int(np.ceil(np.log2(wanted)))
-        self.tree = Tree(unit(sample), depth) if depth else None
-        others = unit(sample)[: max(1, PIVOTS - (1 << depth))].astype(np.float32)
-        self.pivots = np.concatenate([self.tree.vantage[: PIVOTS // 2], others])[:PIVOTS] if depth else others[:1]
-        self.shards = 1 << depth
-        self.low = np.full((self.shards, len(self.pivots)), np.inf, np.float32)
-        self.high = np.full((self.shards, len(self.pivots)), -np.inf, np.float32)
-
-    def shard(self, vectors: np.ndarray) -> np.ndarray:
-        return self.tree.leaves(vectors) if self.tree else np.zeros(len(vectors), np.int64)
+        sample = unit(sample).astype(np.float32)
+        self.pivots = _crowds(sample, int(np.clip(n // (2 * CELL), 1, min(PIVOTS, len(sample)))))
+        points, aim = len(self.pivots), min(RINGS * PIVOTS, n // CELL)
+        sims = sample @ self.pivots.T
+        nearest, own = sims.argmax(axis=1), sims.max(axis=1)
+        # Near regions follow one another; a ring holds about as many of the sample as any other.
+        depth = int(np.log2(max(1, points // 4)))
+        order = np.argsort(Tree(self.pivots, depth).leaves(self.pivots), kind="stable") if depth else np.arange(points)
+        edges, region, weight = [], [], []
+        for r in range(points):
+            held = np.sort(own[nearest == r])
+            rings = int(np.clip(round(len(held) / len(sample) * aim), 1, max(1, len(held) // 4)))
+            edges += [4.0 * r - 2.0, *(4.0 * r + held[len(held) * i // rings].astype(np.float64) for i in range(1, rings))]
+            region += [r] * rings
+            weight += [len(held) / rings / len(sample)] * rings
+        self.edges, self.region, weight = np.array(edges), np.array(region), np.array(weight)
+        self.shards = max(-(-n // SHARD), LEAST_SHARDS if n > FEW else 1)
+        # A region is in one shard, by the middle of its share, unless it is more than one holds.
+        place = np.argsort(np.argsort(order)[self.region], kind="stable")
+        shares = np.bincount(self.region, weight, points)
+        before = np.zeros(points)
+        before[order] = np.cumsum(shares[order]) - shares[order]
+        middle = (before + shares / 2)[self.region]
+        middle[place] = np.where(shares[self.region[place]] > 1 / self.shards, np.cumsum(weight[place]) - weight[place] / 2, middle[place])
+        self.shard = np.minimum((middle * self.shards).astype(np.int32), self.shards - 1)
+        self.low = np.full((len(region), points), 2.0, np.float32)
+        self.high = np.full((len(region), points), -2.0, np.float32)
+
+    def cell(self, vectors: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(vectors), np.int32)
+        for at in range(0, len(vectors), _ROWS):
+            sims = vectors[at : at + _ROWS].astype(np.float32) @ self.pivots.T
+            key = 4.0 * sims.argmax(axis=1) + sims.max(axis=1).astype(np.float64)
+            out[at : at + _ROWS] = np.searchsorted(self.edges, key, side="right") - 1
+        return out
+
+    def at_most(self, queries: np.ndarray, own: np.ndarray, cells: np.ndarray, factor: float) -> np.ndarray:
+        """The greatest cosine of each query, of the region ``own``, with any vector of each of ``cells``; -9 for empty ones."""
+        sims, region, share = queries @ self.pivots.T, self.region[cells], 1.0 / factor
+        out = _greatest(sims[:, region], self.low[cells, region], self.high[cells, region], share)
+        names, back = np.unique(own, return_inverse=True)
+        low, high = (x[np.ix_(cells, names)].T for x in (self.low, self.high))
+        # What the query's own vantage point says, for queries of a region at a time.
+        for i in range(len(names)):
+            mine = np.flatnonzero(back == i)
+            out[mine] = np.minimum(out[mine], _greatest(sims[mine, names[i]][:, None], low[i], high[i], share))
+        out[:, self.high[cells, 0] < -1.5] = -9.0
+        return out
 
 
 def _deal(coarse, kind: str):
-    """Unit vectors with the shard they lie in."""
+    """Unit vectors with the cell and the shard they lie in."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, rows in batch.groupby("grp", sort=False):
                 raw = np.stack(rows["raw"].to_numpy()).astype(kind)
-                shard = coarse.value[name].shard(unit(raw)) if name in coarse.value else np.zeros(len(rows), np.int64)
-                yield pd.DataFrame({"grp": name, "id": rows["id"].to_numpy(), "shard": shard.astype(np.int32), "vector": [v.tobytes() for v in raw]})
+                c = coarse.value.get(name)
+                cell = c.cell(unit(raw)) if c else np.zeros(len(rows), np.int32)
+                yield pd.DataFrame({"grp": name, "id": rows["id"].to_numpy(), "shard": c.shard[cell] if c else cell, "cell": cell, "vector": [v.tobytes() for v in raw]})
 
     return run
 
 
-_RANGE = "grp string, shard int, low array<float>, high array<float>"
-
-
-def _ranges(coarse, kind: str):
-    """Least and greatest distances to the vantage points in each shard, of a partition each."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for key, rows in batch.groupby(["grp", "shard"], sort=False):
-                d = _distances(_stack(rows["vector"], kind), coarse.value[key[0]].pivots)
-                low, high = d.min(axis=0), d.max(axis=0)
-                if key in seen:
-                    low, high = np.minimum(low, seen[key][0]), np.maximum(high, seen[key][1])
-                seen[key] = low, high
-        yield pd.DataFrame([(*key, low.tolist(), high.tolist()) for key, (low, high) in seen.items()], columns=["grp", "shard", "low", "high"])
-
-    return run
-
-
-def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"grp": [key[0]], "shard": [key[1]], "low": [np.stack(rows["low"]).min(axis=0)], "high": [np.stack(rows["high"]).max(axis=0)]})
-
-
 def _others(coarse, factor: float, kind: str):
     """The shards beside its own that may hold a neighbour of a query, by what its own shard has given."""
 
@@ -234,43 +281,63 @@ def _others(coarse, factor: float, kind: str):
         for batch in batches:
             for name, rows in batch.groupby("grp", sort=False):
                 c = coarse.value[name]
-                bound = _bounds(_distances(_stack(rows["vector"], kind), c.pivots), c.low, c.high)
-                may = (bound * factor <= _reach(rows["kth"].to_numpy(np.float64))[:, None]) & np.isfinite(c.low[:, 0])[None, :]
-                may[np.arange(len(rows)), rows["shard"].to_numpy()] = False
-                yield pd.DataFrame({"grp": name, "id": rows["id"].to_numpy(), "kth": rows["kth"].to_numpy(), "vector": rows["vector"].to_numpy(), "to": [np.nonzero(m)[0].astype(np.int32) for m in may]})
+                to = []
+                for at in range(0, len(rows), _QUERY_CHUNK):
+                    part = rows.iloc[at : at + _QUERY_CHUNK]
+                    own = c.region[part["cell"].to_numpy()]
+                    may = c.at_most(_stack(part["vector"], kind).astype(np.float32), own, np.arange(len(c.region)), factor) >= part["kth"].to_numpy(np.float64)[:, None]
+                    may |= (own[:, None] == c.region) & (c.high[:, 0] >= -1.5)
+                    going = np.zeros((len(part), c.shards), bool)
+                    q, i = np.nonzero(may)
+                    going[q, c.shard[i]] = True
+                    going[np.arange(len(part)), part["shard"].to_numpy()] = False
+                    to += [np.flatnonzero(g).astype(np.int32) for g in going]
+                yield pd.DataFrame({"grp": name, "id": rows["id"].to_numpy(), "cell": rows["cell"].to_numpy(), "kth": rows["kth"].to_numpy(), "vector": rows["vector"].to_numpy(), "to": to})
 
     return run
 
 
-_HIT = "grp string, qid long, near long, sim double"
+#: Hits and, with ``cell``, the least and greatest cosines of a cell with the vantage points.
+_HIT = "grp string, qid long, near long, sim double, cell int, low binary, high binary"
+_ASKS, _BOTH = 1, 2
 
 
-def _search(k: int, factor: float, kind: str):
-    """Queries, which may know how far their neighbours can be, in one shard."""
+def _search(coarse, k: int, factor: float, kind: str, first: bool):
+    """Queries, which may know how far their neighbours can be, in one shard; the first search measures the shard."""
 
     def run(both: pd.DataFrame) -> pd.DataFrame:
-        queries, rows = both[both["asks"]], both[~both["asks"]]
-        out = [pd.DataFrame({"grp": pd.Series([], dtype=object), "qid": pd.Series([], dtype="int64"), "near": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})]
-        if len(queries) and len(rows):
-            shard = Shard(rows["id"].to_numpy(), _stack(rows["vector"], kind))
-            qids, vectors, known = queries["id"].to_numpy(), _stack(queries["vector"], kind), queries["kth"].to_numpy(np.float64)
-            for at in range(0, len(qids), _QUERY_CHUNK):
-                part = slice(at, at + _QUERY_CHUNK)
-                best = Best(len(qids[part]), k)
+        queries, rows = both[both["asks"] > 0], both[both["asks"] != _ASKS]
+        name = both["grp"].iloc[0]
+        columns = {"grp": object, "qid": "int64", "near": "int64", "sim": "float64", "cell": "Int32", "low": object, "high": object}
+        out = [pd.DataFrame({c: pd.Series([], dtype=t) for c, t in columns.items()})]
+        c = coarse.value.get(name)
+        if len(rows):
+            shard = Shard(rows["id"].to_numpy(), _stack(rows["vector"], kind), rows["cell"].to_numpy())
+            if first and c:
+                c.low[shard.names], c.high[shard.names] = 2.0, -2.0
+                shard.measure(c)
+                measured = {"cell": shard.names, "low": [c.low[n].tobytes() for n in shard.names], "high": [c.high[n].tobytes() for n in shard.names]}
+                out.append(pd.DataFrame({"grp": name, "qid": 0, "near": 0, "sim": 0.0} | measured))
+            # Queries of a cell follow one another, so that they visit the same cells.
+            queries = queries.sort_values(["cell", "id"])
+            for at in range(0, len(queries), _QUERY_CHUNK):
+                part = queries.iloc[at : at + _QUERY_CHUNK]
+                best = Best(len(part), k)
                 # Entries that no id stands for: what is as good as the k-th known one comes before them.
-                best.sim[:] = known[part][:, None]
-                shard.search(vectors[part], best, factor)
+                best.sim[:] = part["kth"].to_numpy(np.float64)[:, None]
+                shard.search(_stack(part["vector"], kind), part["cell"].to_numpy(), best, factor, c)
                 there = (best.id != _NONE).ravel()
-                out.append(pd.DataFrame({"grp": both["grp"].iloc[0], "qid": np.repeat(qids[part], k)[there], "near": best.id.ravel()[there], "sim": best.raw.ravel()[there]}))
-        return pd.concat(out[1:] or out, ignore_index=True)
+                out.append(pd.DataFrame({"grp": name, "qid": np.repeat(part["id"].to_numpy(), k)[there], "near": best.id.ravel()[there], "sim": best.raw.ravel()[there]}))
+        found = pd.concat(out[1:] or out, ignore_index=True)
+        return found.reindex(columns=list(columns)).astype({"cell": "Int32"})
 
     return run
 
 
 def _fit(corpus: DataFrame) -> tuple[dict[str, Coarse], int]:
-    """Coarse trees from about SAMPLE vectors of each group of more than FEW, chosen by a hash of their key.
+    """Vantage points from about SAMPLE vectors of each group of more than FEW, chosen by a hash of their key.
 
-    The driver holds the samples of such groups and, of each shard, its distances to PIVOTS vantage points. The
+    The driver holds the samples of such groups and, of each cell, the range of its cosines with the vantage points. The
     sample is a fixed share of the hashes, so that nothing is sorted for it, cut to SAMPLE where chance gave more.
     """
     counted = corpus.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
@@ -283,19 +350,25 @@ def _fit(corpus: DataFrame) -> tuple[dict[str, Coarse], int]:
     return {name: Coarse(np.stack(part["raw"].to_numpy()[:SAMPLE]), sizes[name]) for name, part in rows.groupby("grp")}, max(sizes.values())
 
 
-def _met(queries: DataFrame, rows: DataFrame, least: int) -> DataFrame:
-    """Queries and rows of each (grp, shard) in one place; many queries in ``least`` places or more, with the rows in each."""
+def _met(queries: DataFrame, rows: DataFrame, least: int, every: bool = False) -> DataFrame:
+    """Queries and rows of each (grp, shard) in one place; many queries in ``least`` places or more, with the rows in each.
+
+    With ``every`` rows come out that no query meets, too.
+    """
     keys = ["grp", "shard"]
-    parts = F.greatest(F.ceil(F.col("n") / SHARD), F.least(F.lit(least), F.ceil(F.col("n") / FEW))).cast("int")
+    parts = F.greatest(F.ceil(F.col("n") / SHARD), F.least(F.lit(least), F.ceil(F.col("n") / FEW)), F.lit(1)).cast("int")
     # As many rows as shards, which are an SHARD-th of the vectors or LEAST_SHARDS a group.
-    counts = cut(queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, parts.alias("parts")))
-    tasks = min(20_000, 2 * (counts.agg(F.sum("parts")).first()[0] or 1))
+    present = queries.select(*keys, F.lit(1).alias("one"))
+    if every:
+        present = present.unionByName(rows.select(*keys, F.lit(0).alias("one")))
+    counts = cut(present.groupBy(*keys).agg(F.sum("one").alias("n")).select(*keys, parts.alias("parts")))
+    tasks = min(20_000, 4 * (counts.agg(F.sum("parts")).first()[0] or 1))
     counts = small(counts)
     asking = queries.join(counts, keys).select(
-        *keys, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "id", "kth", "vector"
+        *keys, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(_ASKS).alias("asks"), "id", "cell", "kth", "vector"
     )
     held = rows.join(counts, keys).select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "id", F.lit(-2.0).alias("kth"), "vector"
+        *keys, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), "id", "cell", F.lit(-2.0).alias("kth"), "vector"
     )
     return asking.unionByName(held).repartition(tasks, *keys, "part").groupBy(*keys, "part")
 
@@ -339,26 +412,34 @@ def _topk(queries: DataFrame | None, held: DataFrame, k: int, factor: float, kin
     spark = held.sparkSession
     coarse, most = _fit(held)
     shared = spark.sparkContext.broadcast(coarse)
-    dealt = "grp string, id long, shard int, vector binary"
+    dealt = "grp string, id long, shard int, cell int, vector binary"
     rows = cut(held.mapInPandas(_deal(shared, kind), dealt))
     asked = rows if queries is None else cut(queries.mapInPandas(_deal(shared, kind), dealt))
-    search = _search(k, factor, kind)
-    own = cut(_met(asked.withColumn("kth", F.lit(-2.0)), rows, 1).applyInPandas(search, _HIT))
+    search = _search(shared, k, factor, kind, True)
+    if queries is None:
+        # Every vector is shuffled once, as a query and as a row.
+        tasks = 4 * sum([1, *(c.shards for c in coarse.values())])
+        met = rows.select("grp", "shard", F.lit(_BOTH).alias("asks"), "id", "cell", F.lit(-2.0).alias("kth"), "vector").repartition(tasks, "grp", "shard").groupBy("grp", "shard")
+    else:
+        met = _met(asked.withColumn("kth", F.lit(-2.0)), rows, 1, every=True)
+    first = cut(met.applyInPandas(search, _HIT))
+    own = first.where("cell IS NULL").select("grp", "qid", "near", "sim")
     hits = own
     if most > FEW:
         large = [g for g, c in coarse.items() if c.shards > 1]
         in_large = F.col("grp").isin(large)
-        spread = rows.where(in_large)
-        ranges = spread.mapInPandas(_ranges(shared, kind), _RANGE).groupBy("grp", "shard").applyInPandas(_merged, _RANGE)
-        for r in ranges.toLocalIterator():
-            coarse[r["grp"]].low[r["shard"]], coarse[r["grp"]].high[r["shard"]] = r["low"], r["high"]
+        for r in first.where("cell IS NOT NULL").select("grp", "cell", "low", "high").coalesce(8).toLocalIterator():
+            c = coarse[r["grp"]]
+            c.low[r["cell"]] = np.minimum(c.low[r["cell"]], np.frombuffer(r["low"], np.float32))
+            c.high[r["cell"]] = np.maximum(c.high[r["cell"]], np.frombuffer(r["high"], np.float32))
         measured = spark.sparkContext.broadcast(coarse)
         # How far the neighbours can be: the similarity of the k-th found so far.
         kth = own.groupBy("grp", F.col("qid").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.round(F.min("sim"), DIGITS)).otherwise(-2.0).alias("kth"))
         known = asked.where(in_large).join(kth, ["grp", "id"], "left").fillna(-2.0, ["kth"])
-        going = cut(known.mapInPandas(_others(measured, factor, kind), "grp string, id long, kth double, vector binary, to array<int>"))
-        far = going.select("grp", F.explode("to").alias("shard"), "id", "kth", "vector")
-        hits = own.unionByName(_met(far, spread, 2).applyInPandas(search, _HIT))
+        going = cut(known.mapInPandas(_others(measured, factor, kind), "grp string, id long, cell int, kth double, vector binary, to array<int>").where(F.size("to") > 0))
+        far = going.select("grp", F.explode("to").alias("shard"), "id", "cell", "kth", "vector")
+        searched = _met(far, rows.where(in_large), 2).applyInPandas(_search(measured, k, factor, kind, False), _HIT)
+        hits = own.unionByName(searched.select("grp", "qid", "near", "sim"))
     order = Window.partitionBy("grp", "qid").orderBy(ranked("sim"), "near")
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("grp", "qid", F.col("near").alias("id"), F.col("sim").alias("score"), "rank")

@@ -67,3 +67,26 @@ def test_tree_covers_all():
     v = V.unit(np.random.default_rng(1).normal(size=(500, 64)))
     leaves = V.Tree(v, 4).leaves(v)
     assert set(leaves) <= set(range(16)) and np.bincount(leaves, minlength=16).max() < 80
+
+
+@pytest.mark.parametrize("factor,least", [(1.0, 1.0), (V.FACTOR, 0.97)])
+def test_crowds_are_not_searched_from_others(monkeypatch, factor, least):
+    # 60 crowds of uneven size: a query is scored with vectors of its own crowd and few others, not with half of all.
+    rng = np.random.default_rng(5)
+    centres = V.unit(rng.normal(size=(60, 64)))
+    crowd = np.minimum(rng.geometric(0.05, size=12_000) - 1, 59)
+    v = V.unit(centres[crowd] + 0.07 * rng.gamma(3.0, 0.33, size=(12_000, 1)) * rng.normal(size=(12_000, 64)))
+    coarse = V.Coarse(v, len(v))
+    cells = coarse.cell(v)
+    shard = V.Shard(np.arange(len(v)), v, cells)
+    shard.measure(coarse)
+    scored, offer = [], V.Best.offer
+    monkeypatch.setattr(V.Best, "offer", lambda self, rows, rough, *rest: (scored.append(rough.size), offer(self, rows, rough, *rest))[1])
+    asked = np.argsort(cells, kind="stable")[::12]
+    best = V.Best(len(asked), 6)
+    shard.search(v[asked], cells[asked], best, factor, coarse)
+    s = np.round(v[asked] @ v.T, 9)
+    wanted = [set(np.lexsort((np.arange(len(v)), -row))[:6]) for row in s]
+    assert sum(len(w & set(got)) for w, got in zip(wanted, best.id)) >= least * 6 * len(asked)
+    if factor > 1:
+        assert sum(scored) < 0.15 * s.size
