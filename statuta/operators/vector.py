@@ -14,8 +14,13 @@ from statuta.session import cut, ship, small
 
 #: Rows and queries scored at a time, the most rows or queries of a block, and the blocks beyond which they grow.
 PART, BLOCK, MANY = 4096, 65_536, 64
+#: Pairs of a query and a small act that are scored in one place, about.
+LIGHT = 20_000
 #: Places to which scores are rounded before they are ranked.
 DIGITS = 9
+NONE = np.iinfo(np.int64).max
+#: Queries that are scored at a time, and pairs whose vectors are laid side by side.
+_QUERIES, _PAIRS = 1024, 65_536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,16 +43,43 @@ def ranked(score: str = "score") -> Column:
     return F.desc(F.round(score, DIGITS))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the ``k`` best rows of each query by rounded score, then id; scores below -2 are none."""
-    take = min(k, scores.shape[1])
-    border = np.partition(scores, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
-    q, i = np.nonzero((scores >= border[:, None] - 2 * 10.0**-DIGITS) & (scores > -2.0))
-    order = np.lexsort((ids[i], -np.round(scores[q, i], DIGITS), q))
-    q, i = q[order], i[order]
-    first = np.searchsorted(q, q)
-    kept = np.arange(len(q)) - first < k
-    return q[kept], i[kept]
+class Best:
+    """The best ``k`` entries so far of each of some queries, by rounded similarity, then id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.sim = np.full((queries, k), -2.0)
+        self.raw = np.full((queries, k), -2.0)
+        self.id = np.full((queries, k), NONE)
+
+    def offer(self, rows: np.ndarray, rough: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """Entries for the queries ``rows``: what may be as good as the k-th by ``rough`` similarities is weighed in double precision."""
+        least = self.sim[rows, -1] - 2e-6
+        if rough.shape[1] > self.k and least.min() < -1.5:
+            # Nothing known yet: what is worse than the k-th of this part alone is none of the best.
+            least = np.maximum(least, np.partition(rough, -self.k, axis=1)[:, -self.k] - 4e-6)
+        least = least.astype(np.float32)
+        hit = np.flatnonzero(rough.max(axis=1) >= least)
+        if not len(hit):
+            return
+        q, i = np.nonzero(rough[hit] >= least[hit, None])
+        q = hit[q]
+        self.weigh(rows, q, np.einsum("ij,ij->i", queries[rows[q]], vectors[i]), ids[i])
+
+    def weigh(self, rows: np.ndarray, q: np.ndarray, raw: np.ndarray, ids: np.ndarray) -> None:
+        """Entries ``ids`` with their similarities, each for the query ``rows[q]``."""
+        touched, at = np.unique(q, return_inverse=True)
+        own = rows[touched]
+        of = np.concatenate([np.repeat(np.arange(len(own)), self.k), at])
+        sim = np.concatenate([self.sim[own].ravel(), np.round(raw, DIGITS)])
+        raw = np.concatenate([self.raw[own].ravel(), raw])
+        idx = np.concatenate([self.id[own].ravel(), ids])
+        order = np.lexsort((idx, -sim, of))
+        of, sim, idx, raw = of[order], sim[order], idx[order], raw[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        kept = place < self.k
+        at = own[of[kept]], place[kept]
+        self.sim[at], self.id[at], self.raw[at] = sim[kept], idx[kept], raw[kept]
 
 
 def topk(
@@ -63,53 +95,79 @@ def topk(
     return filtered_topk(queries, queries.select("qid", one), corpus.select("id", one, "vector"), k, dim=dim, exclude=exclude)
 
 
-def _pairs_of(column: pd.Series) -> list[set[tuple[int, int]]]:
-    return [set() if v is None else {(k["conceptId"], k["instanceOfType"]) for k in v if k is not None} for v in column]
+def _postings(keywords: pd.Series) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """The rows of each pair of concept and type, by concept."""
+    held: dict[tuple, list[int]] = {}
+    for r, own in enumerate(keywords):
+        for pair in () if own is None else {(k["conceptId"], k["instanceOfType"]) for k in own if k is not None}:
+            held.setdefault(pair, []).append(r)
+    out: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for (concept, kind), rows in held.items():
+        out.setdefault(concept, []).append((kind, np.array(rows)))
+    return out
 
 
-def _keyword_mask(queries: pd.DataFrame, rows: pd.DataFrame) -> np.ndarray:
-    """Which rows have a keyword whose concept and type the query lists; a query without lists takes all."""
-    held = _pairs_of(rows["keywords"])
-    known = {p: i for i, p in enumerate(sorted(set().union(*held), key=str))}
-    has = np.zeros((len(rows), len(known)), np.float32)
-    for r, own in enumerate(held):
-        has[r, [known[p] for p in own]] = 1
-    asks = np.zeros((len(queries), len(known)), np.float32)
-    free = np.zeros(len(queries), bool)
+def _meeting(queries: pd.DataFrame, postings: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row) with a keyword whose concept and type the query lists, each once; and which queries have no lists."""
+    free = np.array([c is None or not len(c) for c in queries["concepts"]], bool)
+    at, found = [], []
     for q, (concepts, types) in enumerate(zip(queries["concepts"], queries["types"])):
-        c, t = set(() if concepts is None else concepts), set(() if types is None else types)
-        free[q] = not c
-        asks[q, [i for (pc, pt), i in known.items() if pc in c and pt in t]] = 1
-    return (asks @ has.T > 0) | free[:, None]
+        if not free[q] and types is not None:
+            kinds = set(types)
+            mine = [rows for c in set(concepts) for kind, rows in postings.get(c, ()) if kind in kinds]
+            if mine:
+                found.append(np.unique(np.concatenate(mine)) if len(mine) > 1 else mine[0])
+                at.append(q)
+    rows = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return np.repeat(np.array(at, np.int64), [len(f) for f in found]), rows, free
 
 
 def _block_topk(keyword_filter: bool, exclude: bool, step: int):
+    """The best of each query among the rows of an act, for all acts of a group; only a part of both is scored at a time."""
+
+    def one(queries: pd.DataFrame, left: np.ndarray, ids: np.ndarray, right: np.ndarray, postings: dict | None) -> Best:
+        best = Best(len(queries), int(queries["k"].max()))
+        rows, own = np.arange(len(queries)), queries["own"].to_numpy() if exclude else None
+        dense = rows
+        if postings is not None:
+            q, i, free = _meeting(queries, postings)
+            for at in range(0, len(q), _PAIRS):
+                a, b = q[at : at + _PAIRS], i[at : at + _PAIRS]
+                raw = np.einsum("ij,ij->i", left[a], right[b])
+                kept = raw > -2.0
+                if exclude:
+                    kept &= own[a] != ids[b]
+                best.weigh(rows, a[kept], raw[kept], ids[b[kept]])
+            dense = rows[free]
+        if len(dense):
+            single = left[dense].astype(np.float32)
+            for at in range(0, len(ids), step):
+                there = slice(at, at + step)
+                rough = single @ right[there].astype(np.float32).T
+                if exclude:
+                    rough[own[dense][:, None] == ids[None, there]] = -9.0
+                best.offer(dense, rough, left, right[there], ids[there])
+        return best
+
     def run(both: pd.DataFrame) -> pd.DataFrame:
-        queries, rows = both[both["asks"]], both[~both["asks"]]
+        queries, rows = both[both["asks"] & (both["k"] > 0)], both[~both["asks"]]
         out = [both.iloc[:0][["qid", "id"]].assign(score=0.0)]
-        # Scores of a part of the queries and a part of the rows at a time, so that memory is bounded.
-        for at in range(0, len(queries), step):
-            some = queries.iloc[at : at + step]
-            left = _unit(some["vector"])
-            budget = some["k"].to_numpy()
-            parts = []
-            for upto in range(0, len(rows), step):
-                part = rows.iloc[upto : upto + step]
-                ids = part["id"].to_numpy()
-                scores = left @ _unit(part["vector"]).T
-                if exclude:
-                    scores[some["own"].to_numpy()[:, None] == ids[None, :]] = -9.0
-                if keyword_filter:
-                    scores[~_keyword_mask(some, part)] = -9.0
-                for k in np.unique(budget[budget > 0]):
-                    mine = np.nonzero(budget == k)[0]
-                    q, i = _best(scores[mine], ids, int(k))
-                    parts.append(pd.DataFrame({"qid": some["qid"].to_numpy()[mine[q]], "id": ids[i], "score": scores[mine][q, i], "k": k}))
-            if parts:
-                found = pd.concat(parts, ignore_index=True)
-                found["r"] = -found["score"].round(DIGITS)
-                found = found.sort_values(["qid", "r", "id"], kind="stable")
-                out.append(found[found.groupby("qid", sort=False).cumcount() < found["k"]][["qid", "id", "score"]])
+        if len(queries) and len(rows):
+            queries, rows = queries.sort_values("act", kind="stable"), rows.sort_values("act", kind="stable")
+            left, right, ids = _unit(queries["vector"]), _unit(rows["vector"]), rows["id"].to_numpy()
+            acts, begin = np.unique(rows["act"].to_numpy(), return_index=True)
+            end = np.append(begin[1:], len(rows))
+            asked = queries["act"].to_numpy()
+            first, last = np.searchsorted(asked, acts), np.searchsorted(asked, acts, side="right")
+            for a in np.flatnonzero(last > first):
+                there = slice(begin[a], end[a])
+                postings = _postings(rows["keywords"].iloc[there]) if keyword_filter else None
+                for at in range(first[a], last[a], _QUERIES):
+                    part = slice(at, min(at + _QUERIES, last[a]))
+                    some = queries.iloc[part]
+                    best = one(some, left[part], ids[there], right[there], postings)
+                    q, place = np.nonzero((best.id != NONE) & (np.arange(best.k) < some["k"].to_numpy()[:, None]))
+                    out.append(pd.DataFrame({"qid": some["qid"].to_numpy()[q], "id": best.id[q, place], "score": best.raw[q, place]}))
         return pd.concat(out[1:], ignore_index=True) if len(out) > 1 else out[0]
 
     return run
@@ -120,9 +178,9 @@ def _unit(column: pd.Series) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _row_blocks(n: Column) -> Column:
-    """Blocks of PART rows; beyond MANY of them larger ones, up to BLOCK rows, so that queries are copied less often."""
-    return F.least(F.ceil(n / PART), F.greatest(F.lit(MANY), F.ceil(n / BLOCK))).cast("int")
+def _row_blocks(n: Column, m: Column) -> Column:
+    """Blocks of PART rows, MANY at most; the more queries ``m``, the larger ones, up to BLOCK rows: each block copies them and gives them k hits."""
+    return F.greatest(F.ceil(n / BLOCK), F.least(F.ceil(n / PART), F.lit(MANY), F.ceil(F.lit(BLOCK) / m))).cast("int")
 
 
 def filtered_topk(
@@ -138,7 +196,7 @@ def filtered_topk(
 
     The filter comes before anything is scored: queries and rows meet per act, in blocks of at most
     about BLOCK rows, so that an act with a large part of all rows or queries is spread over many
-    tasks. Each block keeps its own top k, and only those are shuffled.
+    tasks. Small acts of few queries share a place. Each block keeps its own top k, and only those are shuffled.
     """
     spark = queries.sparkSession
     ship(spark)
@@ -148,22 +206,28 @@ def filtered_topk(
     rows = corpus.where(usable(F.col("vector"), dim) & F.col("id").isNotNull()).select("act", "id", "vector", *extra_c)
     pairs = allowed.where("act IS NOT NULL").select("qid", "act").distinct()
     # Blocks per act, from two narrow counts; four numbers an act, broadcast if they were measured to be small.
-    n = rows.groupBy("act").agg(_row_blocks(F.count(F.lit(1))).alias("rbs"))
-    m = pairs.groupBy("act").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qbs"))
-    blocks = small(cut(n.join(m, "act")))
+    n = rows.groupBy("act").agg(F.count(F.lit(1)).alias("n"))
+    m = pairs.groupBy("act").agg(F.count(F.lit(1)).alias("m")).withColumn("qbs", F.ceil(F.col("m") / BLOCK).cast("int"))
+    blocks = cut(n.join(m, "act").withColumn("rbs", _row_blocks(F.col("n"), F.col("m"))))
+    light = (F.col("rbs") == 1) & (F.col("qbs") == 1)
+    places = max(16, (blocks.where(light).agg(F.sum("m")).first()[0] or 0) // LIGHT)
+    place = F.when(light, F.pmod(F.xxhash64("act"), F.lit(places))).otherwise(F.xxhash64("act")).alias("place")
+    blocks = small(blocks.select("act", "rbs", "qbs", light.alias("light"), place))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     part = lambda c, of: F.pmod(F.xxhash64(c), F.col(of)).cast("int")
     nothing = {f.name: f.dataType for f in [*queries.schema.fields, *corpus.schema.fields]}
     null = lambda c: F.lit(None).cast(nothing[c]).alias(c)
+    # No nulls among keys, which would make them doubles in pandas.
+    zero = lambda c: F.lit(0).cast(nothing[c]).alias(c)
     asking = pairs.join(blocks, "act").join(good, "qid").select(
-        "act", part("qid", "qbs").alias("qb"), upto("rbs").alias("rb"), F.lit(True).alias("asks"), "qid", null("id"), "k", "vector",
+        "light", "place", "act", part("qid", "qbs").alias("qb"), upto("rbs").alias("rb"), F.lit(True).alias("asks"), "qid", zero("id"), "k", "vector",
         *extra_q, *[null(c) for c in extra_c],
     )
     held = rows.join(blocks, "act").select(
-        "act", upto("qbs").alias("qb"), part("id", "rbs").alias("rb"), F.lit(False).alias("asks"), null("qid"), "id", F.lit(0).alias("k"), "vector",
-        *[null(c) for c in extra_q], *extra_c,
+        "light", "place", "act", upto("qbs").alias("qb"), part("id", "rbs").alias("rb"), F.lit(False).alias("asks"), zero("qid"), "id", F.lit(0).alias("k"), "vector",
+        *[zero(c) if c == "own" else null(c) for c in extra_q], *extra_c,
     )
-    met = asking.unionByName(held).groupBy("act", "qb", "rb")
+    met = asking.unionByName(held).groupBy("light", "place", "qb", "rb")
     schema = T.StructType([T.StructField("qid", nothing["qid"]), T.StructField("id", nothing["id"]), T.StructField("score", T.DoubleType())])
     scored = met.applyInPandas(_block_topk(keyword_filter, exclude, PART), schema).join(good.select("qid", "k"), "qid")
     order = Window.partitionBy("qid").orderBy(ranked(), "id")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.operators.vector import DIGITS, ranked
+from statuta.operators.vector import DIGITS, NONE, Best, ranked
 from statuta.session import cut, ship, small
 
 FACTOR = 1.75
@@ -38,7 +38,6 @@ CELL = 48
 PIVOTS, RINGS = 512, 4
 #: Queries, and rows of a cell, that are scored at a time.
 _QUERY_CHUNK = _ROWS = 2048
-_NONE = np.iinfo(np.int64).max
 
 
 def sound(vector: Column, dim: int) -> Column:
@@ -89,42 +88,6 @@ class Tree:
         return node - ((1 << self.depth) - 1)
 
 
-class Best:
-    """The best ``k`` entries so far of each of some queries, by rounded similarity, then id."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.sim = np.full((queries, k), -2.0)
-        self.raw = np.full((queries, k), -2.0)
-        self.id = np.full((queries, k), _NONE)
-
-    def offer(self, rows: np.ndarray, rough: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
-        """Entries for the queries ``rows``: what may be as good as the k-th by ``rough`` similarities is weighed in double precision."""
-        least = self.sim[rows, -1] - 2e-6
-        if rough.shape[1] > self.k and least.min() < -1.5:
-            # Nothing known yet: what is worse than the k-th of this part alone is none of the best.
-            least = np.maximum(least, np.partition(rough, -self.k, axis=1)[:, -self.k] - 4e-6)
-        least = least.astype(np.float32)
-        hit = np.flatnonzero(rough.max(axis=1) >= least)
-        if not len(hit):
-            return
-        q, i = np.nonzero(rough[hit] >= least[hit, None])
-        q = hit[q]
-        raw = np.einsum("ij,ij->i", queries[rows[q]], vectors[i])
-        touched, at = np.unique(q, return_inverse=True)
-        own = rows[touched]
-        of = np.concatenate([np.repeat(np.arange(len(own)), self.k), at])
-        sim = np.concatenate([self.sim[own].ravel(), np.round(raw, DIGITS)])
-        raw = np.concatenate([self.raw[own].ravel(), raw])
-        idx = np.concatenate([self.id[own].ravel(), ids[i]])
-        order = np.lexsort((idx, -sim, of))
-        of, sim, idx, raw = of[order], sim[order], idx[order], raw[order]
-        place = np.arange(len(of)) - np.searchsorted(of, of)
-        kept = place < self.k
-        at = own[of[kept]], place[kept]
-        self.sim[at], self.id[at], self.raw[at] = sim[kept], idx[kept], raw[kept]
-
-
 class Shard:
     """The vectors of a shard by cells."""
 
@@ -326,7 +289,7 @@ def _search(coarse, k: int, factor: float, kind: str, first: bool):
                 # Entries that no id stands for: what is as good as the k-th known one comes before them.
                 best.sim[:] = part["kth"].to_numpy(np.float64)[:, None]
                 shard.search(_stack(part["vector"], kind), part["cell"].to_numpy(), best, factor, c)
-                there = (best.id != _NONE).ravel()
+                there = (best.id != NONE).ravel()
                 out.append(pd.DataFrame({"grp": name, "qid": np.repeat(part["id"].to_numpy(), k)[there], "near": best.id.ravel()[there], "sim": best.raw.ravel()[there]}))
         found = pd.concat(out[1:] or out, ignore_index=True)
         return found.reindex(columns=list(columns)).astype({"cell": "Int32"})

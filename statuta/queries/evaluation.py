@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statuta.operators.vector import filtered_topk, topk
+from statuta.operators.vector import filtered_topk
+from statuta.operators.vptree import vptree_topk
 from statuta.plans import evaluate as E
 from statuta.queries import common as C
+from statuta.session import cut
 
 
 def eval_eligible(spark: SparkSession, d: str) -> DataFrame:
@@ -43,36 +45,43 @@ def gold_filter_mean(spark: SparkSession, d: str) -> DataFrame:
     return _gold_recall(spark, d).agg(F.count("recall").alias("n"), F.round(F.avg("recall"), 6).alias("recall"))
 
 
-def _two_phase_recall(spark: SparkSession, d: str, keyword_filter: bool = True) -> DataFrame:
-    q = _asked(spark, d)
-    first = topk(q.select("qid", "vector", F.col("qid").alias("own")), C.question_vectors(spark, d), 7, exclude=True)
-    sets = E.found_sets(first, C.questions(spark, d))
-    asked = q.select("qid", "vector").join(sets, "qid")
+def _two_phase_recall(spark: SparkSession, d: str, *filters: bool) -> list[DataFrame]:
+    """Recall with the keyword filter or without it; what comes before the filter is computed once for all ``filters``."""
+    q = cut(_asked(spark, d).select("qid", "vector"))
+    # One more than the seven, of which the question itself is one if it is found.
+    near = vptree_topk(q, C.question_vectors(spark, d), 8, 1.0).where("id != qid")
+    first = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("rank <= 7")
+    sets = cut(E.found_sets(first, C.questions(spark, d)))
+    asked = q.join(sets, "qid")
     allowed = asked.select("qid", F.explode("f_acts").alias("a")).select("qid", F.col("a").cast("long").alias("act"))
     part = lambda i: F.transform("f_pairs", lambda p: F.element_at(F.split(p, r"\|"), i).cast("long"))
     wanted = asked.select("qid", "vector", part(1).alias("concepts"), part(2).alias("types"))
     chunks = C.chunks(spark, d)
-    hits = filtered_topk(wanted, allowed, chunks, 100, keyword_filter)
-    gold = E.gold(C.questions(spark, d)).join(q.select("qid"), "qid")
-    joined = gold.join(sets, "qid", "left").join(E.chunk_cites(hits, chunks), "qid", "left")
+    gold = E.gold(C.questions(spark, d)).join(q.select("qid"), "qid").join(sets, "qid", "left")
     some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    return joined.select(
-        "qid", E.recall(F.col("acts"), some("f_acts")).alias("act_recall"), E.recall(F.col("cites"), some("f_cites")).alias("cite_recall"),
-        E.recall(F.col("pairs"), some("f_pairs")).alias("keyword_recall"), E.recall(F.col("cites"), some("h_cites")).alias("second_recall"),
-        F.size(some("f_acts")).cast("long").alias("n_acts"), F.size(some("f_pairs")).cast("long").alias("n_keywords"),
-    )
+
+    def recall(keyword_filter: bool) -> DataFrame:
+        hits = filtered_topk(wanted, allowed, chunks, 100, keyword_filter)
+        joined = gold.join(E.chunk_cites(hits, chunks), "qid", "left")
+        return joined.select(
+            "qid", E.recall(F.col("acts"), some("f_acts")).alias("act_recall"), E.recall(F.col("cites"), some("f_cites")).alias("cite_recall"),
+            E.recall(F.col("pairs"), some("f_pairs")).alias("keyword_recall"), E.recall(F.col("cites"), some("h_cites")).alias("second_recall"),
+            F.size(some("f_acts")).cast("long").alias("n_acts"), F.size(some("f_pairs")).cast("long").alias("n_keywords"),
+        )
+
+    return [recall(flag) for flag in filters]
 
 
 def two_phase_recall(spark: SparkSession, d: str) -> DataFrame:
     names = ["act_recall", "cite_recall", "keyword_recall", "second_recall"]
-    return _two_phase_recall(spark, d).withColumns({n: F.round(n, 6) for n in names})
+    return _two_phase_recall(spark, d, True)[0].withColumns({n: F.round(n, 6) for n in names})
 
 
 def two_phase_means(spark: SparkSession, d: str) -> DataFrame:
     """Macro averages with the keyword filter and without it."""
     out = None
-    for flag in (True, False):
-        rows = _two_phase_recall(spark, d, flag).agg(
+    for flag, found in zip((True, False), _two_phase_recall(spark, d, True, False)):
+        rows = found.agg(
             F.lit(flag).alias("keyword_filter"), F.count(F.lit(1)).alias("n"),
             *[F.round(F.avg(c), 6).alias(c) for c in ("act_recall", "cite_recall", "keyword_recall", "second_recall", "n_acts", "n_keywords")],
         )
